@@ -1,9 +1,11 @@
 """Registered queries of the training-data operators."""
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, quality, toxicity
 
 QUERIES = {
     "op5_mix_sources": mixing.op5,
+    "op6_quality_rules": quality.op6,
+    "op8_toxicity": toxicity.op8,
 }
 ORACLES = {
     "op5_mix_sources": mixing.OP5_SQL,
