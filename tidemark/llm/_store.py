@@ -26,3 +26,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_up_to(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """`df` marked for a broadcast join if its counted `rows` are at most `most`; else Spark shuffles both sides."""
+    return df.hint("broadcast") if rows <= most else df
