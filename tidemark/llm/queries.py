@@ -1,12 +1,16 @@
 """Registered queries of the training-data operators."""
 
-from tidemark.llm import mixing, quality, toxicity
+from tidemark.llm import ann, licenses, mixing, quality, toxicity, warc
 
 QUERIES = {
+    "op3_warc": warc.op3,
+    "op4_license_scan": licenses.op4,
     "op5_mix_sources": mixing.op5,
     "op6_quality_rules": quality.op6,
     "op8_toxicity": toxicity.op8,
+    "op10_nearest_neighbours": ann.op10,
 }
 ORACLES = {
+    "op3_warc": warc.OP3_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
 }
