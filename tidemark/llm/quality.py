@@ -93,12 +93,13 @@ def _repeat_words(words: Words, n: int) -> np.ndarray:
 
 
 def _lang_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, kind, item, n): words and character classes of each language, summed over runs of batches."""
+    """(lang, kind, item, n): words (w), their number (t) and character classes (c) of each language, summed over runs of batches."""
     classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(N_CLASSES, np.int64))
     counts: dict[str, Counter] = defaultdict(Counter)
 
     def out() -> pa.RecordBatch:
         rows = [(lang, "c", str(i), int(n)) for lang, v in classes.items() for i, n in enumerate(v)]
+        rows += [(lang, "t", "", c.total()) for lang, c in counts.items()]
         rows += [(lang, "w", w.decode("utf-8", "replace"), n) for lang, c in counts.items() for w, n in c.items()]
         classes.clear()
         counts.clear()
@@ -117,23 +118,29 @@ def _lang_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def language_references(docs: DataFrame, rules: Rules = Rules()) -> list[dict]:
-    """Reference histograms from all documents: at most `languages` rows of `common_words` words each."""
-    rows = docs.select("lang", "text").mapInArrow(_lang_counts, "lang string, kind string, item string, n long")
+    """Reference histograms from all documents of the `languages` languages with most text: each of `common_words` words."""
+    tagged = docs.where("lang <> ''")
+    by_size = tagged.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang")
+    langs = [r.lang for r in by_size.limit(rules.languages).collect()]
+    rows = tagged.where(F.col("lang").isin(langs)).select("lang", "text").mapInArrow(_lang_counts, "lang string, kind string, item string, n long")
     totals = rows.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    sums = Window.partitionBy("lang", "kind")
-    by_lang = totals.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    kept = by_lang.where("kind = 'w' and lang <> ''").orderBy(F.desc("total"), "lang").limit(rules.languages).select("lang")
-    ranked = totals.withColumn("place", F.row_number().over(sums.orderBy(F.desc("n"), "item"))).where(F.col("place") <= F.lit(max(rules.common_words, N_CLASSES)))
-    top = ranked.join(by_lang, ["lang", "kind"]).join(F.broadcast(kept), "lang", "left_semi").collect()  # bounded by languages * (words + classes)
+    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
+    top = totals.withColumn("place", place).where(F.col("place") <= F.lit(max(rules.common_words, N_CLASSES))).collect()  # bounded by languages * (words + classes)
     out: dict[str, dict] = {}
     for r in sorted(top, key=lambda r: (r.lang, r.kind, r.place)):
         ref = out.setdefault(r.lang, {"lang": r.lang, "classes": np.zeros(N_CLASSES), "words": [], "shares": []})
         if r.kind == "c":
-            ref["classes"][int(r["item"])] = r.n / max(1, r.total)
+            ref["classes"][int(r["item"])] = r.n
+        elif r.kind == "t":
+            ref["total"] = r.n
         elif r.place <= rules.common_words:
             ref["words"].append(r["item"].encode())
-            ref["shares"].append(r.n / max(1, r.total))
-    return [r for r in out.values() if r["words"] and r["classes"].sum() > 0]
+            ref["shares"].append(r.n)
+    out = {lang: r for lang, r in out.items() if r["words"]}
+    for ref in out.values():
+        ref["classes"] /= ref["classes"].sum()
+        ref["shares"] = [n / ref["total"] for n in ref["shares"]]
+    return list(out.values())
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:

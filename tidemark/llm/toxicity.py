@@ -21,6 +21,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm._text import NOT_SPACE, Words, blocks, mix, prefix_sums, span_hashes
+
 _PAD = bytes(64)
 #: Everything but lower-case letters and non-ASCII bytes separates words.
 _WORD_BYTES = bytes(b if 0x61 <= b < 0x7B or b >= 0x80 else 0x20 for b in range(256))
@@ -28,7 +30,7 @@ _WORD_BYTES = bytes(b if 0x61 <= b < 0x7B or b >= 0x80 else 0x20 for b in range(
 
 @dataclass(frozen=True)
 class Settings:
-    sample_rows: int = 6000  # labelled rows that dictionaries and calibration are fitted on, at most
+    sample_rows: int = 4000  # labelled rows that dictionaries and calibration are fitted on, at most
     sample_bytes: int = 65_536  # longer texts give no training rows
     window: int = 128
     overlap: int = 16
@@ -44,26 +46,53 @@ def _clean(text: str | None) -> bytes:
     return b" " + b" ".join((text or "").encode("utf-8", "replace").lower().translate(_WORD_BYTES).split()) + b" "
 
 
-def _stems(texts: list[bytes]) -> dict[bytes, int]:
+class Stems:
     """Word starts of 4 to 12 bytes (a short whole word with its space) by the number of distinct neighbour pairs.
 
     Counting neighbours instead of places keeps copied documents from raising a stem.
     """
-    seen: dict[bytes, set] = defaultdict(set)
-    for text in texts:
-        words = text.split()
-        for left, word, right in zip([b"", *words], words, [*words[1:], b""]):
-            around = hash((left, right))
-            for n in range(4, min(12, len(word)) + 1):
-                seen[word[:n]].add(around)
-            if 4 <= len(word) < 12:
-                seen[word + b" "].add(around)
-    return {k: len(v) for k, v in seen.items()}
-
-
-def _contrast(own: dict[bytes, int], other: dict[bytes, int], size: int, other_size: int, s: Settings) -> list[bytes]:
+
+    def __init__(self, texts: list[bytes], s: Settings):
+        self.size = sum(map(len, texts))
+        self.names: dict[bytes, int] = {}  # stems with at least `min_count` neighbour pairs
+        column, hashes, counts = pa.array([t.decode("utf-8", "replace") for t in texts], pa.large_utf8()), [], []
+        for n in (*range(4, 13), 0):  # 0: whole words
+            own, pairs, sample = [], [], []
+            for _, data, at in blocks(column):
+                words = Words(data, at, NOT_SPACE)
+                sums = prefix_sums(data)
+                whole = span_hashes(data, words.starts, words.ends, sums)
+                around = mix(np.concatenate(([0], whole[:-1])).astype(np.uint64) + mix(np.concatenate((whole[1:], [0])).astype(np.uint64)))
+                length = words.ends - words.starts
+                use = length >= n if n else (length >= 4) & (length < 12)
+                first, last = words.starts[use], words.starts[use] + n if n else words.ends[use] + 1
+                own.append(span_hashes(data, first, last, sums))
+                pairs.append(mix(own[-1] + mix(around[use])))
+                sample += [data[i:j].tobytes() for i, j in zip(first, last)] if n == 0 or n >= 5 else [b""] * len(first)
+            own, pairs = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (own, pairs))
+            _, at = np.unique(pairs, return_index=True)
+            stem, place, count = np.unique(own[at], return_index=True, return_counts=True)
+            hashes.append(stem)
+            counts.append(count)
+            for i in np.flatnonzero(count >= s.min_count):
+                if name := sample[at[place[i]]]:
+                    self.names[name] = int(count[i])
+        order = np.argsort(hashes := np.concatenate(hashes))
+        self.hashes, self.counts = hashes[order], np.concatenate(counts)[order]
+
+    def of(self, names: list[bytes]) -> np.ndarray:
+        """The counts of any stems."""
+        ends = np.cumsum([0, *map(len, names)])
+        wanted = span_hashes(np.frombuffer(b"".join(names), np.uint8), ends[:-1], ends[1:])
+        if not len(self.hashes):
+            return np.zeros(len(names), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == wanted, self.counts[at], 0)
+
+
+def _contrast(own: Stems, other: Stems, s: Settings) -> list[bytes]:
     """Stems that mark `own` text, strongest first, each extended while half of its places agree."""
-    share = size / max(1, size + other_size)
+    share = own.size / max(1, own.size + other.size)
 
     def z(a: int, b: int) -> float:
         expected = (a + b) * share
@@ -72,15 +101,16 @@ def _contrast(own: dict[bytes, int], other: dict[bytes, int], size: int, other_s
         rest = b * math.log(b / ((a + b) * (1 - share))) if b else 0.0
         return math.sqrt(max(0.0, 2 * (a * math.log(a / expected) + rest)))
 
+    names = sorted(own.names)
     longer: dict[bytes, list[bytes]] = defaultdict(list)
-    for g in own:
+    for g in names:
         longer[g[:-1]].append(g)
-    ranked = sorted(((z(a, other.get(g, 0)), g) for g, a in own.items() if a >= s.min_count and len(g) > 4), key=lambda x: (-x[0], x[1]))
+    ranked = sorted(((z(own.names[g], int(b)), g) for g, b in zip(names, other.of(names))), key=lambda x: (-x[0], x[1]))
     out: list[bytes] = []
     for score, stem in ranked:
         if score < s.min_z or sum(map(len, out)) > s.dictionary_bytes:
             break
-        while (more := max(longer.get(stem, ()), key=lambda g: (own[g], g), default=None)) and own[more] >= 0.5 * own[stem]:
+        while (more := max(longer.get(stem, ()), key=lambda g: (own.names[g], g), default=None)) and own.names[more] >= 0.5 * own.names[stem]:
             stem = more
         entry = b" " + stem
         if not any(o.startswith(entry) or entry.startswith(o) for o in out):
@@ -148,9 +178,8 @@ def fit(rows: list[tuple[str | None, int]], s: Settings = Settings()) -> Model |
     y = np.array([r[1] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return None
-    texts = {v: [_clean(t) for t, label in rows if label == v] for v in (0, 1)}
-    stems, sizes = {v: _stems(t) for v, t in texts.items()}, {v: sum(map(len, t)) for v, t in texts.items()}
-    toxic, ordinary = (_dictionary(_contrast(stems[v], stems[1 - v], sizes[v], sizes[1 - v], s)) for v in (1, 0))
+    stems = {v: Stems([_clean(t) for t, label in rows if label == v], s) for v in (0, 1)}
+    toxic, ordinary = (_dictionary(_contrast(stems[v], stems[1 - v], s)) for v in (1, 0))
     meter = Meter(toxic, ordinary, s)
     x = np.array([meter.features(t) for t, _ in rows])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
