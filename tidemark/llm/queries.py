@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators."""
 
-from tidemark.llm import ann, licenses, mixing, pieces, quality, toxicity, warc
+from tidemark.llm import ann, licenses, lm, mixing, pieces, quality, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
+    "op2_language_model": lm.op2,
     "op3_warc": warc.op3,
     "op4_license_scan": licenses.op4,
     "op5_mix_sources": mixing.op5,
