@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators."""
 
-from tidemark.llm import ann, licenses, lm, mixing, pieces, quality, toxicity, warc
+from tidemark.llm import ann, jaccard, licenses, lm, mixing, pieces, quality, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mix_sources": mixing.op5,
     "op6_quality_rules": quality.op6,
     "op8_toxicity": toxicity.op8,
+    "op9_jaccard_join": jaccard.op9,
     "op10_nearest_neighbours": ann.op10,
 }
 ORACLES = {
