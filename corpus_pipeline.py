@@ -1,20 +1,67 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: rejects toxic documents and near copies, cuts repeated passages, mixes sources and encodes."""
 
-from pyspark.sql import DataFrame, SparkSession
+from __future__ import annotations
 
-from tidemark.llm import mixing
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from tidemark.llm import jaccard, mixing, pieces, substrings, toxicity
+from tidemark.llm._store import materialize
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject; it learns from the labelled ones outside its held-out fold."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked documents, that of the smallest doc_id (of its copies, the first row).
+
+    Documents without words are linked with nothing and all stay.
+    """
+    named = docs.withColumn("rid", F.monotonically_increasing_id())
+    found = jaccard.join(docs)  # numbers the rows of the same table in the same way
+    kept = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("rid"))).alias("rid")).select("rid")
+    kept = materialize(kept.union(found.where("n_shingles = 0").select("rid")), "pipeline-kept")
+    return named.join(kept, "rid", "left_semi").select(*docs.columns)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated passages, all rows kept; characters that lost bytes are dropped whole."""
+    cut = substrings.remove_repeats(docs)
+    text = F.expr("try_validate_utf8(cast(kept as string))")
+    whole = F.coalesce(text, F.expr("replace(make_valid_utf8(cast(kept as string)), '\\uFFFD', '')"))
+    cut = cut.withColumn("text", whole).withColumn("n_chars", F.length("text").cast("long"))
+    return cut.select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources meet their target weights."""
     return mixing.mix(docs)
 
 
-STAGES = [("mixing sources to target weights", mix_stage)]
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's piece ids and whether they decode to its text again."""
+    coded = pieces.decode(pieces.encode(docs.select("doc_id", "source", "text")))
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("n-gram Jaccard join", near_copies_stage),
+    ("suffix-array dedup", repeats_stage),
+    ("mixing sources to target weights", mix_stage),
+    ("SentencePiece encoding and decoding", encode_stage),
+]
+
+#: No stage but the mixing can be stated in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over the documents of `sf_dir`, each over the written result of the one before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "pipeline-stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

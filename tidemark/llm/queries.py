@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators."""
 
-from tidemark.llm import ann, jaccard, licenses, lm, mixing, pieces, quality, toxicity, warc
+from tidemark.llm import ann, jaccard, licenses, lm, mixing, pieces, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_license_scan": licenses.op4,
     "op5_mix_sources": mixing.op5,
     "op6_quality_rules": quality.op6,
+    "op7_repeated_substrings": substrings.op7,
     "op8_toxicity": toxicity.op8,
     "op9_jaccard_join": jaccard.op9,
     "op10_nearest_neighbours": ann.op10,
