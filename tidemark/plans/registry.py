@@ -1,4 +1,117 @@
-"""Queries of the daily-series engine and their DuckDB oracles."""
+"""Queries of the daily-series engine over the driver's tables; floats are rounded for comparison."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from tidemark.functions.stats import ratio
+from tidemark.operators import correlation, cycles, forecast, returns, risk
+from tidemark.plans.oracles import ORACLES
+from tidemark.sources import synthetic, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+BENCHMARK = "A"
+
+
+def _rounded(df: DataFrame, places: int | dict[str, int]) -> DataFrame:
+    def of(name: str, kind: str):
+        n = places if isinstance(places, int) else places.get(name)
+        return F.round(name, n).alias(name) if kind == "double" and n is not None else F.col(name)
+
+    return df.select(*(of(c, t) for c, t in df.dtypes))
+
+
+def _on_bars(f: Callable[[DataFrame], DataFrame], places: int | dict[str, int] = 6) -> Query:
+    return lambda spark, sf_dir: _rounded(f(tables.bars_orders(spark, sf_dir)), places)
+
+
+def _profile(*columns: str) -> Query:
+    return _on_bars(lambda bars: risk.risk_profile(bars).select("symbol", *columns))
+
+
+def _aligned(f: Callable[[DataFrame], DataFrame], places: int = 6) -> Query:
+    return lambda spark, sf_dir: _rounded(f(returns.aligned_returns(tables.bars_orders(spark, sf_dir), tables.macro_lineitem(spark, sf_dir))), places)
+
+
+def column_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = returns.align(tables.bars_orders(spark, sf_dir), tables.macro_lineitem(spark, sf_dir))
+    return returns.coverage(returns.drop_empty_days(returns.mixed_returns(levels)))
+
+
+def crypto_macro_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, macro = tables.bars_orders(spark, sf_dir), tables.macro_lineitem(spark, sf_dir)
+    names = lambda df, c: [r[0] for r in df.select(c).distinct().collect()]  # noqa: E731  the few assets of the block
+    return correlation.macro_block(returns.aligned_returns(bars, macro), names(bars, "symbol"), names(macro, "asset"))
+
+
+def overview(bars: DataFrame) -> DataFrame:
+    """(symbol, price, change_1, change_30): the last price against the row before and the thirtieth before, or the first."""
+    w = Window.partitionBy("symbol").orderBy(F.desc("day"))
+    rows = bars.withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("price")))
+    return rows.groupBy("symbol").agg(at(F.lit(1)).alias("price"), (ratio(at(F.lit(1)), at(F.lit(2))) - 1).alias("change_1"), (ratio(at(F.lit(1)), at(F.least(F.lit(31), F.col("n")))) - 1).alias("change_30"))
+
+
+def latest(bars: DataFrame, k: int = 50) -> DataFrame:
+    w = Window.partitionBy("symbol").orderBy(F.desc("day"))
+    return bars.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select("symbol", "day", "price")
+
+
+def sentiment_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mood = tables.sentiment_events(spark, sf_dir)
+    return mood.select("day", F.round("fng_value", 4).alias("fng_value"), synthetic.label(F.col("fng_value")).alias("fng_label"))
+
+
+def phase_series_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = tables.daily_last(tables.ticks_events(spark, sf_dir))
+    return _rounded(cycles.phase_series(bars).select("symbol", "day", "phase", "rsi", "ma_short", "ma_long"), 6)
+
+
+QUERIES: dict[str, Query] = {
+    "daily_bars": _on_bars(lambda b: b.select("symbol", "day", "price", "volume"), {"price": 4, "volume": 2}),
+    "daily_last": lambda spark, sf_dir: tables.daily_last(tables.ticks_events(spark, sf_dir)),
+    "daily_returns": _on_bars(returns.daily_returns, 8),
+    "log_returns": _on_bars(returns.log_returns, 8),
+    "annualised_volatility": _profile("annual_volatility"),
+    "rolling_volatility": _on_bars(risk.rolling_volatility),
+    "mean_rolling_volatility": _on_bars(lambda b: risk.indicators(b).groupBy("symbol").agg(F.avg("rolling_vol").alias("mean_vol"))),
+    "historical_var": _profile("var_95", "var_99"),
+    "conditional_var": _profile("cvar_95"),
+    "drawdown_series": _on_bars(risk.drawdown_series, 8),
+    "max_drawdown": _profile("max_drawdown"),
+    "sharpe": _profile("sharpe"),
+    "sortino": _profile("sortino"),
+    "volatility_regime": _profile("regime"),
+    "risk_profile": _on_bars(risk.risk_profile),
+    "moving_averages": _on_bars(lambda b: cycles.moving_averages(b).select("symbol", "day", ratio(F.col("sma_short"), F.col("price")).alias("short_ratio"), ratio(F.col("sma_long"), F.col("price")).alias("long_ratio"), "ma_short", "ma_long"), 8),
+    "rsi": _on_bars(cycles.rsi),
+    "phase_series": _on_bars(lambda b: cycles.phase_series(b).select("symbol", "day", "phase")),
+    "phase_series_short": phase_series_short,
+    "phase_distribution": _on_bars(cycles.phase_distribution),
+    "undetermined_days": _on_bars(lambda b: cycles.phase_series(b).groupBy("symbol").agg(F.count_if(F.col("phase") == "Undetermined").alias("days"))),
+    "current_phase": _on_bars(cycles.current_phase),
+    "densified_prices": _on_bars(returns.densified, 4),
+    "close_price_matrix": _on_bars(returns.price_matrix, 4),
+    "aligned_returns": _aligned(lambda r: r.select("asset", "day", "ret")),
+    "column_coverage": column_coverage,
+    "correlation_pearson": _aligned(correlation.correlation_matrix),
+    "correlation_spearman": _aligned(lambda r: correlation.correlation_matrix(r, "spearman")),
+    "crypto_macro_summary": crypto_macro_summary,
+    "rolling_correlation": _aligned(lambda r: correlation.rolling_correlation(r, BENCHMARK)),
+    "beta": _aligned(lambda r: correlation.beta(r, BENCHMARK)),
+    "regime_correlation": _aligned(lambda r: correlation.regime_correlation(r, BENCHMARK)),
+    "naive_backtest": _on_bars(forecast.naive_backtest, {"naive_rmse": 2, "naive_mae": 2, "naive_mape": 6}),
+    "random_walk_forecast": _on_bars(forecast.random_walk_forecast, 2),
+    "sentiment_bands": sentiment_bands,
+    "overview": _on_bars(overview, {"price": 4, "change_1": 6, "change_30": 6}),
+    "latest_k": _on_bars(latest, 4),
+    "phase_rows": _on_bars(lambda b: cycles.phase_series(b).where("phase = 'Accumulation'").select("symbol", "day", "price"), 4),
+    "history_window": _on_bars(lambda b: tables.recent(b, 365).select("symbol", "day", "price"), 4),
+    "forecast": _on_bars(forecast.forecast),
+    "forecast_path": _on_bars(forecast.forecast_path),
+    "backtest": _on_bars(forecast.backtest),
+}
+
+__all__ = ["ORACLES", "QUERIES"]
