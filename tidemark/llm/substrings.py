@@ -35,7 +35,7 @@ _C = np.uint64(0x9E3779B97F4A7C15)
 class Settings:
     length: int = 200  # bytes that a repeated string has at least
     gram: int = 64  # bytes of the strings that anchors are chosen among
-    bucket_bytes: int = 2 << 20  # segment bytes per bucket, about
+    bucket_bytes: int = 1 << 20  # segment bytes per bucket, about
     longest: int = 2048  # strings per segment at most; longer runs of one anchor are cut
     crowded: int = 20_000  # different segments of an anchor beyond which its strings are counted one by one
 
@@ -75,10 +75,11 @@ def anchored(data: np.ndarray, at: np.ndarray, s: Settings) -> tuple[np.ndarray,
         starts, stops = np.repeat(starts, pieces) + offset * s.longest, np.minimum(np.repeat(stops, pieces), np.repeat(starts, pieces) + (offset + 1) * s.longest)
     row = np.searchsorted(at, starts, side="right") - 1
     content = span_hashes(data, starts, stops + s.length - 1, sums)
-    size = stops - starts + width - 1
-    begin = np.cumsum(size) - size
-    hits = each[np.repeat(starts - begin, size) + np.arange(size.sum())] == np.repeat(low[starts], size)
-    twice = np.add.reduceat(hits, begin, dtype=np.int64) > 1 if len(begin) else none.astype(bool)
+    size = (stops - starts + width - 1).astype(np.int32)
+    begin = (np.cumsum(size) - size).astype(np.int32)
+    short, value = each.astype(np.uint32), low[starts].astype(np.uint32)
+    hits = short[np.repeat(starts.astype(np.int32) - begin, size) + np.arange(size.sum(), dtype=np.int32)] == np.repeat(value, size)
+    twice = np.add.reduceat(hits, begin, dtype=np.int32) > 1 if len(begin) else none.astype(bool)
     return low[starts], content, row, starts - at[row], stops - starts, twice
 
 
@@ -150,29 +151,28 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | wide[i : i + n]
-    order = np.argsort(key)
+    order = np.argsort(key).astype(np.int32)
     ranked = key[order]
-    rank = np.zeros(n, np.int64)
-    rank[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1]))
-    known = 8
-    while known < depth:
-        # only positions that share their rank are ordered anew; a rank is the place of its first position
-        change = np.flatnonzero(np.append(True, rank[order][1:] != rank[order][:-1]))
-        size = np.diff(np.append(change, n))
-        place = np.repeat(change, size)
-        rank[order] = place
-        tied = np.flatnonzero(np.repeat(size > 1, size))
-        if not len(tied):
-            break
+    new = np.append(True, ranked[1:] != ranked[:-1])
+    tied = np.arange(n, dtype=np.int32)
+    rank, known = np.empty(n, np.int32), 8
+    while True:
+        # a rank is the place of the first position that shares it; only shared ones are ordered anew
+        place = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied), dtype=np.int32), 0))]
+        rank[order[tied]] = place
+        alone = new & np.append(new[1:], True)
+        tied, place = tied[~alone], place[~alone]
+        if known >= depth or not len(tied):
+            return order
         own = order[tied]
-        key = (place[tied].astype(np.uint64) << np.uint64(32)) | rank[(own + known) % n].astype(np.uint64)
+        next_ = own + np.int32(known)
+        next_[next_ >= n] %= n
+        key = (place.astype(np.uint64) << np.uint64(32)) | rank[next_].astype(np.uint64)
         by = np.argsort(key)
         order[tied] = own[by]
         key = key[by]
         new = np.append(True, key[1:] != key[:-1])
-        rank[order[tied]] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
         known *= 2
-    return order
 
 
 def shared_from(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -184,13 +184,13 @@ def shared_from(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """
     n = len(text)
     letters = text[order - 1]  # the transform: the letter before each suffix
-    forward = np.empty(n, np.int64)
-    forward[np.argsort(letters, kind="stable")] = np.arange(n)
+    forward = np.empty(n, np.int32)
+    forward[np.argsort(letters, kind="stable")] = np.arange(n, dtype=np.int32)
     column = text[order]
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
-    place, of = np.arange(n), np.zeros(n, np.int64)
-    parent = np.zeros(n, np.int64)
+    place, of = np.arange(n), np.zeros(n, np.int32)
+    parent = np.zeros(n, np.int32)
     for _ in range(length):
         if not len(place):
             break
@@ -209,7 +209,7 @@ def shared_from(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
         known[place[ends][fresh] + 1] = True
         size = np.diff(np.append(-1, ends))
         goes = np.repeat(fresh, size)
-        place, of = place[goes], np.repeat(np.arange(len(ends)), size)[goes]
+        place, of = place[goes], np.repeat(np.arange(len(ends), dtype=np.int32), size)[goes]
     return ~known[:n]
 
 
