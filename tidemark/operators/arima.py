@@ -45,15 +45,14 @@ def errors(y: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarra
         i += 1
         if i > 8 and abs(f[i - 1] - 1) < 1e-9:
             break
-    ph, th, past = phi.tolist(), theta.tolist(), y.tolist()
-    out = e.tolist()
-    for i in range(i, n):
-        v = past[i]
-        for k, c in enumerate(ph):
-            v -= c * past[i - 1 - k]
-        for k, c in enumerate(th):
-            v -= c * out[i - 1 - k]
-        out[i] = v
+    (a1, a2), (b1, b2) = ((*c.tolist(), 0.0, 0.0)[:2] for c in (phi, theta))  # orders up to two
+    out, past = e[:i].tolist(), y.tolist()
+    if i < n:
+        y2, y1, e2, e1 = past[i - 2], past[i - 1], out[i - 2], out[i - 1]
+        for now in past[i:]:
+            e2, e1 = e1, now - a1 * y1 - a2 * y2 - b1 * e1 - b2 * e2
+            y2, y1 = y1, now
+            out.append(e1)
     return np.array(out), f
 
 
