@@ -42,7 +42,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's piece ids and whether they decode to its text again."""
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "source", "text")))
+    coded = pieces.encode(docs.select("doc_id", "source", "text"), decoded=True)
     same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

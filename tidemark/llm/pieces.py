@@ -33,7 +33,9 @@ SPACE = "▁"
 _CHUNK_CHARS = 16_384
 _GIANT_BYTES = 32_768
 _BLOCK_CHUNKS = 256
-_CACHE_UNITS = 1_000_000
+_CACHE_UNITS = 400_000
+_SLICE_ROWS = 1000  # rows worked on at a time, so that a task holds little besides the batch it is given
+_DECODE_IDS = 400_000  # ids decoded at a time, and those of one text at least
 _WIDE = 48  # longer units are merged one by one
 _NONE = np.int32(2**31 - 1)
 
@@ -246,6 +248,29 @@ def encode_batch(texts: pa.Array, p: Pieces) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int32()))
 
 
+def decode_batch(ids: pa.ListArray, p: Pieces) -> pa.Array:
+    """The text of each id sequence."""
+    if ids.null_count:
+        ids = ids.fill_null(pa.scalar([], ids.type))
+    offsets, values, parts, row = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False), [], 0
+    while row < len(ids):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + _DECODE_IDS, side="right")) - 1)
+        data, at = p.decode_arrays(values[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
+        try:
+            data.decode()
+            parts.append(pa.LargeStringArray.from_buffers(end - row, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)).cast(pa.utf8()))
+        except UnicodeDecodeError:
+            parts.append(pa.array([data[i:j].decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:])], pa.utf8()))
+        row = end
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.utf8())
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, _SLICE_ROWS):
+            yield batch.slice(i, _SLICE_ROWS)
+
+
 # -- the scan over chunks of one document ---------------------------------------------------
 
 #: A boundary state: the piece that starts left of the border and ends `over` characters right of it.
@@ -472,29 +497,34 @@ def _giants(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
     return traced.groupBy("rid").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda c: c["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = _CHUNK_CHARS, giant_bytes: int = _GIANT_BYTES) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = _CHUNK_CHARS, giant_bytes: int = _GIANT_BYTES, decoded: bool = False) -> DataFrame:
     """`docs` with `ids`, the piece ids of `text`; a column of that name is replaced.
 
+    With `decoded`, also the text that the ids give again, as decode() adds it.
+
     Null and empty texts have no ids.  Texts beyond `giant_bytes` go through the scan over
     chunks, the others are encoded in one step; the ids are the same either way, and the
     same as the library's.
     """
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", *["decoded"] * decoded)
     names = docs.columns
     giant = F.coalesce(F.octet_length("text"), F.lit(0)) > giant_bytes
 
     def run(batches):
-        for batch in batches:
-            ids = encode_batch(batch.column(batch.schema.get_field_index("text")), pieces(model))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*names, "ids"])
+        p, at = pieces(model), names.index("text")
+        for batch in _slices(batches):
+            ids = encode_batch(batch.column(at), p)
+            out = [*batch.columns, ids, *[decode_batch(ids, p)] * decoded]
+            yield pa.RecordBatch.from_arrays(out, [*names, "ids", *["decoded"] * decoded])
 
-    schema = docs.select("*", F.array().cast("array<int>").alias("ids")).schema
+    schema = docs.select("*", F.array().cast("array<int>").alias("ids"), *[F.lit("").alias("decoded")] * decoded).schema
     short = docs.where(~giant).mapInArrow(run, schema)
     if docs.where(giant).isEmpty():
         return short
-    long_ = materialize(docs.where(giant).withColumn("rid", F.monotonically_increasing_id()), "piece-giants")
-    coded = _giants(long_, model, chunk_chars)
-    return short.unionByName(long_.join(coded.withColumnRenamed("rid", "of_rid"), F.col("rid") == F.col("of_rid")).select(*names, "ids"))
+    long_ = materialize(docs.where(giant).withColumn("__row", F.monotonically_increasing_id()), "piece-giants")
+    coded = _giants(long_.select(F.col("__row").alias("rid"), "text"), model, chunk_chars)
+    coded = long_.join(coded.select(F.col("rid").alias("__row"), "ids"), "__row").select(*names, "ids")
+    return short.unionByName(decode(coded, model) if decoded else coded)
 
 
 def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -507,16 +537,8 @@ def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         p = pieces(model)
-        for batch in batches:
-            ids = batch.column(names.index("ids")).fill_null(pa.scalar([], pa.list_(pa.int32())))
-            offsets = ids.offsets.to_numpy()
-            data, at = p.decode_arrays(ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64), offsets - offsets[0])
-            try:
-                data.decode()
-                texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)).cast(pa.utf8())
-            except UnicodeDecodeError:
-                texts = pa.array([data[i:j].decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:])], pa.utf8())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*names, "decoded"])
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, decode_batch(batch.column(names.index("ids")), p)], [*names, "decoded"])
 
     schema = coded.select("*", F.lit("").alias("decoded")).schema
     return coded.mapInArrow(run, schema)
@@ -524,6 +546,6 @@ def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
 
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = decode(encode(docs))
+    coded = encode(docs, decoded=True)
     same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
