@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}  # folders of applications that name none
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a new local one."""
+    """The folder named by spark.checkpoint.dir, with its file system; where that is unset (tests), a new local one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+        at = _own.setdefault(spark.sparkContext.applicationId, "")
+        if not at:
+            at = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    full = str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path))
+    return re.sub(r"^file:/+", "file:///", full).rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators."""
 
-from tidemark.llm import ann, jaccard, licenses, lm, mixing, pieces, quality, substrings, toxicity, warc
+from tidemark.llm import ann, jaccard, licenses, lm, mixing, oracles, pieces, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
@@ -17,4 +17,5 @@ QUERIES = {
 ORACLES = {
     "op3_warc": warc.OP3_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
+    "op9_jaccard_join": oracles.OP9_SQL,
 }
