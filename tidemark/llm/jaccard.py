@@ -5,7 +5,7 @@ share their first common shingle within a short prefix of both.  Where that shin
 it is indexed by itself.  Where it is frequent, the prefix is extended by B shingles: then
 B + 1 common shingles lie in it, two of them fall into one of B hash buckets, and so pairs
 of frequent shingles of one bucket are indexed instead of single ones.  Sets that share an
-index key are verified exactly.
+index key are verified exactly, after a bound from bitmaps has dropped what cannot be similar.
 
 Within the sets of a key, all are first compared with one of them.  What is linked then is
 one component already, and only pairs of sets of different components remain to be compared.
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm._store import broadcast_up_to, materialize
+from tidemark.llm._store import broadcast_up_to, materialize, most_frequent
 from tidemark.llm._text import LOWER, NOT_SPACE, Words, blocks, mix, window_hashes
 from tidemark.llm.graph import components
 
@@ -32,8 +32,10 @@ class Settings:
     words: int = 5
     percent: int = 75  # of the union that two linked sets share
     frequent: int = 64  # sets that hold a frequent shingle, about
-    max_frequent: int = 1 << 20  # shingles told to all tasks as frequent, the most frequent ones
-    salted: int = 50_000  # sets per part of a key that more sets than this hold
+    counted: int = 3  # sets that hold a shingle whose count decides its place in the order
+    max_counted: int = 1 << 20  # shingles whose counts all tasks are told, the most frequent ones; the others come first
+    rounds: int = 1  # further sets that all sets of a key are compared with, before all that are left are
+    salted: int = 50_000  # sets per part of a key that more sets than this hold, and rows of groups around one component per task
     max_broadcast: int = 500_000  # ids up to which they are broadcast to the texts
 
 
@@ -100,15 +102,17 @@ def _buckets(n: int, percent: int) -> int:
 
 
 def keys_of(h: np.ndarray, often: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(index keys, expected sets of each) of one set of hashes, given how many sets hold each (0: rare)."""
+    """(index keys, expected sets of each) of one set of hashes, given how many sets hold each (0: hardly any)."""
     n = len(h)
     if n < 3:  # only an equal set can be similar enough, and equal sets are one already
         return h[:0], often[:0]
     first = n - _needed(n, s.percent) + 1
-    rare = h[often == 0]
+    scarce = np.flatnonzero(often < s.frequent)
+    scarce = scarce[np.argsort(often[scarce], kind="stable")]  # by count, then by hash
+    rare = h[scarce]
     if len(rare) >= first:
         return rare[:first], np.zeros(first, np.int64)
-    busy = np.flatnonzero(often)
+    busy = np.flatnonzero(often >= s.frequent)
     busy = busy[np.lexsort((h[busy], often[busy]))]
     keys, sizes = [rare], [np.zeros(len(rare), np.int64)]
     low, high = -(-s.percent * n // 100), 100 * n // s.percent
@@ -128,29 +132,31 @@ def keys_of(h: np.ndarray, often: np.ndarray, s: Settings) -> tuple[np.ndarray,
 
 
 def _summaries(k: int):
-    """Pass 1: (rid, doc_id, n, id) of documents, and (shingle, n) of shingles that several sets of one batch hold."""
+    """Pass 1: (rid, doc_id, n, id, bits) of documents, and (shingle, n) of shingles that several sets of one batch hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, names = _Seen(), ["rid", "doc_id", "n", "id", "shingle"]
+        seen, names = _Seen(), ["rid", "doc_id", "n", "id", "bits", "shingle"]
         for batch in batches:
             held = []
             for rows, h, bounds in shingle_sets(batch.column("text"), k):
                 ids = set_ids(h, bounds)
                 size = len(ids)
-                yield pa.RecordBatch.from_arrays([batch.column("rid")[rows], batch.column("doc_id")[rows], pa.array(np.diff(bounds)), pa.array(ids), pa.nulls(size, pa.int64())], names)
+                maps = [bitmap(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                bits = _list(np.concatenate(maps), np.concatenate(([0], np.cumsum([len(m) for m in maps]))), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("rid")[rows], batch.column("doc_id")[rows], pa.array(np.diff(bounds)), pa.array(ids), bits, pa.nulls(size, pa.int64())], names)
                 held.append(_pick(h, bounds, seen.fresh(ids))[0])
             if held:
                 values = np.sort(np.concatenate(held))
                 first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
                 count = np.diff(np.append(first, len(values)))
                 again = values[first[count > 1]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int64()), pa.array(count[count > 1]), pa.nulls(len(again), pa.int64()), pa.array(again)], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int64()), pa.array(count[count > 1]), pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.list_(pa.int64())), pa.array(again)], names)
 
     return run
 
 
 def _postings(s: Settings, shingle: np.ndarray, often: np.ndarray):
-    """Pass 2: (id, n, keys, parts) of the sets, each once per task."""
+    """Pass 2: (id, n, rare, keys, parts) of the sets, each once per task; `rare` are its shingles in a thousand that are not frequent."""
     by = np.argsort(shingle)
     shingle, often = shingle[by], often[by]
 
@@ -166,23 +172,29 @@ def _postings(s: Settings, shingle: np.ndarray, often: np.ndarray):
                     at = np.minimum(np.searchsorted(shingle, h), len(shingle) - 1)
                     known = np.where(shingle[at] == h, often[at], 0)
                 found = [keys_of(h[a:b], known[a:b], s) for a, b in zip(bounds[:-1], bounds[1:])]
+                scarce = np.concatenate(([0], np.cumsum(known < s.frequent)))[bounds]
+                rare = 1000 * np.diff(scarce) // np.maximum(np.diff(bounds), 1)
                 if found:
                     cuts = np.concatenate(([0], np.cumsum([len(k) for k, _ in found])))
                     keys, sizes = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
                     parts = np.repeat(ids.view(np.uint64), np.diff(cuts)) % (sizes // s.salted + 1).astype(np.uint64)
                     parts = np.where(sizes >= s.salted, parts.astype(np.int64) + 1, 0)  # 0: the key is whole
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(bounds)), _list(keys.view(np.int64), cuts, pa.int64()), _list(parts.astype(np.int32), cuts, pa.int32())], ["id", "n", "keys", "parts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(bounds)), pa.array(rare.astype(np.int32)), _list(keys.view(np.int64), cuts, pa.int64()), _list(parts.astype(np.int32), cuts, pa.int32())], ["id", "n", "rare", "keys", "parts"])
 
     return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, part, id, n) sorted by key, part and id to (group, id, n, pivot): keys of one set are dropped, and keys of the same sets are one group."""
-    names, told = ["key", "part", "id", "n"], set()
+    """Rows (key, part, rare, id, n) sorted in this order to (group, id, n, rare, pivot): keys of one set are dropped, and keys of the same sets are one group.
 
-    def out(key: np.ndarray, part: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    The pivot is the set with the fewest rare shingles: among copies of one text that is
+    the text they come from, or nearly, which more of them resemble than any other.
+    """
+    names, told = ["key", "part", "id", "n", "rare"], set()
+
+    def out(key: np.ndarray, part: np.ndarray, ids: np.ndarray, n: np.ndarray, rare: np.ndarray) -> pa.RecordBatch:
         once = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (ids[1:] != ids[:-1]))
-        key, part, ids, n = key[once], part[once], ids[once], n[once]
+        key, part, ids, n, rare = key[once], part[once], ids[once], n[once], rare[once]
         first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
         size = np.diff(np.append(first, len(key)))
         total = np.add.reduceat(mix(ids.view(np.uint64)), first)
@@ -197,7 +209,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             told.add(name)
         keep |= part[first] > 0  # sets of other parts may follow
         rows, pivot = np.repeat(keep, size), np.repeat(ids[first], size)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(group, size)[rows]), pa.array(ids[rows]), pa.array(n[rows]), pa.array(pivot[rows])], ["group", "id", "n", "pivot"])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(group, size)[rows]), pa.array(ids[rows]), pa.array(n[rows]), pa.array(rare[rows]), pa.array(pivot[rows])], ["group", "id", "n", "rare", "pivot"])
 
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
@@ -215,6 +227,108 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*(np.concatenate(c) for c in zip(*held)))
 
 
+class _Crowd:
+    """The sets of one group: which of them may be similar to sets of other components, by size and bitmap."""
+
+    def __init__(self, n: np.ndarray, root: np.ndarray, bits: list[np.ndarray], percent: int):
+        self.n, self.root, self.percent = n, root, percent
+        length = np.array([len(b) for b in bits])
+        self.length, self.row = length, np.zeros(len(n), np.int64)
+        self.maps: dict[tuple[int, int], np.ndarray] = {}
+        for k in np.unique(length).tolist():
+            own = np.flatnonzero(length == k)
+            self.row[own] = np.arange(len(own))
+            self.maps[k, k] = np.stack([bits[i] for i in own]).view(np.uint64)
+
+    def folded(self, k: int, to: int) -> np.ndarray:
+        if (k, to) not in self.maps:
+            m = self.folded(k, 2 * to)
+            self.maps[k, to] = m[:, :to] ^ m[:, to:]
+        return self.maps[k, to]
+
+    def like(self, i: int) -> np.ndarray:
+        """Places after i."""
+        n = self.n[i + 1 :]
+        j = np.flatnonzero((self.root[i + 1 :] != self.root[i]) & (100 * np.minimum(n, self.n[i]) >= self.percent * np.maximum(n, self.n[i]))) + i + 1
+        out, k = [], int(self.length[i])
+        for other in np.unique(self.length[j]).tolist():
+            part, to = j[self.length[j] == other], min(k, other)
+            apart = np.bitwise_count(self.folded(other, to)[self.row[part]] ^ self.folded(k, to)[self.row[i]]).sum(axis=1)
+            both = self.n[part] + self.n[i]
+            most = (both - apart.astype(np.int64)) // 2
+            out.append(part[100 * most >= self.percent * (both - most)])
+        return np.concatenate(out) if out else j
+
+
+def _cross(percent: int):
+    """Rows (group, id, n, root, bits) sorted by group to the pairs (a, b) of one group and different roots that may be similar."""
+
+    def pairs(group: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[np.ndarray], told: set) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+        found: list[tuple[int, int]] = []
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            crowd = _Crowd(n[low:high], root[low:high], bits[low:high], percent)
+            for i in range(high - low - 1):
+                for j in crowd.like(i).tolist():
+                    pair = tuple(sorted((int(ids[low + i]), int(ids[low + j]))))
+                    if pair not in told:
+                        told.add(pair)
+                        found.append(pair)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        told: set[tuple[int, int]] = set()
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in ("group", "id", "n", "root")]
+            if not len(rows[0]):
+                continue
+            bits = [b.values.to_numpy() for b in batch.column("bits")]
+            same = rows[0] == rows[0][-1]
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if len(told) > 1_000_000:
+                told.clear()
+            if cut:
+                held.append((*(c[:cut] for c in rows), bits[:cut]))
+                *done, maps = zip(*held)
+                yield from pairs(*(np.concatenate(c) for c in done), sum(maps, []), told)
+                held = []
+            held.append((*(c[cut:] for c in rows), bits[cut:]))
+        if held:
+            *done, maps = zip(*held)
+            yield from pairs(*(np.concatenate(c) for c in done), sum(maps, []), told)
+
+    return run
+
+
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """Parities of how many hashes fall on each of about twice as many bits as there are hashes."""
+    size = max(64, 1 << (2 * len(h) - 1).bit_length()) if len(h) else 64
+    odd = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def shared_at_most(x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
+    """A bound on the hashes that two sets of n and m share: bits of different parity need a hash of one set alone each."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (n + m - int(np.bitwise_count((x ^ y).view(np.uint64)).sum())) // 2
+
+
+def _bounded(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            most = np.array([shared_at_most(x.values.to_numpy(), y.values.to_numpy(), i, j) for x, y, i, j in zip(batch.column("bits"), batch.column("others"), n.tolist(), m.tolist())], np.int64)
+            keep = pa.array(100 * most >= percent * (n + m - most))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets share `percent` of their union."""
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
@@ -232,48 +346,89 @@ def join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     doc_id is never the smallest unless the component has no other.
     """
     docs = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
-    first = materialize(docs.mapInArrow(_summaries(s.words), "rid long, doc_id long, n long, id long, shingle long"), "join-sets")
+    first = materialize(docs.mapInArrow(_summaries(s.words), "rid long, doc_id long, n long, id long, bits array<long>, shingle long"), "join-sets")
     rows = first.where("rid is not null").select("rid", "doc_id", "n", "id")
-    often = first.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= s.frequent)
-    often = often.orderBy(F.desc("n"), "shingle").limit(s.max_frequent).toPandas()
+    often = first.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= s.counted)
+    often = most_frequent(often, s.max_counted).toPandas()
     shingle, count = often["shingle"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
-    postings = docs.select("text").mapInArrow(_postings(s, shingle, count), "id long, n long, keys array<long>, parts array<int>")
-    flat = postings.select("id", "n", F.explode(F.arrays_zip("keys", "parts")).alias("k")).select("k.keys", "k.parts", "id", "n").toDF("key", "part", "id", "n")
-    dealt = flat.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "id")
-    groups = dealt.mapInArrow(_groups, "group long, id long, n long, pivot long").dropDuplicates(["group", "id", "pivot"])
+    postings = docs.select("text").mapInArrow(_postings(s, shingle, count), "id long, n long, rare int, keys array<long>, parts array<int>")
+    flat = postings.select("id", "n", "rare", F.explode(F.arrays_zip("keys", "parts")).alias("k")).select("k.keys", "k.parts", "id", "n", "rare").toDF("key", "part", "id", "n", "rare")
+    dealt = flat.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "rare", "id")
+    groups = dealt.mapInArrow(_groups, "group long, id long, n long, rare int, pivot long").dropDuplicates(["group", "id", "pivot"])
     groups = materialize(groups, "join-groups")
 
-    # the shingles of the sets that are compared
-    members = groups.select("id").distinct()
-    source = rows.where("n > 0").groupBy("id").agg(F.min("rid").alias("rid")).join(members, "id", "left_semi")
-    source = materialize(source, "join-members")
-    wanted = docs.join(broadcast_up_to(source, source.count(), s.max_broadcast), "rid").select("id", "text")
+    holders = rows.where("n > 0").groupBy("id").agg(F.min("rid").alias("rid"))  # a text of each set
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, h, bounds in shingle_sets(batch.column("text"), s.words):
                 yield pa.RecordBatch.from_arrays([batch.column("id")[part], _list(h.view(np.int64), bounds, pa.int64())], ["id", "shingles"])
 
-    sets = materialize(wanted.mapInArrow(shingles, "id long, shingles array<long>"), "join-shingles")
+    def of(members: DataFrame) -> DataFrame:
+        """(id, rid) of the sets in (id)."""
+        return materialize(holders.join(members.distinct(), "id", "left_semi"), "join-members")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+
+    def bitmaps(members: DataFrame) -> DataFrame:
+        return materialize(first.where("rid is not null").select("rid", "n", "bits").join(of(members), "rid").select("n", "bits", "id"), "join-bitmaps")
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose bitmaps leave it open that they are linked."""
+        pairs = materialize(pairs, "join-pairs")
+        maps = bitmaps(ends(pairs))
+        both = pairs.join(maps.toDF("n", "bits", "a"), "a").join(maps.toDF("m", "others", "b"), "b").select("n", "m", "bits", "others", "a", "b")
+        return both.mapInArrow(_bounded(s.percent), "a long, b long")
+
+    def verified(close: DataFrame) -> DataFrame:
+        """The linked ones of (a, b); the texts of their sets are read again."""
+        close = materialize(close, "join-close")
+        source = of(ends(close))
+        wanted = docs.join(broadcast_up_to(source, source.count(), s.max_broadcast), "rid").select("id", "text")
+        sets = materialize(wanted.mapInArrow(shingles, "id long, shingles array<long>"), "join-shingles")
+        return materialize(_verify(close, sets, s.percent), "join-links")
 
     # 1: every set with the first one of its key (and the first ones of a salted key's parts)
     near = F.expr(f"100 * least(n, m) >= {s.percent} * greatest(n, m)")
-    heads = groups.where("id = pivot").select("group", "id", "n").distinct()
-    lowest = heads.groupBy("group").agg(F.min(F.struct("id", "n")).alias("low")).select("group", "low.id", "low.n").toDF("group", "top", "m")
+    heads = groups.where("id = pivot").select("group", "id", "n", "rare").distinct()
+    lowest = heads.groupBy("group").agg(F.min(F.struct("rare", "id", "n")).alias("low")).select("group", "low.id", "low.n").toDF("group", "top", "m")
     pivots = heads.select(F.col("id").alias("pivot"), F.col("n").alias("m")).distinct()
     pairs = groups.where("id <> pivot").select("pivot", "id", "n").distinct().join(pivots, "pivot").where(near).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     tops = heads.join(lowest, "group").where("id <> top").where(near).select(F.col("top").alias("a"), F.col("id").alias("b"))
-    links = materialize(_verify(pairs.union(tops).distinct(), sets, s.percent), "join-links")
-
-    # 2: sets of one group that are still in different components
-    labels = components(links)
-    labelled = groups.select("group", "id", "n").distinct().join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    labelled = materialize(labelled, "join-labelled")
-    mixed = labelled.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("group")
-    open_ = labelled.join(mixed, "group", "left_semi")
-    other = open_.select("group", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    cross = open_.join(other, "group").where("id < b and root <> other").where(near).select(F.col("id").alias("a"), "b").distinct()
-    more = materialize(_verify(cross.join(pairs, ["a", "b"], "left_anti"), sets, s.percent), "join-links")
+    pairs = materialize(pairs.union(tops).distinct(), "join-pairs")
+    links = verified(bounded(pairs))
+
+    # 2: sets of one group that are still in different components, first with a few of them, then with each other
+    members = groups.select("group", "id", "n", "rare").distinct()
+
+    def unsettled(links: DataFrame) -> DataFrame:
+        labelled = members.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        labelled = materialize(labelled, "join-labelled")
+        mixed = labelled.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("group")
+        return materialize(labelled.join(mixed, "group", "left_semi"), "join-open")
+
+    tried = pairs
+    for _ in range(s.rounds):
+        open_ = unsettled(links)
+        members = open_.select("group", "id", "n", "rare")
+        # next, of each group the set of fewest rare shingles outside its largest component
+        sizes = open_.groupBy("group", "root").agg(F.count("*").alias("size"), F.min(F.struct("rare", "id", "n", "root")).alias("h"))
+        largest = sizes.groupBy("group").agg(F.max(F.struct("size", "root")).alias("most")).select("group", F.col("most.root").alias("most"))
+        heads = sizes.join(largest, "group").where("root <> most").groupBy("group").agg(F.min("h").alias("h")).select("group", F.col("h.id").alias("top"), F.col("h.n").alias("m"), F.col("h.root").alias("other"))
+        found = open_.join(heads, "group").where("root <> other").where(near).select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b")).distinct()
+        more = verified(bounded(found.join(tried, ["a", "b"], "left_anti")))
+        links, tried = materialize(links.union(more), "join-links"), materialize(tried.union(found), "join-tried")
+    open_ = unsettled(links)
+    # groups around one component have many pairs in common, so they go to few tasks, each with a bounded share of their rows
+    sizes = open_.groupBy("group", "root").agg(F.count("*").alias("size"))
+    around = materialize(sizes.groupBy("group").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("size")).select("group", F.col("most.root").alias("core"), "size"), "join-cores")
+    shares = around.groupBy("core").agg(F.ceil(F.sum("size") / s.salted).cast("long").alias("shares"))
+    places = around.join(shares, "core").select("group", F.xxhash64("core", F.pmod(F.xxhash64("group"), "shares")).alias("place"))
+    maps = bitmaps(open_.select("id")).select("id", "bits")
+    dealt = open_.join(places, "group").join(maps, "id").repartition("place").sortWithinPartitions("group", "root", "id")
+    cross = dealt.select("group", "id", "n", "root", "bits").mapInArrow(_cross(s.percent), "a long, b long").distinct()
+    more = verified(cross.join(tried, ["a", "b"], "left_anti"))
 
     roots = components(links.union(more))
     named = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
