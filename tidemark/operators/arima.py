@@ -63,7 +63,7 @@ def log_likelihood(y: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[f
     return -0.5 * (len(y) * (math.log(2 * math.pi * variance) + 1) + float(np.log(f).sum())), variance
 
 
-def _simplex(f, x: np.ndarray, steps: int = 400, tol: float = 1e-7) -> np.ndarray:
+def _simplex(f, x: np.ndarray, steps: int = 300, tol: float = 1e-4) -> np.ndarray:
     """Nelder-Mead."""
     n = len(x)
     points = [x, *(x + 0.4 * np.eye(n)[i] for i in range(n))]
