@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -35,6 +36,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete shuffle files of plans that are done with: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_up_to(df: DataFrame, rows: int, most: int) -> DataFrame:
     """`df` marked for a broadcast join if its counted `rows` are at most `most`; else Spark shuffles both sides."""
     return df.hint("broadcast") if rows <= most else df

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm._store import broadcast_up_to, materialize, most_frequent
+from tidemark.llm._store import broadcast_up_to, materialize, most_frequent, release
 from tidemark.llm._text import LOWER, NOT_SPACE, Words, blocks, mix, window_hashes
 from tidemark.llm.graph import components
 
@@ -356,6 +356,7 @@ def join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     dealt = flat.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "rare", "id")
     groups = dealt.mapInArrow(_groups, "group long, id long, n long, rare int, pivot long").dropDuplicates(["group", "id", "pivot"])
     groups = materialize(groups, "join-groups")
+    release(docs.sparkSession)
 
     holders = rows.where("n > 0").groupBy("id").agg(F.min("rid").alias("rid"))  # a text of each set
 
@@ -387,7 +388,9 @@ def join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         source = of(ends(close))
         wanted = docs.join(broadcast_up_to(source, source.count(), s.max_broadcast), "rid").select("id", "text")
         sets = materialize(wanted.mapInArrow(shingles, "id long, shingles array<long>"), "join-shingles")
-        return materialize(_verify(close, sets, s.percent), "join-links")
+        links = materialize(_verify(close, sets, s.percent), "join-links")
+        release(docs.sparkSession)
+        return links
 
     # 1: every set with the first one of its key (and the first ones of a salted key's parts)
     near = F.expr(f"100 * least(n, m) >= {s.percent} * greatest(n, m)")
