@@ -186,6 +186,16 @@ def test_network_learns():
     assert last < 0.6 * first
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    # by default; none of these ids is among one in eight, and a null id counts like others
+    ids = [i for i in range(60) if zlib.crc32(f"{i}:lm".encode()) % 8][:5] + [None]
+    words = np.array([0, 1], np.uint64)
+    for i in ids:
+        one = spark.createDataFrame([(i, "one two " * 50)], "doc_id long, text string")
+        v = lm.Vocabulary(words, np.array([9, 8]), 20, 4, lm.Settings(words_per_class=2, word_classes=3, count_classes=2, hidden=5))
+        assert lm.train(one, v).get() != lm.Network(v).get()
+
+
 # -- 3: archives ----------------------------------------------------------------------------------------
 
 

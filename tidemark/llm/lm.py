@@ -38,7 +38,7 @@ class Settings:
     hidden: int = 16
     window: int = 32  # steps of truncated backpropagation
     lanes: int = 32
-    train_one_in: int = 8  # training documents by a hash of their id that the network's weights learn from
+    train_one_in: int = 1  # the network's weights learn from all training documents; more picks that part of them by a hash of their id
     rate: float = 0.01
     score_window: int = 64
     score_lanes: int = 2048
@@ -247,24 +247,43 @@ class Network:
             size = steps * lanes
             dh = dh.reshape(steps, lanes, n)
             g |= {"embed": np.zeros_like(self.embed), "carry": np.zeros_like(self.carry), "bias": np.zeros_like(self.bias)}
-            back = np.zeros((lanes, n), np.float32)
+            back, all_gates = np.zeros((lanes, n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
+            all_carried = np.empty_like(all_gates)
             for t in reversed(range(steps)):
                 before, z, r, c, held, _ = path[t]
                 d = dh[t] + back
-                dc = d * (1 - z) * (1 - c * c)
-                gates = np.concatenate((d * (before - c) * z * (1 - z), dc * held * r * (1 - r), dc), axis=1)
-                carried = np.concatenate((gates[:, : 2 * n], dc * r), axis=1)
-                g["carry"] += before.T @ carried
-                g["bias"] += gates.sum(axis=0)
-                np.add.at(g["embed"], x[:, i + t], gates)
+                stay = d * (1 - z)
+                dc = stay * (1 - c * c)
+                gates, carried = all_gates[t], all_carried[t]
+                gates[:, :n] = stay * (before - c) * z
+                gates[:, n : 2 * n] = dc * held * r * (1 - r)
+                gates[:, 2 * n :] = dc
+                carried[:, : 2 * n] = gates[:, : 2 * n]
+                carried[:, 2 * n :] = dc * r
                 back = np.where(new[:, i + t, None], np.float32(0), d * z + carried @ self.carry.T)
+            g["carry"] += np.concatenate([p[0] for p in path]).T @ all_carried.reshape(size, 3 * n)
+            g["bias"] += all_gates.sum(axis=(0, 1))
+            read = x[:, i : i + steps].T.ravel()
+            by = np.argsort(read, kind="stable")
+            read = read[by]
+            first = np.flatnonzero(np.append(True, read[1:] != read[:-1]))
+            g["embed"][read[first]] = np.add.reduceat(all_gates.reshape(size, 3 * n)[by], first, axis=0)
             self.updates += 1
-            for k in NAMES:  # Adam
-                step, (m, w) = g[k] / size, self.moments[k]
-                m += 0.1 * (step - m)
-                w += 0.01 * (step * step - w)
-                change = (m / (1 - 0.9**self.updates)) / (np.sqrt(w / (1 - 0.99**self.updates)) + 1e-6)
-                setattr(self, k, (getattr(self, k) - s.rate * min(1.0, self.updates / 20) * change).astype(np.float32))
+            rate, over_m, over_w = s.rate * min(1.0, self.updates / 20), 1 - 0.9**self.updates, 1 - 0.99**self.updates
+            for k in NAMES:  # Adam, in place
+                step, weights, (m, w) = g[k], getattr(self, k), self.moments[k]
+                step /= size
+                m *= 0.9
+                m += 0.1 * step
+                step *= step
+                step *= 0.01
+                w *= 0.99
+                w += step
+                np.sqrt(np.divide(w, over_w, out=step), out=step)
+                step += 1e-6
+                np.divide(m, step, out=step)
+                step *= rate / over_m
+                weights -= step
         return loss / (lanes * length)
 
     def score(self, ranks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
