@@ -17,11 +17,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked documents, that of the smallest doc_id (of its copies, the first row).
 
+    Groups are told apart by their sets, so null and reused ids neither join nor drop any.
+
     Documents without words are linked with nothing and all stay.
     """
     named = docs.withColumn("rid", F.monotonically_increasing_id())
     found = jaccard.join(docs)  # numbers the rows of the same table in the same way
-    kept = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("rid"))).alias("rid")).select("rid")
+    kept = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("rid"))).alias("rid")).select("rid")
     kept = materialize(kept.union(found.where("n_shingles = 0").select("rid")), "pipeline-kept")
     return named.join(kept, "rid", "left_semi").select(*docs.columns)
 

@@ -57,3 +57,15 @@ def test_stages(spark, tmp_path):
             assert len(got) == len(before) and docs.where(~F.col("round_trip")).count() == 0
         before = got
     assert pipeline.run(spark, sf).count() == len(before)
+
+
+def test_near_copies_with_null_and_reused_ids(spark, tmp_path):
+    import random
+
+    r = random.Random(4)
+    a, b, c, d, e = (sentence(80, r) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (None, b + " tail"), (7, c), (7, d), (7, d), (9, e), (None, e)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, t, "en", "s0", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(path)
+    got = sorted(((x.doc_id or 0, x.text.removesuffix(" tail")) for x in pipeline.near_copies_stage(spark, spark.read.parquet(path), str(tmp_path)).collect()))
+    assert got == sorted([(0, a), (0, b), (7, c), (7, d), (9, e)])

@@ -338,9 +338,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """A row for each row of `docs` (doc_id, text): doc_id, rid, n_shingles and component_id.
+    """A row for each row of `docs` (doc_id, text): doc_id, rid, n_shingles, component_id and root.
 
-    component_id is the smallest doc_id that links reach from the row.  Null texts and
+    component_id is the smallest doc_id that links reach from the row; as ids may be null or
+    reused, only `root` tells components apart (it is null for an empty set).  Null texts and
     texts without words have an empty set and are linked with nothing, not even each
     other.  Rows are told apart by position; equal rows are copies like any other.  A null
     doc_id is never the smallest unless the component has no other.
@@ -436,9 +437,9 @@ def join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     roots = components(links.union(more))
     named = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = named.where("n > 0").join(smallest, "root").select("doc_id", "rid", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(rows.where("n = 0").select("doc_id", "rid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    linked = named.where("n > 0").join(smallest, "root").select("doc_id", "rid", F.col("n").alias("n_shingles"), "component_id", "root")
+    return linked.union(rows.where("n = 0").select("doc_id", "rid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid")
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid", "root")
