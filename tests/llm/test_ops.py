@@ -484,6 +484,26 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("module", [jaccard, substrings, licenses])
+def test_row_numbers_do_not_change_with_splits(spark, docs, monkeypatch, module):
+    run = {jaccard: jaccard.join, substrings: substrings.remove_repeats, licenses: licenses.scan}[module]
+    rows = lambda: [r.asDict() for r in run(docs).drop("rid", "root").collect()]
+    want, write = rows(), module.materialize
+
+    def moved(df, label):
+        out = write(df, label)
+        spark.conf.set("spark.sql.files.minPartitionNum", "100")
+        return out
+
+    monkeypatch.setattr(module, "materialize", moved)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        got = rows()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    same(got, want)
+
+
 # -- 10: neighbours ---------------------------------------------------------------------------------------
 
 

@@ -36,6 +36,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """`df` written with a number `rid` for each row.
+
+    A row's place in a scan depends on how the files are split at that moment, so a number
+    that several jobs join by must be a stored column.
+    """
+    return materialize(df.withColumn("rid", F.monotonically_increasing_id()), label)
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark delete shuffle files of plans that are done with: it does so when the driver collects its garbage."""
     gc.collect()

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm._store import broadcast_up_to, materialize, most_frequent, release
+from tidemark.llm._store import broadcast_up_to, materialize, most_frequent, numbered, release
 from tidemark.llm._text import LOWER, NOT_SPACE, Words, blocks, mix, window_hashes
 from tidemark.llm.graph import components
 
@@ -337,16 +337,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
-def join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+def join(docs: DataFrame, s: Settings = Settings(), rid: bool = False) -> DataFrame:
     """A row for each row of `docs` (doc_id, text): doc_id, rid, n_shingles, component_id and root.
 
     component_id is the smallest doc_id that links reach from the row; as ids may be null or
     reused, only `root` tells components apart (it is null for an empty set).  Null texts and
     texts without words have an empty set and are linked with nothing, not even each
-    other.  Rows are told apart by position; equal rows are copies like any other.  A null
+    other.  Rows are told apart by a stored number (with `rid`, that
+    of `docs` itself, which must be stored); equal rows are copies like any other.  A null
     doc_id is never the smallest unless the component has no other.
     """
-    docs = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+    docs = docs.select("doc_id", "text", *(["rid"] if rid else []))
+    docs = docs if rid else numbered(docs, "join-rows")
     first = materialize(docs.mapInArrow(_summaries(s.words), "rid long, doc_id long, n long, id long, bits array<long>, shingle long"), "join-sets")
     rows = first.where("rid is not null").select("rid", "doc_id", "n", "id")
     often = first.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= s.counted)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm._store import broadcast_up_to, materialize
+from tidemark.llm._store import broadcast_up_to, materialize, numbered
 from tidemark.llm._text import ALNUM_LOWER, LOWER, Words, blocks, utf8, window_hashes
 
 K = 3
@@ -191,11 +191,11 @@ def scan(docs: DataFrame, items: list[Template] | None = None, s: Settings = Set
 
     Words are runs of ASCII digits, letters (A-Z lower-cased) and non-ASCII characters;
     a null text has none.  Texts without a license have n_base 0, empty labels, null
-    first and last words and score 0.  Rows are told apart by position, so equal rows
+    first and last words and score 0.  Rows are told apart by a stored number, so equal rows
     and equal ids are each scanned.
     """
     items = items or templates()
-    docs = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+    docs = numbered(docs.select("doc_id", "text"), "license-rows")
     spans = materialize(candidate_spans(docs, items, s), "license-spans")
     grouped = spans.groupBy("rid").agg(F.collect_list(F.struct("template", "first", "last")).alias("spans"))  # those of one text
     grouped = broadcast_up_to(grouped, spans.count(), s.max_broadcast)

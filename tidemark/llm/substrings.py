@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm._store import materialize
+from tidemark.llm._store import materialize, numbered
 from tidemark.llm._text import blocks, mix, prefix_sums, span_hashes, utf8
 
 _SEPARATOR = 0xFF  # never a byte of UTF-8
@@ -324,10 +324,11 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     A byte goes if a string of `length` bytes over it also starts elsewhere, in the same
     text or another; strings are judged on the input and never cross texts.  Null and
-    empty texts have no bytes.  Rows are told apart by position, so of equal rows of enough
+    empty texts have no bytes.  Rows are told apart by a stored number, so of equal rows of enough
     bytes all is removed.  Columns of `docs` with the four names, or rid or ranges, are replaced.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "ranges", "rid").withColumn("rid", F.monotonically_increasing_id())
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "ranges", "rid")
+    docs = numbered(docs, "repeat-rows")
     ranges = repeated_ranges(docs, s).groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))  # those of one text
     joined = docs.join(ranges, "rid", "left").drop("rid")
     others = [c for c in docs.columns if c not in ("text", "rid")]
