@@ -324,6 +324,20 @@ def test_quality_verdict(spark, tmp_path):
     assert all(got[i] for i in range(60)) and not any(got[i] for i in range(60, 66))
 
 
+def test_quality_of_many_languages(spark, tmp_path, monkeypatch):
+    r = random.Random(2)
+    own = lambda k, n: " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{r.choice('abcdefghijklmnopqrst')}" for _ in range(n))
+    rows = [(k, own(k, 400 - 3 * k), f"l{k}") for k in range(80)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(path)
+    got = sorted((x.doc_id, x.kept, x.char_distance, x.word_distance) for x in quality.judge(spark.read.parquet(path)).collect())
+    assert all(x[1] and x[2] < 1e-6 and x[3] < 1e-6 for x in got) and len(got) == 80
+    texts, references = pa.array([t for _, t, _ in rows[:9]]), quality.language_references(spark.read.parquet(path))
+    whole = quality.distances(texts, references)
+    monkeypatch.setattr(quality, "_CELLS", 4 * 1600)  # a few texts at a time
+    assert all(np.allclose(x, y, atol=1e-6) for x, y in zip(whole, quality.distances(texts, references)))
+
+
 def test_js_distance():
     p, q = np.array([[1.0, 0.0], [0.5, 0.5]]), np.array([0.0, 1.0])
     assert quality.js_distance(p, q)[0] == pytest.approx(1) and quality.js_distance(p, np.array([0.5, 0.5]))[1] == pytest.approx(0)

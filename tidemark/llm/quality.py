@@ -3,7 +3,8 @@
 Every document's histogram of character classes and of common words is compared with
 the reference histograms of languages, gathered from the whole corpus, by the
 Jensen-Shannon distance (base 2, so from 0 to 1).  Guards of minimum length keep texts
-too short for a histogram from being judged by it.
+too short for a histogram from being judged by it.  Every language has a reference: the
+driver and the tasks hold 50 words and 10 classes for each.
 """
 
 from __future__ import annotations
@@ -43,7 +44,6 @@ class Rules:
     """Parameters of the verdict."""
 
     common_words: int = 50  # words in a language's reference histogram
-    languages: int = 64  # references kept: the languages with most words
     max_char_distance: float = 0.35
     max_word_distance: float = 0.5
     min_chars: int = 200  # the character histogram is judged from here
@@ -118,11 +118,9 @@ def _lang_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def language_references(docs: DataFrame, rules: Rules = Rules()) -> list[dict]:
-    """Reference histograms from all documents of the `languages` languages with most text: each of `common_words` words."""
+    """Reference histograms of every language, from all its documents: each of `common_words` words."""
     tagged = docs.where("lang <> ''")
-    by_size = tagged.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang")
-    langs = [r.lang for r in by_size.limit(rules.languages).collect()]
-    rows = tagged.where(F.col("lang").isin(langs)).select("lang", "text").mapInArrow(_lang_counts, "lang string, kind string, item string, n long")
+    rows = tagged.select("lang", "text").mapInArrow(_lang_counts, "lang string, kind string, item string, n long")
     totals = rows.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
     top = totals.withColumn("place", place).where(F.col("place") <= F.lit(max(rules.common_words, N_CLASSES))).collect()  # bounded by languages * (words + classes)
@@ -154,6 +152,9 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((kl(p) + kl(q)) / 2, 0.0, 1.0))
 
 
+_CELLS = 4 << 20  # counts of common words held at once
+
+
 def distances(texts: pa.Array, references: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(characters, distance of classes, words, distance of words) of each text, the distances those of the nearest language."""
     spans = [(b"".join(r["words"]), np.cumsum([0, *map(len, r["words"])])) for r in references]
@@ -174,13 +175,18 @@ def distances(texts: pa.Array, references: list[dict]) -> tuple[np.ndarray, np.n
             hashes = words.hashes()
             slot = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
             known = table[slot] == hashes
-            common = np.bincount(words.rows()[known] * len(table) + slot[known], minlength=n * len(table)).reshape(n, len(table))
-            for ref, own in zip(references, hashed):
-                p = common[:, np.searchsorted(table, own)] / np.maximum(n_words, 1)[:, None]
-                p = np.column_stack((p, 1 - p.sum(axis=1)))
-                q = np.append(ref["shares"], 1 - sum(ref["shares"]))
-                d_word = np.minimum(d_word, js_distance(p, q))
-                d_char = np.minimum(d_char, js_distance(p_class, ref["classes"]))
+            of, slot, step = words.rows()[known], slot[known], max(1, _CELLS // len(table))
+            for low in range(0, n, step):  # so many texts that their counts stay small, however many languages there are
+                high = min(n, low + step)
+                a, b = np.searchsorted(of, (low, high))
+                common = np.bincount((of[a:b] - low) * len(table) + slot[a:b], minlength=(high - low) * len(table)).reshape(high - low, len(table))
+                part = slice(low, high)
+                for ref, own in zip(references, hashed):
+                    p = common[:, np.searchsorted(table, own)] / np.maximum(n_words[part], 1)[:, None]
+                    p = np.column_stack((p, 1 - p.sum(axis=1)))
+                    q = np.append(ref["shares"], 1 - sum(ref["shares"]))
+                    d_word[part] = np.minimum(d_word[part], js_distance(p, q))
+                    d_char[part] = np.minimum(d_char[part], js_distance(p_class[part], ref["classes"]))
         parts.append((chars, d_char, n_words, d_word))
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0),) * 4
 
