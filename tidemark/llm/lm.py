@@ -2,7 +2,7 @@
 
 Word counts come from all training documents.  The network reads the most frequent words
 (others by their frequency class) and predicts a class first and then a word within it:
-classes of the most frequent words have a softmax over their words, those of rarer words
+classes of the 1,024 most frequent words have a softmax over their words, those of rarer words
 share out by count, and a last class holds every word outside the head, unseen words
 included.  Tasks train copies of one starting network by truncated backpropagation and the
 copies are averaged.  Scoring carries the state across windows, so a document's
