@@ -389,6 +389,62 @@ def test_interval_expansion():
 # -- 8: toxicity ----------------------------------------------------------------------------------------
 
 
+def slow_toxicity(text, model):
+    import zstandard
+
+    s = model.settings
+    words = re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower())
+    data, z = b" " + b" ".join(words) + b" ", []
+    for h in model.halves:
+        cut = [d[-s.dictionary_bytes :] for d in (h.toxic, h.ordinary)]
+        cut = [bytes(s.dictionary_bytes - len(d)) + d + bytes(16) for d in cut]
+        gains = []
+        for i in range(0, max(1, len(data) - s.overlap), s.window - s.overlap):
+            sizes = []
+            for d in cut:
+                p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=14, chain_log=14, search_log=1, min_match=s.min_match, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=0, write_checksum=0, write_dict_id=0)
+                sizes.append(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p).compress(bytes(64) + data[i : i + s.window])))
+            gains.append(sizes[1] - sizes[0])
+        counts = [sum(g >= v for g in gains) for v in s.thresholds]
+        x = [math.log1p(c) for c in counts] + [math.sqrt(c / len(gains)) for c in counts]
+        z.append(sum((a - m) / k * w for a, m, k, w in zip(x, h.mean, h.scale, h.weights)) + h.weights[-1])
+    return 1 / (1 + math.exp(-max(-30, min(30, sum(z) / len(z)))))
+
+
+def test_toxicity_leaning():
+    s = toxicity.Settings(min_ratio=4.0)
+    # the pair around a start counts, so copies count once, and so do passages
+    toxic = [f" aa badword{'xyz'[i % 3]} {'pqr'[i // 3]} ".encode() for i in range(9)] * 3 + [b" same badness same "] * 9
+    plain = [f" aa good{i} {'pqr'[i % 3]} ".encode() for i in range(9)]
+    own, other = toxicity.Starts(toxic, s), toxicity.Starts(plain, s)
+
+    def slow(texts, start):
+        pairs = set()
+        for w in [b"".join(texts).split()]:
+            for a, x, b in zip([b""] + w[:-1], w, w[1:] + [b""]):
+                if (b" " + x + b" ").startswith(start):
+                    pairs.add((a, b))
+        return len(pairs)
+
+    for start in (b" badwo", b" badne", b" aa ", b" good0"):
+        wanted = toxicity.span_hashes(np.frombuffer(start, np.uint8), np.array([0]), np.array([len(start)]))
+        assert (own.of(0, wanted)[0], other.of(0, wanted)[0]) == (slow(toxic, start), slow(plain, start))
+    got = toxicity.leaning(toxic, own, other, s)
+    for ratio, start in got:
+        wanted = toxicity.span_hashes(np.frombuffer(start, np.uint8), np.array([0]), np.array([len(start)]))
+        assert math.isclose(ratio, own.of(0, wanted)[0] / own.total / ((other.of(0, wanted)[0] + 1) / other.total)) and ratio >= s.min_ratio
+
+
+def test_toxicity_sample_of_long_texts(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, s: seen.extend(rows))
+    d = spark.createDataFrame([(1, "ab" * 500), (2, "short"), (3, None), (1, "ab" * 500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    toxicity.train(d, labels, toxicity.Settings(sample_pieces=3, piece_chars=10))
+    want = " ".join(("ab" * 500)[a : a + 10] for a in (0, 495, 990))
+    assert all(t in (want, "short", None) for t, _ in seen) and any(t == want for t, _ in seen) == bool([i for i in (1,) if zlib.crc32(b"1") % 5])
+
+
 def test_toxicity(spark, tmp_path, none):
     r = random.Random(3)
     bad = ["worthless", "pathetic", "disgusting", "moron"]
@@ -412,6 +468,10 @@ def test_toxicity(spark, tmp_path, none):
     odd = toxicity.score(spark.createDataFrame([(1, None), (2, ""), (3, "x" * 200_000)], "doc_id long, text string"), model).collect()
     assert all(0 <= x.score <= 1 for x in odd)
     assert toxicity.train(d, labels.where("toxic = 0")) is None
+    assert all(0 < len(h.toxic) <= 4096 and 0 < len(h.ordinary) <= 4096 for h in model.halves) and len(model.halves) == 2
+    # a slow scorer: whole text, window by window, with encoders of its own
+    for x in got[:25]:
+        assert abs(x.score - slow_toxicity(x.text, model)) < 1e-9
     assert {x.score for x in toxicity.score(d, None).collect()} == {0.0}
     assert toxicity.score(none, model).count() == 0
 

@@ -1,8 +1,14 @@
 """Toxicity by compression distance.
 
-Two Zstandard dictionaries, one of toxic and one of ordinary text, compress every window
-of a document; a window that the toxic dictionary shortens more than the ordinary one
-holds toxic wording.  How many windows gain how many bytes is calibrated on labelled rows.
+Two Zstandard dictionaries of equal size, one trained on toxic and one on ordinary text,
+compress every window of a document; a window that the toxic dictionary shortens more than
+the ordinary one holds toxic wording.
+
+Most of what texts of either label are made of is the same, so dictionaries are trained on
+the word starts that lean to their label, by counts in other texts than the ones they are
+taken from.  Thresholds are calibrated on texts that the dictionaries were not trained on:
+the sample is halved, each half trains a pair of dictionaries that the other half has
+judged the leaning for and calibrates, and a score is the mean of both.
 
 The encoder is set so that lengths compare byte by byte: a fast strategy with raw
 literals (entropy coding of literals would add noise), and a run of zero bytes before
@@ -12,7 +18,6 @@ each window, which both dictionaries end in, so that no window is stored raw.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,19 +31,21 @@ from tidemark.llm._text import NOT_SPACE, Words, blocks, mix, prefix_sums, span_
 _PAD = bytes(64)
 #: Everything but lower-case letters and non-ASCII bytes separates words.
 _WORD_BYTES = bytes(b if 0x61 <= b < 0x7B or b >= 0x80 else 0x20 for b in range(256))
+_MAGIC = (0xEC30A437).to_bytes(4, "little")  # a trained dictionary begins with it (fixed value of the format)
 
 
 @dataclass(frozen=True)
 class Settings:
-    sample_rows: int = 4000  # labelled rows that dictionaries and calibration are fitted on, at most
-    sample_bytes: int = 65_536  # longer texts give no training rows
-    window: int = 128
-    overlap: int = 16
-    min_match: int = 7
-    min_z: float = 7.0  # signed root of the likelihood ratio that a stem needs
-    min_count: int = 5
-    dictionary_bytes: int = 16_384
-    steps: tuple[int, ...] = (2, 3, 4, 5, 6, 7, 9)  # bytes gained by which windows are counted
+    sample_rows: int = 6000  # labelled rows that dictionaries and calibration are fitted on, at most
+    sample_pieces: int = 8  # a longer text gives so many pieces, evenly spread over all of it
+    piece_chars: int = 4096
+    window: int = 64
+    overlap: int = 8
+    min_match: int = 6
+    starts: tuple[int, ...] = (6, 7, 8)  # bytes of a word's start with the space before it; the first that leans is taken
+    min_ratio: float = 20.0  # how much more frequent a start is in texts of its label than in others
+    dictionary_bytes: int = 2048
+    thresholds: tuple[int, ...] = (2, 3, 4, 6)  # bytes gained by which windows are counted
     ridge: float = 1.0
 
 
@@ -46,81 +53,75 @@ def _clean(text: str | None) -> bytes:
     return b" " + b" ".join((text or "").encode("utf-8", "replace").lower().translate(_WORD_BYTES).split()) + b" "
 
 
-class Stems:
-    """Word starts of 4 to 12 bytes (a short whole word with its space) by the number of distinct neighbour pairs.
-
-    Counting neighbours instead of places keeps copied documents from raising a stem.
-    """
+class Starts:
+    """How often each word start occurs, as the number of distinct neighbour pairs: copied documents and passages count once."""
 
     def __init__(self, texts: list[bytes], s: Settings):
-        self.size = sum(map(len, texts))
-        self.names: dict[bytes, int] = {}  # stems with at least `min_count` neighbour pairs
-        column, hashes, counts = pa.array([t.decode("utf-8", "replace") for t in texts], pa.large_utf8()), [], []
-        for n in (*range(4, 13), 0):  # 0: whole words
-            own, pairs, sample = [], [], []
+        self.total, tables = 0, []
+        column = pa.array([t.decode("utf-8", "replace") for t in texts], pa.large_utf8())
+        for n in s.starts:
+            pairs, own = [], []
             for _, data, at in blocks(column):
                 words = Words(data, at, NOT_SPACE)
-                sums = prefix_sums(data)
-                whole = span_hashes(data, words.starts, words.ends, sums)
+                whole = words.hashes()
                 around = mix(np.concatenate(([0], whole[:-1])).astype(np.uint64) + mix(np.concatenate((whole[1:], [0])).astype(np.uint64)))
-                length = words.ends - words.starts
-                use = length >= n if n else (length >= 4) & (length < 12)
-                first, last = words.starts[use], words.starts[use] + n if n else words.ends[use] + 1
-                own.append(span_hashes(data, first, last, sums))
-                pairs.append(mix(own[-1] + mix(around[use])))
-                sample += [data[i:j].tobytes() for i, j in zip(first, last)] if n == 0 or n >= 5 else [b""] * len(first)
+                first, last = words.starts - 1, np.minimum(words.starts - 1 + n, words.ends + 1)
+                real = first >= 0
+                own.append(span_hashes(data, first[real], last[real]))
+                pairs.append(mix(own[-1] + mix(around[real])))
             own, pairs = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (own, pairs))
             _, at = np.unique(pairs, return_index=True)
-            stem, place, count = np.unique(own[at], return_index=True, return_counts=True)
-            hashes.append(stem)
-            counts.append(count)
-            for i in np.flatnonzero(count >= s.min_count):
-                if name := sample[at[place[i]]]:
-                    self.names[name] = int(count[i])
-        order = np.argsort(hashes := np.concatenate(hashes))
-        self.hashes, self.counts = hashes[order], np.concatenate(counts)[order]
-
-    def of(self, names: list[bytes]) -> np.ndarray:
-        """The counts of any stems."""
-        ends = np.cumsum([0, *map(len, names)])
-        wanted = span_hashes(np.frombuffer(b"".join(names), np.uint8), ends[:-1], ends[1:])
-        if not len(self.hashes):
-            return np.zeros(len(names), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == wanted, self.counts[at], 0)
-
-
-def _contrast(own: Stems, other: Stems, s: Settings) -> list[bytes]:
-    """Stems that mark `own` text, strongest first, each extended while half of its places agree."""
-    share = own.size / max(1, own.size + other.size)
-
-    def z(a: int, b: int) -> float:
-        expected = (a + b) * share
-        if a <= expected:
-            return 0.0
-        rest = b * math.log(b / ((a + b) * (1 - share))) if b else 0.0
-        return math.sqrt(max(0.0, 2 * (a * math.log(a / expected) + rest)))
-
-    names = sorted(own.names)
-    longer: dict[bytes, list[bytes]] = defaultdict(list)
-    for g in names:
-        longer[g[:-1]].append(g)
-    ranked = sorted(((z(own.names[g], int(b)), g) for g, b in zip(names, other.of(names))), key=lambda x: (-x[0], x[1]))
-    out: list[bytes] = []
-    for score, stem in ranked:
-        if score < s.min_z or sum(map(len, out)) > s.dictionary_bytes:
-            break
-        while (more := max(longer.get(stem, ()), key=lambda g: (own.names[g], g), default=None)) and own.names[more] >= 0.5 * own.names[stem]:
-            stem = more
-        entry = b" " + stem
-        if not any(o.startswith(entry) or entry.startswith(o) for o in out):
-            out.append(entry)
+            tables.append(np.unique(own[at], return_counts=True))
+            self.total = max(self.total, len(at))
+        self.hashes = [t[0] for t in tables]
+        self.counts = [t[1] for t in tables]
+
+    def of(self, k: int, wanted: np.ndarray) -> np.ndarray:
+        """Counts of starts of the k-th length."""
+        if not len(self.hashes[k]):
+            return np.zeros(len(wanted), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes[k], wanted), len(self.hashes[k]) - 1)
+        return np.where(self.hashes[k][at] == wanted, self.counts[k][at], 0)
+
+
+def leaning(texts: list[bytes], own: Starts, other: Starts, s: Settings) -> list[tuple[float, bytes]]:
+    """(ratio, start) of every word of the texts that leans to its label, judged by counts in other texts.
+
+    A ratio is the share of a start among the label's words over its share among the
+    others' words, which count one occurrence more than they have.
+    """
+    out: list[tuple[float, bytes]] = []
+    column = pa.array([t.decode("utf-8", "replace") for t in texts], pa.large_utf8())
+    for _, data, at in blocks(column):
+        words = Words(data, at, NOT_SPACE)
+        first = words.starts - 1
+        open_ = first >= 0
+        sums = prefix_sums(data)
+        for k, n in enumerate(s.starts):
+            place = np.flatnonzero(open_)
+            last = np.minimum(first[place] + n, words.ends[place] + 1)
+            wanted = span_hashes(data, first[place], last, sums)
+            ratio = (own.of(k, wanted) / max(1, own.total)) / ((other.of(k, wanted) + 1) / max(1, other.total))
+            leans = ratio >= s.min_ratio
+            open_[place[leans]] = False
+            for r, i, j in zip(ratio[leans].tolist(), first[place[leans]].tolist(), last[leans].tolist()):
+                out.append((r, data[i:j].tobytes()))
     return out
 
 
-def _dictionary(stems: list[bytes]) -> bytes:
-    """Dictionary content: the strongest stems last, where offsets are shortest, then zero bytes."""
-    return b"".join(reversed(stems)) + bytes(16)
+def trained(windows: list[bytes], s: Settings) -> bytes:
+    """A trained dictionary of windows, dealt over samples by a hash; the windows themselves where they are too few to train on."""
+    order = sorted(range(len(windows)), key=lambda i: (hash_of(i), i))
+    samples = [b"".join(windows[i] for i in order[k : k + 16]) for k in range(0, len(order), 16)]
+    try:
+        content = zstandard.train_dictionary(s.dictionary_bytes, samples, k=16, d=6, level=1).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(windows))[-s.dictionary_bytes :]
+    return content
+
+
+def hash_of(i: int) -> int:
+    return (i * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
 
 
 class Meter:
@@ -128,62 +129,92 @@ class Meter:
 
     def __init__(self, toxic: bytes, ordinary: bytes, s: Settings):
         self.s = s
-        size = max(len(toxic), len(ordinary))
         params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=14, chain_log=14, search_log=1, min_match=s.min_match, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=0, write_checksum=0, write_dict_id=0)
-        self.pair = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d.rjust(size, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params) for d in (toxic, ordinary)]
+        self.pair = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(self._content(d), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params) for d in (toxic, ordinary)]
+
+    def _content(self, dictionary: bytes) -> bytes:
+        """Dictionaries at one length, so that offsets cost the same, and zero bytes at their end."""
+        return dictionary[-self.s.dictionary_bytes :].rjust(self.s.dictionary_bytes, b"\0") + bytes(16)
 
-    def features(self, text: str | None) -> list[float]:
-        s, data = self.s, _clean(text)
-        step, (toxic, ordinary) = s.window - s.overlap, (c.compress for c in self.pair)
-        gains = []
-        for i in range(0, max(1, len(data) - s.overlap), step):
-            window = _PAD + data[i : i + s.window]
-            gains.append(len(ordinary(window)) - len(toxic(window)))
-        gain, n = np.array(gains), len(gains)
-        counts = [int((gain >= v).sum()) for v in s.steps]
-        return [*map(math.log1p, counts), *(math.sqrt(c / n) for c in counts), float(gain.max()), float(gain.mean()), math.log(n)]
+    def gains(self, text: bytes) -> np.ndarray:
+        s, (toxic, ordinary) = self.s, (c.compress for c in self.pair)
+        windows = [_PAD + text[i : i + s.window] for i in range(0, max(1, len(text) - s.overlap), s.window - s.overlap)]
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows])
+
+    def features(self, text: bytes) -> list[float]:
+        gains = self.gains(text)
+        counts = [int((gains >= v).sum()) for v in self.s.thresholds]
+        return [*map(math.log1p, counts), *(math.sqrt(c / len(gains)) for c in counts)]
 
 
 @dataclass
-class Model:
+class Half:
     toxic: bytes
     ordinary: bytes
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray  # the last is the intercept
+
+
+@dataclass
+class Model:
+    halves: list[Half]
     settings: Settings
 
     def scorer(self):
-        meter = Meter(self.toxic, self.ordinary, self.settings)
+        meters = [(Meter(h.toxic, h.ordinary, self.settings), h) for h in self.halves]
 
         def score(text: str | None) -> float:
-            x = (np.array(meter.features(text)) - self.mean) / self.scale
-            return float(1 / (1 + math.exp(-float(np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))))
+            clean, z = _clean(text), 0.0
+            for meter, h in meters:
+                x = (np.array(meter.features(clean)) - h.mean) / h.scale
+                z += float(x @ h.weights[:-1] + h.weights[-1]) / len(meters)
+            return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
         return score
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights of a logistic regression in which both labels weigh the same."""
     a, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    share = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, len(y) - y.sum())) * len(y)
     penalty = np.append(np.full(x.shape[1], ridge), 1e-6)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-9), a.T @ (p - y) + penalty * w)
+        w -= np.linalg.solve((a * (share * p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-9), a.T @ (share * (p - y)) + penalty * w)
     return w
 
 
 def fit(rows: list[tuple[str | None, int]], s: Settings = Settings()) -> Model | None:
-    """Dictionaries and calibration from labelled texts; None if a label is missing altogether."""
+    """Dictionaries and calibration from labelled texts; None if a label is missing altogether.
+
+    Equal rows count once.  A half without texts of both labels gives no pair of its own;
+    if neither has them, both halves are all rows.
+    """
     rows = sorted({(t or "", int(y)) for t, y in rows})
-    y = np.array([r[1] for r in rows], float)
-    if not len(y) or y.min() == y.max():
+    if len({y for _, y in rows}) < 2:
         return None
-    stems = {v: Stems([_clean(t) for t, label in rows if label == v], s) for v in (0, 1)}
-    toxic, ordinary = (_dictionary(_contrast(stems[v], stems[1 - v], s)) for v in (1, 0))
-    meter = Meter(toxic, ordinary, s)
-    x = np.array([meter.features(t) for t, _ in rows])
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return Model(toxic, ordinary, mean, scale, _logistic((x - mean) / scale, y, s.ridge), s)
+    clean = [_clean(t) for t, _ in rows]
+    side = [hash_of(i + 1) >> 63 for i in range(len(rows))]
+    parts = [{y: [c for c, (_, label), k in zip(clean, rows, side) if k == half and label == y] for y in (0, 1)} for half in (0, 1)]
+    usable = all(p[0] and p[1] for p in parts)
+    if not usable:
+        parts = [{y: [c for c, (_, label) in zip(clean, rows) if label == y] for y in (0, 1)}] * 2
+    starts = [{y: Starts(p[y], s) for y in (0, 1)} for p in parts]
+    halves = []
+    for own in (0, 1) if usable else (0,):
+        other = 1 - own
+        toxic = [w for _, w in leaning(parts[own][1], starts[other][1], starts[other][0], s)]
+        # as many ordinary windows, those that lean to their label most
+        lean = sorted(leaning(parts[own][0], starts[other][0], starts[other][1], Settings(**{**vars(s), "starts": s.starts[:1], "min_ratio": 1.0})), key=lambda x: (-x[0], x[1]))
+        ordinary = [w for _, w in lean[: max(len(toxic), 64)]]
+        dictionaries = trained(toxic, s), trained(ordinary, s)
+        meter = Meter(*dictionaries, s)
+        x = np.array([meter.features(c) for y in (0, 1) for c in parts[other][y]])
+        y = np.repeat([0.0, 1.0], [len(parts[other][0]), len(parts[other][1])])
+        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+        halves.append(Half(*dictionaries, mean, scale, _logistic((x - mean) / scale, y, s.ridge)))
+    return Model(halves, s)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -192,11 +223,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
-    """Fit on at most `sample_rows` labelled rows outside the held-out fold, taken in the order of a hash of their ids."""
+    """Fit on at most `sample_rows` labelled rows outside the held-out fold, taken in the order of a hash of their ids.
+
+    Of a text of more than `sample_pieces` times `piece_chars` characters so many pieces
+    are used, spread evenly from its start to its end; so what reaches the driver is
+    bounded by the three settings.
+    """
     order = [F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":sample"))), "doc_id"]
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     ids = known.groupBy("doc_id").agg(F.max("toxic").alias("label")).orderBy(*order).limit(s.sample_rows)
-    texts = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= s.sample_bytes)
+    most, last = s.sample_pieces * s.piece_chars, max(1, s.sample_pieces - 1)
+    spread = f"concat_ws(' ', transform(sequence(0, {s.sample_pieces - 1}), i -> substring(text, cast(1 + i * (length(text) - {s.piece_chars}) div {last} as int), {s.piece_chars})))"
+    texts = docs.select("doc_id", F.when(F.length("text") > most, F.expr(spread)).otherwise(F.col("text")).alias("text"))
     sample = texts.join(F.broadcast(ids), "doc_id").orderBy(*order, "text").limit(s.sample_rows)  # ids: sample_rows rows at most
     return fit([(r.text, r.label) for r in sample.select("text", "label").collect()], s)
 
