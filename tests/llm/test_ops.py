@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, graph, jaccard, licenses, lm, mixing, pieces, quality, substrings, toxicity, warc
+from tidemark.llm import _store, ann, graph, jaccard, licenses, lm, mixing, pieces, quality, substrings, toxicity, warc
 from tidemark.llm._text import LOWER, NOT_SPACE, Words, blocks, span_hashes, window_hashes
 
 LOWER_AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -503,7 +503,7 @@ def linked(rows, k=5, percent=75):
     return [(r[0], len(s), smallest.get(find(i))) for i, (r, s) in enumerate(zip(rows, sets))]
 
 
-@pytest.mark.parametrize("settings", [jaccard.Settings(), jaccard.Settings(frequent=2, counted=2, rounds=2), jaccard.Settings(frequent=2, counted=2, salted=3, rounds=0, max_broadcast=0)])
+@pytest.mark.parametrize("settings", [jaccard.Settings(), jaccard.Settings(frequent=2, rounds=2, range_hashes=500), jaccard.Settings(frequent=2, salted=3, rounds=0, max_broadcast=0, place_rows=2)])
 def test_jaccard(spark, docs, none, settings):
     got = jaccard.join(clashing(docs), settings).collect()
     want = linked(ROWS)
@@ -524,14 +524,14 @@ def test_jaccard_on_many_near_copies(spark, tmp_path):
         rows.append((i, " ".join(w)))
     path = str(tmp_path / "d")
     spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(path)
-    for s in (jaccard.Settings(frequent=4, counted=2), jaccard.Settings(frequent=4, counted=2, salted=20)):
+    for s in (jaccard.Settings(frequent=4), jaccard.Settings(frequent=4, salted=20, rounds=0, place_rows=7)):
         got = jaccard.join(spark.read.parquet(path), s).collect()
         same([(x.doc_id, x.n_shingles, x.component_id) for x in got], linked(rows))
 
 
 def test_keys_meet_for_every_similar_pair():
     r, s = np.random.default_rng(1), jaccard.Settings(frequent=5)
-    often = {int(h): int(r.choice([0, 0, 1, 7, 9, 100])) for h in r.integers(1, 1 << 62, 60)}
+    often = {int(h): int(r.choice([2, 2, 3, 7, 9, 100])) for h in r.integers(1, 1 << 62, 60)}
     universe = np.array(sorted(often), np.uint64)
     for _ in range(400):
         n = int(r.integers(3, 40))
@@ -562,14 +562,14 @@ def test_components(spark):
 def test_row_numbers_do_not_change_with_splits(spark, docs, monkeypatch, module):
     run = {jaccard: jaccard.join, substrings: substrings.remove_repeats, licenses: licenses.scan}[module]
     rows = lambda: [r.asDict() for r in run(docs).drop("rid", "root").collect()]
-    want, write = rows(), module.materialize
+    want, write = rows(), _store._write
 
-    def moved(df, label):
-        out = write(df, label)
+    def moved(df, path):
+        out = write(df, path)
         spark.conf.set("spark.sql.files.minPartitionNum", "100")
         return out
 
-    monkeypatch.setattr(module, "materialize", moved)
+    monkeypatch.setattr(_store, "_write", moved)
     spark.conf.set("spark.sql.files.minPartitionNum", "1")
     try:
         got = rows()
@@ -578,6 +578,32 @@ def test_row_numbers_do_not_change_with_splits(spark, docs, monkeypatch, module)
     same(got, want)
 
 
+def test_counts_of_shingles_are_complete(spark, docs):
+    """What blocks are told about their shingles, against counts over all sets."""
+    store, s = _store.Scratch(spark), jaccard.Settings(frequent=3, range_hashes=700)
+    table = _store.blocked(docs.select("doc_id", "text"), "test-blocks", store, block_bytes=2000)
+    texts = [r.text for r in table.collect()]
+    assert len({r.block for r in table.collect()}) > 10 and len({r.rid for r in table.collect()}) == len(ROWS)
+    by_block = collections.defaultdict(set)
+    for r in table.collect():
+        for _, h, _ in jaccard.shingle_sets(pa.array([r.text]), 5):
+            if len(h):
+                by_block[r.block].add(tuple(h.tolist()))
+    often = collections.Counter(x for sets in by_block.values() for h in sets for x in h)
+    hashes = sum(len(h) for _, h, _ in jaccard.shingle_sets(pa.array(texts), 5))
+    got = collections.defaultdict(set)
+    for r in jaccard.postings(table, hashes, s).collect():
+        got[r.id].add((r.n, tuple(sorted(r["keys"]))))
+    want = collections.defaultdict(set)
+    for sets in by_block.values():
+        for h in sets:
+            h = np.array(h, np.uint64)
+            count = jaccard._OFTEN[jaccard._level(np.array([often[x] for x in h.tolist()]))]
+            keys = jaccard.keys_of(h, count, s)[0].view(np.int64)
+            want[int(jaccard.set_ids(h, np.array([0, len(h)]))[0])].add((len(h), tuple(sorted(keys.tolist()))))
+    assert got == want
+
+
 # -- 10: neighbours ---------------------------------------------------------------------------------------
 
 

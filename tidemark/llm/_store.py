@@ -2,38 +2,86 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+_own: dict[str, str] = {}  # folders of local applications that name none
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_own: dict[str, str] = {}  # folders of applications that name none
+
+def _qualified(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, with its file system; where that is unset (tests), a new local one."""
+    """The folder named by spark.checkpoint.dir, with its file system.
+
+    Where that is unset, a new temporary folder if all of Spark is this one process (tests);
+    on a cluster that would be out of the executors' reach, so there it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
-        at = _own.setdefault(spark.sparkContext.applicationId, "")
-        if not at:
-            at = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    full = str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path))
-    return re.sub(r"^file:/+", "file:///", full).rstrip("/")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        at = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    path, system = _qualified(spark, at)
+    return re.sub(r"^file:/+", "file:///", str(system.makeQualified(path))).rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """Spark is told to delete the write's shuffle files when it ends, as nothing reads them again."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, new_path(df.sparkSession, label))
+
+
+class Scratch:
+    """Stored tables of one run of an operator; those that nothing reads any more are deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(self.spark, label)
+        out = _write(df, path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            path, system = _qualified(self.spark, self.paths.pop(id(table))[1])
+            system.delete(path, True)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drop all but these."""
+        kept = {id(t) for t in tables}
+        self.drop(*(t for k, (t, _) in list(self.paths.items()) if k not in kept))
 
 
 def numbered(df: DataFrame, label: str) -> DataFrame:
@@ -45,10 +93,28 @@ def numbered(df: DataFrame, label: str) -> DataFrame:
     return materialize(df.withColumn("rid", F.monotonically_increasing_id()), label)
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark delete shuffle files of plans that are done with: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def blocked(df: DataFrame, label: str, store: Scratch, text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+    """`df` written with a number `rid` for each row and one for each `block` of consecutive rows.
+
+    A block holds whole rows, of `block_bytes` of text at most or of a single row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid, block, size = TaskContext.get().partitionId() << 33, -1, 0
+        for batch in batches:
+            blocks = np.empty(batch.num_rows, np.int64)
+            for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()):
+                if block < 0 or size + n > block_bytes:
+                    block, size = rid + i, 0
+                blocks[i] = block
+                size += n
+            rids = rid + np.arange(batch.num_rows)
+            rid += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rids), pa.array(blocks)], [*batch.schema.names, "rid", "block"])
+
+    df = df.drop("rid", "block")
+    schema = StructType([*df.schema.fields, StructField("rid", LongType()), StructField("block", LongType())])
+    return store.write(df.mapInArrow(run, schema), label)
 
 
 def broadcast_up_to(df: DataFrame, rows: int, most: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm._store import materialize
+from tidemark.llm._store import Scratch
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,19 +14,21 @@ def components(links: DataFrame) -> DataFrame:
     with the links between what they point at; the rounds' tables are written, so a lost
     executor costs one round at most.  Ids without a link, and links with nulls, give no row.
     """
-    edges = materialize(links.select("a", "b").where("a <> b").distinct(), "graph-links")
+    store = Scratch(links.sparkSession)
+    edges = store.write(links.select("a", "b").where("a <> b").distinct(), "graph-links")
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         parents = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("root"))
-        parents = materialize(parents, "graph-parents")
+        parents = store.write(parents, "graph-parents")
+        left = edges.join(parents.withColumnRenamed("id", "a"), "a").select(F.col("root").alias("x"), "b")
+        both = left.join(parents.withColumnRenamed("id", "b"), "b").select(F.least("x", "root").alias("a"), F.greatest("x", "root").alias("b"))
+        edges = store.write(both.where("a <> b").distinct(), "graph-links")
         if labels is None:
             labels = parents
         else:
             next_ = parents.select(F.col("id").alias("root"), F.col("root").alias("next"))
-            labels = labels.join(next_, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-            labels = materialize(labels, "graph-labels")
-        left = edges.join(parents.withColumnRenamed("id", "a"), "a").select(F.col("root").alias("x"), "b")
-        both = left.join(parents.withColumnRenamed("id", "b"), "b").select(F.least("x", "root").alias("a"), F.greatest("x", "root").alias("b"))
-        edges = materialize(both.where("a <> b").distinct(), "graph-links")
+            labels = store.write(labels.join(next_, "root", "left").select("id", F.coalesce("next", "root").alias("root")), "graph-labels")
+        store.keep(edges, labels)
+    store.drop(edges)
     return labels if labels is not None else links.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0)

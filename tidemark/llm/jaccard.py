@@ -1,8 +1,10 @@
 """Similarity join on word shingles by token-combination prefixes.
 
-Shingles are put into one global order, rare ones first.  Two sets that are similar enough
-share their first common shingle within a short prefix of both.  Where that shingle is rare
-it is indexed by itself.  Where it is frequent, the prefix is extended by B shingles: then
+Shingles are put into one global order, rare ones first, by counts over all texts: blocks of
+texts send their hashes to the range that counts them, which sends the counts' logarithms
+back.  Two sets that are similar enough share their first common shingle within a short
+prefix of both.  Where that shingle is rare it is indexed by itself, and one that a single
+set holds is not indexed at all.  Where it is frequent, the prefix is extended by B shingles: then
 B + 1 common shingles lie in it, two of them fall into one of B hash buckets, and so pairs
 of frequent shingles of one bucket are indexed instead of single ones.  Sets that share an
 index key are verified exactly, after a bound from bitmaps has dropped what cannot be similar.
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm._store import broadcast_up_to, materialize, most_frequent, numbered, release
+from tidemark.llm._store import Scratch, blocked, broadcast_up_to
 from tidemark.llm._text import LOWER, NOT_SPACE, Words, blocks, mix, window_hashes
 from tidemark.llm.graph import components
 
@@ -32,10 +34,10 @@ class Settings:
     words: int = 5
     percent: int = 75  # of the union that two linked sets share
     frequent: int = 64  # sets that hold a frequent shingle, about
-    counted: int = 3  # sets that hold a shingle whose count decides its place in the order
-    max_counted: int = 1 << 20  # shingles whose counts all tasks are told, the most frequent ones; the others come first
+    range_hashes: int = 1 << 21  # hashes counted in one range, about
     rounds: int = 1  # further sets that all sets of a key are compared with, before all that are left are
-    salted: int = 50_000  # sets per part of a key that more sets than this hold, and rows of groups around one component per task
+    salted: int = 50_000  # sets per part of a key that more sets than this hold
+    place_rows: int = 4096  # rows per task when what is left of groups is compared; a larger group goes in pairs of blocks
     max_broadcast: int = 500_000  # ids up to which they are broadcast to the texts
 
 
@@ -65,23 +67,6 @@ def set_ids(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(size > 0, np.maximum(out, np.uint64(1)), np.uint64(0)).view(np.int64)
 
 
-class _Seen:
-    """Names of sets that a task has met; it forgets them beyond a million."""
-
-    def __init__(self) -> None:
-        self.names: set[int] = set()
-
-    def fresh(self, ids: np.ndarray) -> np.ndarray:
-        if len(self.names) > 1_000_000:
-            self.names.clear()
-        out = np.zeros(len(ids), bool)
-        for i, name in enumerate(ids.tolist()):
-            if name and name not in self.names:
-                self.names.add(name)
-                out[i] = True
-        return out
-
-
 def _list(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
 
@@ -102,22 +87,24 @@ def _buckets(n: int, percent: int) -> int:
 
 
 def keys_of(h: np.ndarray, often: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(index keys, expected sets of each) of one set of hashes, given how many sets hold each (0: hardly any)."""
+    """(index keys, expected sets of each) of one set of hashes, given about how many sets hold each (1: no other set)."""
     n = len(h)
     if n < 3:  # only an equal set can be similar enough, and equal sets are one already
         return h[:0], often[:0]
     first = n - _needed(n, s.percent) + 1
     scarce = np.flatnonzero(often < s.frequent)
     scarce = scarce[np.argsort(often[scarce], kind="stable")]  # by count, then by hash
-    rare = h[scarce]
-    if len(rare) >= first:
-        return rare[:first], np.zeros(first, np.int64)
+    shared = scarce[:first]
+    shared = shared[often[shared] > 1]
+    rare = len(scarce)
+    keys, sizes = [h[shared]], [often[shared]]
+    if rare >= first:
+        return keys[0], sizes[0]
     busy = np.flatnonzero(often >= s.frequent)
     busy = busy[np.lexsort((h[busy], often[busy]))]
-    keys, sizes = [rare], [np.zeros(len(rare), np.int64)]
     low, high = -(-s.percent * n // 100), 100 * n // s.percent
     for b in sorted({_buckets(m, s.percent) for m in range(low, high + 1)} if high - low < 64 else {1 << e for e in range(_buckets(low, s.percent).bit_length() - 1, _buckets(high, s.percent).bit_length())}):
-        part = busy[: max(0, min(n, first + b) - len(rare))]
+        part = busy[: max(0, min(n, first + b) - rare)]
         bucket = (h[part] >> np.uint64(9)) & np.uint64(b - 1)
         by = np.argsort(bucket, kind="stable")
         part, bucket = part[by], bucket[by]
@@ -131,66 +118,138 @@ def keys_of(h: np.ndarray, often: np.ndarray, s: Settings) -> tuple[np.ndarray,
     return np.concatenate(keys), np.concatenate(sizes)
 
 
+# -- counts of shingles ---------------------------------------------------------------------
+
+
+def _cells(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Each hash's range and, within it, 32 bits by which counts tell hashes apart: one number, ordered by both.
+
+    Hashes that agree in these share their count, which moves them in the order but loses none.
+    """
+    low = h & np.uint64(0xFFFFFFFF)
+    return ((((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)) << np.uint64(32)) | low
+
+
+def _level(count: np.ndarray) -> np.ndarray:
+    """Quarter steps of the logarithm: 0 for a hash that one set holds."""
+    return np.where(count > 1, 1 + np.floor(4 * np.log2(np.maximum(count, 1))), 0).astype(np.uint8)
+
+
+#: About how many sets hold a shingle of each level.
+_OFTEN = np.concatenate(([1], np.ceil(2.0 ** (np.arange(255) / 4)).clip(2, 2**62))).astype(np.int64)
+
+
+def _different(ids: np.ndarray) -> np.ndarray:
+    """Marks the first set of each name, empty ones left out."""
+    keep = np.zeros(len(ids), bool)
+    keep[np.unique(ids, return_index=True)[1]] = True
+    return keep & (ids != 0)
+
+
 def _summaries(k: int):
-    """Pass 1: (rid, doc_id, n, id, bits) of documents, and (shingle, n) of shingles that several sets of one batch hold."""
+    """(rid, doc_id, n, id, bits) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, names = _Seen(), ["rid", "doc_id", "n", "id", "bits", "shingle"]
         for batch in batches:
-            held = []
             for rows, h, bounds in shingle_sets(batch.column("text"), k):
-                ids = set_ids(h, bounds)
-                size = len(ids)
                 maps = [bitmap(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
                 bits = _list(np.concatenate(maps), np.concatenate(([0], np.cumsum([len(m) for m in maps]))), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("rid")[rows], batch.column("doc_id")[rows], pa.array(np.diff(bounds)), pa.array(ids), bits, pa.nulls(size, pa.int64())], names)
-                held.append(_pick(h, bounds, seen.fresh(ids))[0])
-            if held:
-                values = np.sort(np.concatenate(held))
-                first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
-                count = np.diff(np.append(first, len(values)))
-                again = values[first[count > 1]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int64()), pa.array(count[count > 1]), pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.list_(pa.int64())), pa.array(again)], names)
+                yield pa.RecordBatch.from_arrays([batch.column("rid")[rows], batch.column("doc_id")[rows], pa.array(np.diff(bounds)), pa.array(set_ids(h, bounds)), bits], ["rid", "doc_id", "n", "id", "bits"])
 
     return run
 
 
-def _postings(s: Settings, shingle: np.ndarray, often: np.ndarray):
-    """Pass 2: (id, n, rare, keys, parts) of the sets, each once per task; `rare` are its shingles in a thousand that are not frequent."""
-    by = np.argsort(shingle)
-    shingle, often = shingle[by], often[by]
+def _block_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, bounds, names) of the different sets of a block's texts."""
+    hs, sizes, names = [], [], []
+    for _, h, bounds in shingle_sets(texts, k):
+        hs.append(h)
+        sizes.append(np.diff(bounds))
+        names.append(set_ids(h, bounds))
+    if not hs:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    names, bounds = np.concatenate(names), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+    keep = _different(names)
+    return *_pick(np.concatenate(hs), bounds, keep), names[keep]
+
+
+def _sent(k: int, ranges: int):
+    """(range, block, data): the sorted cells of a block's sets, one entry for each set that holds one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
         for batch in batches:
-            for _, h, bounds in shingle_sets(batch.column("text"), s.words):
-                ids = set_ids(h, bounds)
-                keep = seen.fresh(ids)
-                h, bounds = _pick(h, bounds, keep)
-                ids, known = ids[keep], np.zeros(len(h), np.int64)
-                if len(shingle) and len(h):
-                    at = np.minimum(np.searchsorted(shingle, h), len(shingle) - 1)
-                    known = np.where(shingle[at] == h, often[at], 0)
-                found = [keys_of(h[a:b], known[a:b], s) for a, b in zip(bounds[:-1], bounds[1:])]
-                scarce = np.concatenate(([0], np.cumsum(known < s.frequent)))[bounds]
-                rare = 1000 * np.diff(scarce) // np.maximum(np.diff(bounds), 1)
-                if found:
-                    cuts = np.concatenate(([0], np.cumsum([len(k) for k, _ in found])))
-                    keys, sizes = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
-                    parts = np.repeat(ids.view(np.uint64), np.diff(cuts)) % (sizes // s.salted + 1).astype(np.uint64)
-                    parts = np.where(sizes >= s.salted, parts.astype(np.int64) + 1, 0)  # 0: the key is whole
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(bounds)), pa.array(rare.astype(np.int32)), _list(keys.view(np.int64), cuts, pa.int64()), _list(parts.astype(np.int32), cuts, pa.int32())], ["id", "n", "rare", "keys", "parts"])
+            block = batch.column("block").to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(block) else []
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                cells = np.sort(_cells(_block_sets(batch.column("text")[low:high], k)[0], ranges))
+                if not len(cells):
+                    continue
+                of = cells >> np.uint64(32)
+                at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                data, ends = cells.astype(np.uint32), np.append(at[1:], len(cells))
+                yield pa.RecordBatch.from_arrays([pa.array(of[at].astype(np.int64)), pa.array(np.full(len(at), block[low])), pa.array([data[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())], ["range", "block", "data"])
 
     return run
 
 
+def _counted(table: pa.Table) -> pa.Table:
+    """(block, range, levels) for one range: the levels of each block's cells in order, each once."""
+    block = table.column("block").to_numpy()
+    data = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("data").combine_chunks()]
+    cells, count = np.unique(np.concatenate(data), return_counts=True)
+    level = _level(count)
+    own: dict[int, list[np.ndarray]] = {}
+    for b, x in zip(block.tolist(), data):
+        own.setdefault(b, []).append(x)
+    out = [level[np.searchsorted(cells, np.unique(np.concatenate(x)))].tobytes() for x in own.values()]
+    number = table.column("range")[0].as_py()
+    return pa.table({"block": pa.array(list(own), pa.int64()), "range": pa.array(np.full(len(own), number)), "levels": pa.array(out, pa.binary())})
+
+
+def _postings(s: Settings, ranges: int):
+    """(id, n, rare, keys, parts) of a block's sets; `rare` are its shingles in a thousand that are not frequent."""
+
+    def run(texts: pa.Table, levels: pa.Table) -> pa.Table:
+        h, bounds, names = _block_sets(texts.column("text").combine_chunks(), s.words)
+        cells = _cells(h, ranges)
+        every = np.unique(cells)
+        by = np.argsort(levels.column("range").to_numpy())
+        told = levels.column("levels").combine_chunks().take(pa.array(by)) if len(by) else []
+        level = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_buffer(), np.uint8) for x in told)])
+        if len(level) != len(every):
+            raise ValueError(f"{len(level)} counts came back for {len(every)} shingles of a block")
+        often = _OFTEN[level[np.searchsorted(every, cells)]]
+        found = [keys_of(h[a:b], often[a:b], s) for a, b in zip(bounds[:-1], bounds[1:])]
+        scarce = np.concatenate(([0], np.cumsum(often < s.frequent)))[bounds]
+        rare = 1000 * np.diff(scarce) // np.maximum(np.diff(bounds), 1)
+        cuts = np.concatenate(([0], np.cumsum([len(k) for k, _ in found]))).astype(np.int64)
+        keys, sizes = np.concatenate([h[:0], *(k for k, _ in found)]), np.concatenate([often[:0], *(n for _, n in found)])
+        parts = np.repeat(names.view(np.uint64), np.diff(cuts)) % (sizes // s.salted + 1).astype(np.uint64)
+        parts = np.where(sizes >= s.salted, parts.astype(np.int64) + 1, 0)  # 0: the key is whole
+        return pa.table([pa.array(names), pa.array(np.diff(bounds)), pa.array(rare.astype(np.int32)), _list(keys.view(np.int64), cuts, pa.int64()), _list(parts.astype(np.int32), cuts, pa.int32())], ["id", "n", "rare", "keys", "parts"])
+
+    return run
+
+
+def postings(docs: DataFrame, hashes: int, s: Settings) -> DataFrame:
+    """The postings of the sets of `docs` (block, text), which hold `hashes` shingles in all."""
+    ranges = max(1, -(-hashes // s.range_hashes))
+    sent = docs.select("block", "text").mapInArrow(_sent(s.words, ranges), "range long, block long, data binary")
+    levels = sent.groupBy("range").applyInArrow(_counted, "block long, range long, levels binary")
+    both = docs.select("block", "text").groupBy("block").cogroup(levels.groupBy("block"))
+    return both.applyInArrow(_postings(s, ranges), "id long, n long, rare int, keys array<long>, parts array<int>")
+
+
+# -- groups of sets with a key in common ------------------------------------------------------
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, part, rare, id, n) sorted in this order to (group, id, n, rare, pivot): keys of one set are dropped, and keys of the same sets are one group.
+    """Rows (key, part, rare, id, n) sorted in this order to (group, id, n, rare, pivot): keys of one set are dropped, and keys of the same sets get one name.
 
     The pivot is the set with the fewest rare shingles: among copies of one text that is
     the text they come from, or nearly, which more of them resemble than any other.
     """
-    names, told = ["key", "part", "id", "n", "rare"], set()
+    names = ["key", "part", "id", "n", "rare"]
 
     def out(key: np.ndarray, part: np.ndarray, ids: np.ndarray, n: np.ndarray, rare: np.ndarray) -> pa.RecordBatch:
         once = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (ids[1:] != ids[:-1]))
@@ -200,13 +259,6 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.add.reduceat(mix(ids.view(np.uint64)), first)
         group = np.where(part[first] > 0, mix(key[first].view(np.uint64) ^ _C), mix(total + size.astype(np.uint64) * _C)).view(np.int64)
         keep = size > 1
-        if len(told) > 1_000_000:
-            told.clear()
-        for i in np.flatnonzero(keep & (part[first] == 0)).tolist():
-            name = int(group[i])
-            if name in told:
-                keep[i] = False
-            told.add(name)
         keep |= part[first] > 0  # sets of other parts may follow
         rows, pivot = np.repeat(keep, size), np.repeat(ids[first], size)
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(group, size)[rows]), pa.array(ids[rows]), pa.array(n[rows]), pa.array(rare[rows]), pa.array(pivot[rows])], ["group", "id", "n", "rare", "pivot"])
@@ -228,10 +280,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Crowd:
-    """The sets of one group: which of them may be similar to sets of other components, by size and bitmap."""
+    """The sets of one group: which of them may be similar to sets of other components, by size and bitmap.
+
+    Sets of one side have met elsewhere; a side below 0 is none.
+    """
 
-    def __init__(self, n: np.ndarray, root: np.ndarray, bits: list[np.ndarray], percent: int):
-        self.n, self.root, self.percent = n, root, percent
+    def __init__(self, n: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[np.ndarray], percent: int):
+        self.n, self.root, self.side, self.percent = n, root, side, percent
         length = np.array([len(b) for b in bits])
         self.length, self.row = length, np.zeros(len(n), np.int64)
         self.maps: dict[tuple[int, int], np.ndarray] = {}
@@ -249,55 +304,63 @@ class _Crowd:
     def like(self, i: int) -> np.ndarray:
         """Places after i."""
         n = self.n[i + 1 :]
-        j = np.flatnonzero((self.root[i + 1 :] != self.root[i]) & (100 * np.minimum(n, self.n[i]) >= self.percent * np.maximum(n, self.n[i]))) + i + 1
+        apart = (self.root[i + 1 :] != self.root[i]) & ((self.side[i + 1 :] != self.side[i]) | (self.side[i] < 0))
+        j = np.flatnonzero(apart & (100 * np.minimum(n, self.n[i]) >= self.percent * np.maximum(n, self.n[i]))) + i + 1
         out, k = [], int(self.length[i])
         for other in np.unique(self.length[j]).tolist():
             part, to = j[self.length[j] == other], min(k, other)
-            apart = np.bitwise_count(self.folded(other, to)[self.row[part]] ^ self.folded(k, to)[self.row[i]]).sum(axis=1)
+            differ = np.bitwise_count(self.folded(other, to)[self.row[part]] ^ self.folded(k, to)[self.row[i]]).sum(axis=1)
             both = self.n[part] + self.n[i]
-            most = (both - apart.astype(np.int64)) // 2
+            most = (both - differ.astype(np.int64)) // 2
             out.append(part[100 * most >= self.percent * (both - most)])
         return np.concatenate(out) if out else j
 
 
 def _cross(percent: int):
-    """Rows (group, id, n, root, bits) sorted by group to the pairs (a, b) of one group and different roots that may be similar."""
+    """Rows (cell, id, n, root, side, bits) sorted by cell to the pairs (a, b) of one cell and different roots that may be similar."""
+    names = ("cell", "id", "n", "root", "side")
 
-    def pairs(group: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[np.ndarray], told: set) -> Iterator[pa.RecordBatch]:
-        cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
-        found: list[tuple[int, int]] = []
+    def pairs(cell: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        held = 0
         for low, high in zip(cuts[:-1], cuts[1:]):
-            crowd = _Crowd(n[low:high], root[low:high], bits[low:high], percent)
+            crowd = _Crowd(n[low:high], root[low:high], side[low:high], bits[low:high], percent)
             for i in range(high - low - 1):
-                for j in crowd.like(i).tolist():
-                    pair = tuple(sorted((int(ids[low + i]), int(ids[low + j]))))
-                    if pair not in told:
-                        told.add(pair)
-                        found.append(pair)
+                near = crowd.like(i)
+                if len(near):
+                    found.append((np.full(len(near), ids[low + i]), ids[low + near]))
+                    held += len(near)
+                    if held > 100_000:
+                        yield out()
+                        held = 0
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield out()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        told: set[tuple[int, int]] = set()
         for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in ("group", "id", "n", "root")]
+            rows = [batch.column(c).to_numpy() for c in names]
             if not len(rows[0]):
                 continue
             bits = [b.values.to_numpy() for b in batch.column("bits")]
             same = rows[0] == rows[0][-1]
             cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if len(told) > 1_000_000:
-                told.clear()
             if cut:
                 held.append((*(c[:cut] for c in rows), bits[:cut]))
                 *done, maps = zip(*held)
-                yield from pairs(*(np.concatenate(c) for c in done), sum(maps, []), told)
+                yield from pairs(*(np.concatenate(c) for c in done), sum(maps, []))
                 held = []
             held.append((*(c[cut:] for c in rows), bits[cut:]))
         if held:
             *done, maps = zip(*held)
-            yield from pairs(*(np.concatenate(c) for c in done), sum(maps, []), told)
+            yield from pairs(*(np.concatenate(c) for c in done), sum(maps, []))
 
     return run
 
@@ -337,29 +400,30 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
-def join(docs: DataFrame, s: Settings = Settings(), rid: bool = False) -> DataFrame:
-    """A row for each row of `docs` (doc_id, text): doc_id, rid, n_shingles, component_id and root.
+def join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """A row for each row of `docs` (doc_id, text): doc_id, n_shingles, component_id and root.
 
     component_id is the smallest doc_id that links reach from the row; as ids may be null or
     reused, only `root` tells components apart (it is null for an empty set).  Null texts and
     texts without words have an empty set and are linked with nothing, not even each
-    other.  Rows are told apart by a stored number (with `rid`, that
-    of `docs` itself, which must be stored); equal rows are copies like any other.  A null
-    doc_id is never the smallest unless the component has no other.
+    other.  Rows are told apart by a stored number; equal rows are copies like any other.  A
+    null doc_id is never the smallest unless the component has no other.
     """
-    docs = docs.select("doc_id", "text", *(["rid"] if rid else []))
-    docs = docs if rid else numbered(docs, "join-rows")
-    first = materialize(docs.mapInArrow(_summaries(s.words), "rid long, doc_id long, n long, id long, bits array<long>, shingle long"), "join-sets")
-    rows = first.where("rid is not null").select("rid", "doc_id", "n", "id")
-    often = first.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= s.counted)
-    often = most_frequent(often, s.max_counted).toPandas()
-    shingle, count = often["shingle"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
-    postings = docs.select("text").mapInArrow(_postings(s, shingle, count), "id long, n long, rare int, keys array<long>, parts array<int>")
-    flat = postings.select("id", "n", "rare", F.explode(F.arrays_zip("keys", "parts")).alias("k")).select("k.keys", "k.parts", "id", "n", "rare").toDF("key", "part", "id", "n", "rare")
+    store = Scratch(docs.sparkSession)
+    found = join_blocked(blocked(docs.select("doc_id", "text"), "join-rows", store), store, s)
+    return found.drop("rid")
+
+
+def join_blocked(docs: DataFrame, store: Scratch, s: Settings = Settings()) -> DataFrame:
+    """`join` over a table of `blocked` (doc_id, text, rid, block), with rid; what the result does not read is deleted from `store`, but not `docs`."""
+    sets = store.write(docs.select("rid", "doc_id", "text").mapInArrow(_summaries(s.words), "rid long, doc_id long, n long, id long, bits array<long>"), "join-sets")
+    rows = sets.select("rid", "doc_id", "n", "id")
+    hashes = sets.agg(F.sum("n")).first()[0] or 0
+    found = postings(docs, hashes, s)
+    flat = found.select("id", "n", "rare", F.explode(F.arrays_zip("keys", "parts")).alias("k")).select("k.keys", "k.parts", "id", "n", "rare").toDF("key", "part", "id", "n", "rare")
     dealt = flat.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "rare", "id")
     groups = dealt.mapInArrow(_groups, "group long, id long, n long, rare int, pivot long").dropDuplicates(["group", "id", "pivot"])
-    groups = materialize(groups, "join-groups")
-    release(docs.sparkSession)
+    groups = store.write(groups, "join-groups")
 
     holders = rows.where("n > 0").groupBy("id").agg(F.min("rid").alias("rid"))  # a text of each set
 
@@ -370,29 +434,26 @@ def join(docs: DataFrame, s: Settings = Settings(), rid: bool = False) -> DataFr
 
     def of(members: DataFrame) -> DataFrame:
         """(id, rid) of the sets in (id)."""
-        return materialize(holders.join(members.distinct(), "id", "left_semi"), "join-members")
+        return holders.join(members.distinct(), "id", "left_semi")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
 
     def bitmaps(members: DataFrame) -> DataFrame:
-        return materialize(first.where("rid is not null").select("rid", "n", "bits").join(of(members), "rid").select("n", "bits", "id"), "join-bitmaps")
+        return sets.select("rid", "n", "bits").join(of(members), "rid").select("n", "bits", "id")
 
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose bitmaps leave it open that they are linked."""
-        pairs = materialize(pairs, "join-pairs")
-        maps = bitmaps(ends(pairs))
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The linked ones of (a, b): those that a bound from their bitmaps leaves open are verified on their texts, read again."""
+        pairs = store.write(pairs, "join-pairs")
+        maps = store.write(bitmaps(ends(pairs)), "join-bitmaps")
         both = pairs.join(maps.toDF("n", "bits", "a"), "a").join(maps.toDF("m", "others", "b"), "b").select("n", "m", "bits", "others", "a", "b")
-        return both.mapInArrow(_bounded(s.percent), "a long, b long")
-
-    def verified(close: DataFrame) -> DataFrame:
-        """The linked ones of (a, b); the texts of their sets are read again."""
-        close = materialize(close, "join-close")
-        source = of(ends(close))
-        wanted = docs.join(broadcast_up_to(source, source.count(), s.max_broadcast), "rid").select("id", "text")
-        sets = materialize(wanted.mapInArrow(shingles, "id long, shingles array<long>"), "join-shingles")
-        links = materialize(_verify(close, sets, s.percent), "join-links")
-        release(docs.sparkSession)
+        close = store.write(both.mapInArrow(_bounded(s.percent), "a long, b long"), "join-close")
+        store.drop(pairs, maps)
+        source = store.write(of(ends(close)), "join-members")
+        wanted = docs.select("rid", "text").join(broadcast_up_to(source, source.count(), s.max_broadcast), "rid").select("id", "text")
+        texts = store.write(wanted.mapInArrow(shingles, "id long, shingles array<long>"), "join-shingles")
+        links = store.write(_verify(close, texts, s.percent), "join-links")
+        store.drop(close, source, texts)
         return links
 
     # 1: every set with the first one of its key (and the first ones of a salted key's parts)
@@ -400,48 +461,63 @@ def join(docs: DataFrame, s: Settings = Settings(), rid: bool = False) -> DataFr
     heads = groups.where("id = pivot").select("group", "id", "n", "rare").distinct()
     lowest = heads.groupBy("group").agg(F.min(F.struct("rare", "id", "n")).alias("low")).select("group", "low.id", "low.n").toDF("group", "top", "m")
     pivots = heads.select(F.col("id").alias("pivot"), F.col("n").alias("m")).distinct()
-    pairs = groups.where("id <> pivot").select("pivot", "id", "n").distinct().join(pivots, "pivot").where(near).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    tops = heads.join(lowest, "group").where("id <> top").where(near).select(F.col("top").alias("a"), F.col("id").alias("b"))
-    pairs = materialize(pairs.union(tops).distinct(), "join-pairs")
-    links = verified(bounded(pairs))
+    pairs = groups.where("id <> pivot").select("pivot", "id", "n").distinct().join(pivots, "pivot").where(near).select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+    tops = heads.join(lowest, "group").where("id <> top").where(near).select(F.least("top", "id").alias("a"), F.greatest("top", "id").alias("b"))
+    tried = store.write(pairs.union(tops).distinct(), "join-tried")
+    links = linked(tried)
 
     # 2: sets of one group that are still in different components, first with a few of them, then with each other
-    members = groups.select("group", "id", "n", "rare").distinct()
-
-    def unsettled(links: DataFrame) -> DataFrame:
-        labelled = members.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        labelled = materialize(labelled, "join-labelled")
+    def unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
+        """(group, id, n, rare, root) of the groups of several components."""
+        labelled = store.write(members.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id")), "join-labelled")
         mixed = labelled.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("group")
-        return materialize(labelled.join(mixed, "group", "left_semi"), "join-open")
+        out = store.write(labelled.join(mixed, "group", "left_semi"), "join-open")
+        store.drop(labelled)
+        return out
 
-    tried = pairs
+    open_ = unsettled(groups.select("group", "id", "n", "rare").distinct(), links)
+    store.drop(groups)
     for _ in range(s.rounds):
-        open_ = unsettled(links)
-        members = open_.select("group", "id", "n", "rare")
         # next, of each group the set of fewest rare shingles outside its largest component
         sizes = open_.groupBy("group", "root").agg(F.count("*").alias("size"), F.min(F.struct("rare", "id", "n", "root")).alias("h"))
         largest = sizes.groupBy("group").agg(F.max(F.struct("size", "root")).alias("most")).select("group", F.col("most.root").alias("most"))
         heads = sizes.join(largest, "group").where("root <> most").groupBy("group").agg(F.min("h").alias("h")).select("group", F.col("h.id").alias("top"), F.col("h.n").alias("m"), F.col("h.root").alias("other"))
-        found = open_.join(heads, "group").where("root <> other").where(near).select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b")).distinct()
-        more = verified(bounded(found.join(tried, ["a", "b"], "left_anti")))
-        links, tried = materialize(links.union(more), "join-links"), materialize(tried.union(found), "join-tried")
-    open_ = unsettled(links)
-    # groups around one component have many pairs in common, so they go to few tasks, each with a bounded share of their rows
-    sizes = open_.groupBy("group", "root").agg(F.count("*").alias("size"))
-    around = materialize(sizes.groupBy("group").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("size")).select("group", F.col("most.root").alias("core"), "size"), "join-cores")
-    shares = around.groupBy("core").agg(F.ceil(F.sum("size") / s.salted).cast("long").alias("shares"))
-    places = around.join(shares, "core").select("group", F.xxhash64("core", F.pmod(F.xxhash64("group"), "shares")).alias("place"))
-    maps = bitmaps(open_.select("id")).select("id", "bits")
-    dealt = open_.join(places, "group").join(maps, "id").repartition("place").sortWithinPartitions("group", "root", "id")
-    cross = dealt.select("group", "id", "n", "root", "bits").mapInArrow(_cross(s.percent), "a long, b long").distinct()
-    more = verified(cross.join(tried, ["a", "b"], "left_anti"))
+        asked = open_.join(heads, "group").where("root <> other").where(near).select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b")).distinct()
+        asked = store.write(asked.join(tried, ["a", "b"], "left_anti"), "join-asked")
+        more = linked(asked)
+        links, tried = store.write(links.union(more), "join-links"), store.write(tried.union(asked), "join-tried")
+        open_ = unsettled(open_.select("group", "id", "n", "rare"), links)
+        store.keep(docs, sets, links, tried, open_)
+    more = linked(_left(open_, s).join(bitmaps(open_.select("id")).select("id", "bits"), "id").repartition("place").sortWithinPartitions("cell", "root", "id").select("cell", "id", "n", "root", "side", "bits").mapInArrow(_cross(s.percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
 
     roots = components(links.union(more))
     named = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = named.where("n > 0").join(smallest, "root").select("doc_id", "rid", F.col("n").alias("n_shingles"), "component_id", "root")
-    return linked.union(rows.where("n = 0").select("doc_id", "rid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
+    together = named.where("n > 0").join(smallest, "root").select("doc_id", "rid", F.col("n").alias("n_shingles"), "component_id", "root")
+    alone = rows.where("n = 0").select("doc_id", "rid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    out = store.write(together.union(alone), "join-rows-found")
+    store.keep(docs, out)
+    return out
+
+
+def _left(open_: DataFrame, s: Settings) -> DataFrame:
+    """`open_` (group, id, n, rare, root) dealt for comparison: (place, cell, side, id, n, root).
+
+    Groups around one component have many pairs in common, so they go to few tasks, each
+    with a bounded share of their rows.  A group of more rows than a task should hold is cut
+    into blocks by its ids, and each pair of blocks is a cell of its own.
+    """
+    sizes = open_.groupBy("group", "root").agg(F.count("*").alias("size"))
+    around = sizes.groupBy("group").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("size")).select("group", F.col("most.root").alias("core"), F.ceil(F.col("size") / s.place_rows).cast("int").alias("blocks"), "size")
+    shares = around.where("blocks = 1").groupBy("core").agg(F.ceil(F.sum("size") / s.place_rows).cast("long").alias("shares"))
+    around = around.join(shares, "core", "left").select("group", "blocks", F.xxhash64("core", F.pmod(F.xxhash64("group"), F.coalesce("shares", F.lit(1)))).alias("around"))
+    rows = open_.join(around, "group").withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
+    whole = rows.where("blocks = 1").select(F.col("around").alias("place"), F.col("group").alias("cell"), F.lit(-1).alias("side"), "id", "n", "root")
+    paired = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
+    paired = paired.select(cell.alias("place"), cell.alias("cell"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "id", "n", "root")
+    return whole.union(paired)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid", "root")
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("root")
