@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm import jaccard, mixing, pieces, substrings, toxicity
-from tidemark.llm._store import materialize, numbered
+from tidemark.llm._store import Scratch, blocked, materialize
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +21,12 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Documents without words are linked with nothing and all stay.
     """
-    named = numbered(docs, "pipeline-rows")
-    found = jaccard.join(named, rid=True)
-    kept = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("rid"))).alias("rid")).select("rid")
-    kept = materialize(kept.union(found.where("n_shingles = 0").select("rid")), "pipeline-kept")
+    store = Scratch(spark)
+    named = blocked(docs, "pipeline-rows", store)
+    found = jaccard.join_blocked(named, store)
+    first = F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("rid"))
+    kept = found.where("n_shingles > 0").groupBy("root").agg(F.min(first).alias("rid")).select("rid")
+    kept = kept.union(found.where("n_shingles = 0").select("rid"))
     return named.join(kept, "rid", "left_semi").select(*docs.columns)
 
 
