@@ -131,7 +131,7 @@ def test_pieces_matrices_are_associative():
 
 
 def test_language_model(spark, docs, none):
-    s = lm.Settings(head=60, words_per_class=4, word_classes=4, count_classes=3, train_one_in=1, lanes=2, window=8, score_window=8, score_lanes=7)
+    s = lm.Settings(head=60, words_per_class=4, word_classes=4, count_classes=3, lanes=2, window=8, stream=500, score_words=50, score_lanes=7, average=2)
     got = lm.score(clashing(docs), s).collect()
     tok = lambda t: WS.findall((t or "").translate(LOWER_AZ)) + [""]
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
@@ -172,25 +172,91 @@ def test_network_gradients_and_carried_state():
     net = small_network()
     ranks = np.random.default_rng(2).integers(0, 13, 300)
     whole = net.score(ranks, np.array([0, 250, 300]))
-    net.v.s.__dict__["score_window"] = 7
+    net.v.s.__dict__["score_words"] = 7
     assert net.score(ranks, np.array([0, 250, 300])) == pytest.approx(whole, rel=1e-4)
 
 
+def slow_likelihood(net, ranks):
+    """One document, step by step, with a full softmax over words written out."""
+    v, s, n = net.v, net.v.s, net.v.s.hidden
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h, before, total = np.zeros(n), v.end, 0.0
+    for k in ranks:
+        g, c = net.embed[v.input[before]].astype(float) + net.bias, h @ net.carry.astype(float)
+        z, r = sigmoid(g[:n] + c[:n]), sigmoid(g[n : 2 * n] + c[n : 2 * n])
+        h = z * h + (1 - z) * np.tanh(g[2 * n :] + r * c[2 * n :])
+        classes = np.exp(h @ net.to_class + net.class_bias)
+        p = classes[v.kind[k]] / classes.sum()
+        if v.kind[k] < s.word_classes:
+            own = [i for i in range(s.soft) if i // s.words_per_class == v.kind[k]]
+            words = np.exp(net.to_word[own].astype(float) @ h + net.word_bias[own])
+            p *= words[own.index(k)] / words.sum()
+        else:
+            p *= math.exp(v.share[k])
+        total += math.log(p)
+        before = k
+    return total
+
+
+def test_network_scores_whole_documents():
+    net, r = small_network(), np.random.default_rng(5)
+    net.v.s.__dict__.update(score_words=11, score_lanes=3)
+    for k in ("embed", "carry", "to_class", "to_word"):
+        setattr(net, k, r.normal(0, 0.7, getattr(net, k).shape).astype(np.float32))
+    sizes = [1, 40, 7, 0, 130, 2]
+    ranks, offsets = r.integers(0, 13, sum(sizes)), np.concatenate(([0], np.cumsum(sizes)))
+    want = [slow_likelihood(net, ranks[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+    assert net.score(ranks, offsets) == pytest.approx(want, rel=1e-4)
+
+
+def test_lanes_hold_every_document_whole():
+    r, s = random.Random(6), lm.Settings(lanes=4)
+    for _ in range(50):
+        docs_ = [[r.randint(1, 99) for _ in range(r.randint(0, 30))] for _ in range(r.randint(0, 25))]
+        offsets = np.concatenate(([0], np.cumsum([len(d) for d in docs_]))).astype(np.int64)
+        stream, fresh, start, length = lm.packed(np.array([x for d in docs_ for x in d], np.int64), offsets, s)
+        assert len(start) <= 4 and sorted(length.tolist(), reverse=True) == length.tolist() and length.sum() == len(stream)
+        cuts = [*np.flatnonzero(fresh).tolist(), len(stream)]
+        got = [stream[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
+        assert sorted(got) == sorted(d for d in docs_ if d) and all(fresh[a] for a, n in zip(start, length) if n)
+
+
+def test_training_follows_the_loss():
+    """The first update's direction against differences of the loss, over whole documents within one window."""
+    net, r = small_network(), np.random.default_rng(3)
+    net.v.s.__dict__.update(window=100, lanes=2)
+    sizes = [9, 4, 6]
+    ranks, offsets = r.integers(0, 13, sum(sizes)), np.concatenate(([0], np.cumsum(sizes)))
+    caught = {}
+    net.update = lambda g, size: caught.update({k: v.copy() for k, v in g.items()}) or setattr(net, "seen", size)
+    net.train(ranks, offsets)
+    assert net.seen == sum(sizes)
+    loss = lambda: -sum(slow_likelihood(net, ranks[a:b]) for a, b in zip(offsets[:-1], offsets[1:]))
+    for k in lm.NAMES:
+        values = getattr(net, k).astype(np.float64)
+        setattr(net, k, values)
+        for at in [tuple(r.integers(0, n) for n in values.shape) for _ in range(6)]:
+            keep, found = values[at], []
+            for step in (1e-5, -1e-5):
+                values[at] = keep + step
+                found.append(loss())
+            values[at] = keep
+            assert caught[k][at] == pytest.approx((found[0] - found[1]) / 2e-5, abs=2e-3)
+
+
 def test_network_learns():
     net = small_network()
-    ranks = np.tile([0, 1, 2, 3, 4, 5], 400)
-    fresh = ranks == 0
-    first = net.train(ranks, fresh)
+    ranks, offsets = np.tile([0, 1, 2, 3, 4, 5], 400), np.arange(0, 2401, 6)
+    first = net.train(ranks, offsets)
     for _ in range(6):
-        last = net.train(ranks, fresh)
+        last = net.train(ranks, offsets)
     assert last < 0.6 * first
 
 
 def test_language_model_learns_from_every_training_document(spark):
-    # by default; none of these ids is among one in eight, and a null id counts like others
-    ids = [i for i in range(60) if zlib.crc32(f"{i}:lm".encode()) % 8][:5] + [None]
+    # every document alone moves the weights, and a null id counts like others
     words = np.array([0, 1], np.uint64)
-    for i in ids:
+    for i in (1, 3, 9, None):
         one = spark.createDataFrame([(i, "one two " * 50)], "doc_id long, text string")
         v = lm.Vocabulary(words, np.array([9, 8]), 20, 4, lm.Settings(words_per_class=2, word_classes=3, count_classes=2, hidden=5))
         assert lm.train(one, v).get() != lm.Network(v).get()

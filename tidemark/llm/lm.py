@@ -2,17 +2,22 @@
 
 Word counts come from all training documents.  The network reads the most frequent words
 (others by their frequency class) and predicts a class first and then a word within it:
-classes of the 1,024 most frequent words have a softmax over their words, those of rarer words
-share out by count, and a last class holds every word outside the head, unseen words
-included.  Tasks train copies of one starting network by truncated backpropagation and the
-copies are averaged.  Scoring carries the state across windows, so a document's
-log-likelihood covers all of it.
+the 4,096 most frequent words stand in 64 classes of 64 with a softmax over their words,
+rarer ones of the head share out their class by count, and a last class holds every word
+outside the head, unseen words included.
+
+Tasks train copies of one starting network by truncated backpropagation on all their
+documents and the copies are averaged, some at a time until one is left.  Documents are
+packed onto lanes, whole and one after another, so that the state is carried from a
+document's first word to its last, in training as in scoring, and its log-likelihood covers
+all of it.
 
 Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,16 +37,17 @@ END = np.uint64(0)  # the hash of the empty word stands for the end of a documen
 @dataclass(frozen=True)
 class Settings:
     head: int = 131_072  # most frequent words, whose counts every task holds
-    words_per_class: int = 32
-    word_classes: int = 32  # classes with a softmax over their words
+    words_per_class: int = 64
+    word_classes: int = 64  # classes with a softmax over their words
     count_classes: int = 31  # classes whose words share out by count
     hidden: int = 16
     window: int = 32  # steps of truncated backpropagation
-    lanes: int = 32
-    train_one_in: int = 1  # the network's weights learn from all training documents; more picks that part of them by a hash of their id
+    lanes: int = 256  # documents that are read side by side in training
+    stream: int = 4_000_000  # words that a task gathers before it trains on them, about
     rate: float = 0.01
-    score_window: int = 64
-    score_lanes: int = 2048
+    score_lanes: int = 4096
+    score_words: int = 32_768  # words scored at a time
+    average: int = 16  # copies averaged in one group
     seed: int = 7
 
     @property
@@ -188,103 +194,110 @@ class Network:
     def outputs(self, h: np.ndarray, rank: np.ndarray, grad: bool = False):
         """Natural log-probabilities of the words given states; with `grad`, also the gradients."""
         s, v = self.v.s, self.v
-        kind = v.kind[rank]
-        logits = h @ self.to_class + self.class_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        every = np.arange(len(h))
-        out = logits[every, kind] - np.log(total) + v.share[rank]
+        kind, every = v.kind[rank], np.arange(len(h))
+        e = self._raised(h, self.to_class, self.class_bias)
+        picked, total = e[every, kind], e.sum(axis=1)
+        out = np.log(picked / total) + v.share[rank]
         if grad:
-            p = e / total[:, None]
-            p[every, kind] -= 1
-            g = {"to_class": h.T @ p, "class_bias": p.sum(axis=0), "to_word": np.zeros_like(self.to_word), "word_bias": np.zeros_like(self.word_bias)}
-            dh = p @ self.to_class.T
-        soft = np.flatnonzero(kind < s.word_classes)
-        order = soft[np.argsort(kind[soft], kind="stable")]
+            e /= total[:, None]
+            e[every, kind] -= 1
+            g = {"to_class": h.T @ e, "class_bias": e.sum(axis=0), "to_word": np.zeros_like(self.to_word), "word_bias": np.zeros_like(self.word_bias)}
+            dh = e @ self.to_class.T
+        order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(s.word_classes + 1))
-        for k in range(s.word_classes):
-            own = order[cuts[k] : cuts[k + 1]]
-            if not len(own):
-                continue
-            part = slice(k * s.words_per_class, (k + 1) * s.words_per_class)
-            hk, place = h[own], rank[own] - part.start
-            a = hk @ self.to_word[part].T + self.word_bias[part]
-            a -= a.max(axis=1, keepdims=True)
-            ea = np.exp(a)
-            ta = ea.sum(axis=1)
-            out[own] += a[np.arange(len(own)), place] - np.log(ta)
+        held, place = h[order[: cuts[-1]]], rank[order[: cuts[-1]]] % s.words_per_class
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            own, part = slice(cuts[k], cuts[k + 1]), slice(k * s.words_per_class, (k + 1) * s.words_per_class)
+            e = self._raised(held[own], self.to_word[part].T, self.word_bias[part])
+            row, at = every[: own.stop - own.start], place[own]
+            picked, total = e[row, at], e.sum(axis=1)
+            out[order[own]] += np.log(picked / total)
             if grad:
-                q = ea / ta[:, None]
-                q[np.arange(len(own)), place] -= 1
-                g["to_word"][part] += q.T @ hk
-                g["word_bias"][part] += q.sum(axis=0)
-                dh[own] += q @ self.to_word[part]
+                e /= total[:, None]
+                e[row, at] -= 1
+                np.matmul(e.T, held[own], out=g["to_word"][part])
+                g["word_bias"][part] = e.sum(axis=0)
+                dh[order[own]] += e @ self.to_word[part]
         return (out, dh, g) if grad else out
 
-    def train(self, ranks: np.ndarray, fresh: np.ndarray) -> float:
-        """One pass over a stream of words, cut into lanes; `fresh` marks the first word of each document."""
-        s, v, n = self.v.s, self.v, self.v.s.hidden
-        lanes = min(s.lanes, max(1, len(ranks) // s.window))
-        length = len(ranks) // lanes
-        if not length:
+    @staticmethod
+    def _raised(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Exponentials of the logits, below the largest bias; far ones are cut off."""
+        logits = h @ weights
+        logits += bias - bias.max()
+        np.clip(logits, -60, 60, out=logits)
+        return np.exp(logits, out=logits)
+
+    def train(self, ranks: np.ndarray, offsets: np.ndarray) -> float:
+        """One pass over all words of the documents in a stream; the mean loss of a word."""
+        s, n = self.v.s, self.v.s.hidden
+        stream, fresh, start, length = packed(ranks, offsets, s)
+        if not len(stream):
             return 0.0
-        y = ranks[: lanes * length].reshape(lanes, length)
-        new = fresh[: lanes * length].reshape(lanes, length).copy()
-        new[:, 0] = True
-        x = v.input[np.where(new, v.end, np.concatenate((y[:, :1], y[:, :-1]), axis=1))]
-        h = np.zeros((lanes, n), np.float32)
-        loss = 0.0
-        for i in range(0, length, s.window):
-            steps, path = min(s.window, length - i), []
-            for t in range(i, i + steps):
-                h = np.where(new[:, t, None], np.float32(0), h)
+        x = self.v.input[np.where(fresh, self.v.end, np.append(stream[:1], stream[:-1]))]
+        h, loss, summed, size = np.zeros((len(start), n), np.float32), 0.0, {}, 0
+        for low in range(0, int(length[0]), s.window):
+            path, places = [], []
+            for t in range(low, min(low + s.window, int(length[0]))):
+                live = int(np.searchsorted(-length, -t, side="left"))  # lanes are sorted: longer ones first
+                at = start[:live] + t
+                h = np.where(fresh[at, None], np.float32(0), h[:live])
                 before = h
-                h, z, r, c, held = self.step(self.embed[x[:, t]] + self.bias, h)
+                h, z, r, c, held = self.step(self.embed[x[at]] + self.bias, h)
                 path.append((before, z, r, c, held, h))
-            out, dh, g = self.outputs(np.concatenate([p[5] for p in path]), y[:, i : i + steps].T.ravel(), True)
+                places.append(at)
+            every = np.concatenate(places)
+            out, dh, g = self.outputs(np.concatenate([p[5] for p in path]), stream[every], True)
             loss -= float(out.sum())
-            size = steps * lanes
-            dh = dh.reshape(steps, lanes, n)
-            g |= {"embed": np.zeros_like(self.embed), "carry": np.zeros_like(self.carry), "bias": np.zeros_like(self.bias)}
-            back, all_gates = np.zeros((lanes, n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
-            all_carried = np.empty_like(all_gates)
-            for t in reversed(range(steps)):
-                before, z, r, c, held, _ = path[t]
-                d = dh[t] + back
+            gates, carried = np.empty((len(every), 3 * n), np.float32), np.empty((len(every), 3 * n), np.float32)
+            back, end = np.zeros((0, n), np.float32), len(every)
+            for (before, z, r, c, held, _), at in zip(reversed(path), reversed(places)):
+                own = slice(end - len(at), end)
+                d = dh[own]
+                d[: len(back)] += back
                 stay = d * (1 - z)
                 dc = stay * (1 - c * c)
-                gates, carried = all_gates[t], all_carried[t]
-                gates[:, :n] = stay * (before - c) * z
-                gates[:, n : 2 * n] = dc * held * r * (1 - r)
-                gates[:, 2 * n :] = dc
-                carried[:, : 2 * n] = gates[:, : 2 * n]
-                carried[:, 2 * n :] = dc * r
-                back = np.where(new[:, i + t, None], np.float32(0), d * z + carried @ self.carry.T)
-            g["carry"] += np.concatenate([p[0] for p in path]).T @ all_carried.reshape(size, 3 * n)
-            g["bias"] += all_gates.sum(axis=(0, 1))
-            read = x[:, i : i + steps].T.ravel()
+                gates[own, :n] = stay * (before - c) * z
+                gates[own, n : 2 * n] = dc * held * r * (1 - r)
+                gates[own, 2 * n :] = dc
+                carried[own, : 2 * n] = gates[own, : 2 * n]
+                carried[own, 2 * n :] = dc * r
+                back = np.where(fresh[at, None], np.float32(0), d * z + carried[own] @ self.carry.T)
+                end = own.start
+            read = x[every]
             by = np.argsort(read, kind="stable")
             read = read[by]
             first = np.flatnonzero(np.append(True, read[1:] != read[:-1]))
-            g["embed"][read[first]] = np.add.reduceat(all_gates.reshape(size, 3 * n)[by], first, axis=0)
-            self.updates += 1
-            rate, over_m, over_w = s.rate * min(1.0, self.updates / 20), 1 - 0.9**self.updates, 1 - 0.99**self.updates
-            for k in NAMES:  # Adam, in place
-                step, weights, (m, w) = g[k], getattr(self, k), self.moments[k]
-                step /= size
-                m *= 0.9
-                m += 0.1 * step
-                step *= step
-                step *= 0.01
-                w *= 0.99
-                w += step
-                np.sqrt(np.divide(w, over_w, out=step), out=step)
-                step += 1e-6
-                np.divide(m, step, out=step)
-                step *= rate / over_m
-                weights -= step
-        return loss / (lanes * length)
+            g |= {"embed": np.zeros_like(self.embed), "carry": np.concatenate([p[0] for p in path]).T @ carried, "bias": gates.sum(axis=0)}
+            g["embed"][read[first]] = np.add.reduceat(gates[by], first, axis=0)
+            for k in summed:
+                g[k] += summed[k]
+            summed, size = g, size + len(every)
+            if 2 * size >= s.lanes * s.window:  # where few lanes are left, several windows make one update
+                self.update(summed, size)
+                summed, size = {}, 0
+        if size:
+            self.update(summed, size)
+        return loss / len(stream)
+
+    def update(self, g: dict[str, np.ndarray], size: int) -> None:
+        """One step of Adam, in place."""
+        self.updates += 1
+        rate, over_m, over_w = self.v.s.rate * min(1.0, self.updates / 20), 1 - 0.9**self.updates, 1 - 0.99**self.updates
+        for k in NAMES:
+            step, weights, (m, w) = g[k], getattr(self, k), self.moments[k]
+            step /= size
+            m *= 0.9
+            m += 0.1 * step
+            step *= step
+            step *= 0.01
+            w *= 0.99
+            w += step
+            np.sqrt(np.divide(w, over_w, out=step), out=step)
+            step += 1e-6
+            np.divide(m, step, out=step)
+            step *= rate / over_m
+            weights -= step
 
     def score(self, ranks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Natural log-likelihood of each document in the stream."""
@@ -297,23 +310,54 @@ class Network:
             own = order[i : i + s.score_lanes]
             start, length = offsets[own], size[own]
             h = np.zeros((len(own), s.hidden), np.float32)
-            for low in range(0, int(length[0]), s.score_window):
-                high = min(low + s.score_window, int(length[0]))
-                states, words, lanes = [], [], []
-                for t in range(low, high):
-                    live = int(np.searchsorted(-length, -t, side="left"))  # lanes are sorted: longer ones first
-                    word = ranks[start[:live] + t]
-                    before = v.input[ranks[start[:live] + t - 1]] if t else np.full(live, v.input[v.end])
-                    h = self.step(gates_of[before], h[:live])[0]
-                    states.append(h)
-                    words.append(word)
-                    lanes.append(live)
+            states, words, lanes, held = [], [], [], 0
+
+            def settle() -> None:
                 found = self.outputs(np.concatenate(states), np.concatenate(words))
                 lane = np.concatenate([np.arange(k) for k in lanes])
                 out[own[: lanes[0]]] += np.bincount(lane, found, lanes[0])
+                for x in (states, words, lanes):
+                    x.clear()
+
+            for t in range(int(length[0])):
+                live = int(np.searchsorted(-length, -t, side="left"))
+                before = v.input[ranks[start[:live] + t - 1]] if t else np.full(live, v.input[v.end])
+                h = self.step(gates_of[before], h[:live])[0]
+                states.append(h)
+                words.append(ranks[start[:live] + t])
+                lanes.append(live)
+                held += live
+                if held >= s.score_words:
+                    settle()
+                    held = 0
+            if states:
+                settle()
         return out
 
 
+def packed(ranks: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents on lanes, each on the one that is shortest so far: (words lane by lane, whether one begins a document, lanes' starts, lengths).
+
+    Lanes come longest first; within a lane, documents stand in a fixed random order.
+    """
+    size = np.diff(offsets)
+    lanes = [(0, k) for k in range(min(s.lanes, len(size)))]
+    own: list[list[int]] = [[] for _ in lanes]
+    for i in np.argsort(-size, kind="stable").tolist():
+        length, k = heapq.heappop(lanes)
+        own[k].append(i)
+        heapq.heappush(lanes, (length + int(size[i]), k))
+    rng = np.random.default_rng(s.seed)
+    own = [[part[j] for j in rng.permutation(len(part))] for _, k in sorted(lanes, reverse=True) if (part := own[k])]
+    length = np.array([size[part].sum() for part in own], np.int64)
+    order = np.array([i for part in own for i in part], np.int64)
+    begin = np.cumsum(size[order]) - size[order]
+    at = np.repeat(offsets[order] - begin, size[order]) + np.arange(size.sum())
+    fresh = np.zeros(len(at), bool)
+    fresh[begin[size[order] > 0]] = True
+    return ranks[at], fresh, np.cumsum(length) - length, length
+
+
 # -- Spark -------------------------------------------------------------------------------
 
 
@@ -331,30 +375,40 @@ def train(docs: DataFrame, v: Vocabulary) -> Network:
         return network
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = Network(v), 0
+        own, seen, held, gathered = Network(v), 0, [], 0
         for batch in batches:
             for _, words, offsets in tokens(batch.column("text")):
-                fresh = np.zeros(len(words), bool)
-                fresh[offsets[:-1]] = True
-                own.train(v.find(words), fresh)
-                seen += len(words)
+                held.append((v.find(words).astype(np.int32), np.diff(offsets)))
+                gathered += len(words)
+                if gathered >= v.s.stream:
+                    own.train(*joined(held))
+                    seen, gathered = seen + gathered, 0
+                    held.clear()
+        if held:
+            own.train(*joined(held))
+            seen += gathered
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seen], pa.int64()), pa.array([own.get()], pa.binary())], ["part", "seen", "weights"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
         seen = pdf["seen"].to_numpy()
-        mean = np.average(np.stack([np.frombuffer(w, np.float32) for w in pdf["weights"]]), axis=0, weights=seen)
-        return pd.DataFrame({"part": [0], "seen": [int(seen.sum())], "weights": [mean.astype(np.float32).tobytes()]})
+        mean = sum(np.frombuffer(w, np.float32) * (n / seen.sum()) for w, n in zip(pdf["weights"], seen))
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // v.s.average], "seen": [int(seen.sum())], "weights": [mean.astype(np.float32).tobytes()]})
 
     schema = "part int, seen long, weights binary"
-    chosen = docs.where(F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":lm"))) % v.s.train_one_in == 0)
-    copies = materialize(chosen.select("text").mapInArrow(learn, schema), "lm-copies")
-    groups = max(1, math.isqrt(copies.count()))
-    means = copies.groupBy((F.col("part") % groups).alias("group")).applyInPandas(add, schema)
-    last = means.withColumn("group", F.lit(0)).groupBy("group").applyInPandas(add, schema).select("weights").collect()  # one network
+    copies = materialize(docs.select("text").mapInArrow(learn, schema), "lm-copies")
+    while (n := copies.count()) > 1:  # a group holds few copies, however many there are
+        copies = materialize(copies.groupBy(F.expr(f"part div {v.s.average}").alias("group")).applyInPandas(add, schema), "lm-means")
+    last = copies.select("weights").collect() if n else []  # one network
     return network.put(bytes(last[0].weights)) if last else network
 
 
+def joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Words and offsets of several blocks as one stream."""
+    return np.concatenate([w for w, _ in held]), np.concatenate(([0], np.cumsum(np.concatenate([n for _, n in held]))))
+
+
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, head_tokens long, base double, score double, tail array<struct<word:long,n:int>>"
 
 
@@ -377,23 +431,25 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         log_count = np.append(np.log10(v.counts + 1.0) - over, 0.0)
         n_head = len(v.words)
         for batch in batches:
-            parts = []
+            parts, held = [], []
             for _, words, offsets in tokens(batch.column("text")):
                 rank, n = v.find(words), len(offsets) - 1
                 row = np.repeat(np.arange(n), np.diff(offsets))
                 inside = rank < n_head
                 base = np.bincount(row, log_count[rank], n)
-                found = own.score(rank, offsets) / math.log(10)
+                held.append((rank.astype(np.int32), np.diff(offsets)))
                 out, at = words[~inside], row[~inside]
                 by = np.lexsort((out, at))
                 out, at = out[by], at[by]
                 first = np.flatnonzero(np.append(True, (out[1:] != out[:-1]) | (at[1:] != at[:-1]))) if len(out) else np.zeros(0, np.int64)
                 cuts = np.searchsorted(at[first], np.arange(n + 1)).astype(np.int32)
                 pairs = pa.StructArray.from_arrays([pa.array(out[first].view(np.int64)), pa.array(np.diff(np.append(first, len(out))).astype(np.int32))], ["word", "n"])
-                parts.append((np.diff(offsets), np.bincount(row, inside, n).astype(np.int64), base, found, pa.ListArray.from_arrays(pa.array(cuts), pairs)))
-            if parts:
-                columns = [pa.array(np.concatenate(c)) for c in list(zip(*parts))[:4]]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "held_out")), *columns, pa.concat_arrays([p[4] for p in parts])], ["rid", "doc_id", "held_out", "n_tokens", "head_tokens", "base", "score", "tail"])
+                parts.append((np.diff(offsets), np.bincount(row, inside, n).astype(np.int64), base, pa.ListArray.from_arrays(pa.array(cuts), pairs)))
+            if parts:  # long texts of a batch are read side by side
+                *columns, tails = zip(*parts)
+                found = own.score(*joined(held)) / math.log(10)
+                columns = [pa.array(np.concatenate(c)) for c in columns]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "held_out")), *columns, pa.array(found), pa.concat_arrays(tails)], ["rid", "doc_id", "held_out", "n_tokens", "head_tokens", "base", "score", "tail"])
 
     scored = materialize(docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, SCORED), "lm-scored")
     # words outside the head meet their counts; none of them is frequent
