@@ -269,3 +269,21 @@ def test_synthetic_feeds(spark):
     assert synthetic.onchain(spark, end, 60).count() == 60
     equity, crypto = synthetic.factors(5000)
     assert np.corrcoef(equity, crypto)[0, 1] == pytest.approx(0.35, abs=0.05)
+
+
+def test_moving_averages_of_any_length(spark):
+    from tidemark.config import ma_windows
+
+    lengths = {"a": 1, "b": 19, "c": 20, "d": 61, "e": 299, "f": 300, "g": 450}
+    values = {k: [float((i * 7919) % 101) for i in range(n)] for k, n in lengths.items()}
+    rows = [(k, D0 + dt.timedelta(days=i), v, 1.0, 1.0) for k, vs in values.items() for i, v in enumerate(vs)]
+    got = {(r.symbol, r.day): r for r in cycles.moving_averages(spark.createDataFrame(rows, BARS)).collect()}
+    assert len(got) == len(rows)
+    for k, vs in values.items():
+        short, long_ = ma_windows(len(vs))
+        for i in range(len(vs)):
+            r = got[k, D0 + dt.timedelta(days=i)]
+            assert (r.ma_short, r.ma_long) == (short, long_)
+            for w, x in ((short, r.sma_short), (long_, r.sma_long)):
+                want = sum(vs[i - w + 1 : i + 1]) / w if i + 1 >= w else None
+                assert x == pytest.approx(want) if want is not None else x is None

@@ -44,3 +44,17 @@ def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.exists(entry.__file__)
     assert entry.entry(spark).count() == 5
+
+
+ALIGNED = ("aligned_returns", "column_coverage", "correlation_pearson", "correlation_spearman", "crypto_macro_summary", "rolling_correlation", "beta", "regime_correlation")
+
+
+@pytest.mark.parametrize("name", ALIGNED)
+def test_aligned_queries_read_each_table_twice_at_most(spark, name):
+    plan = registry.QUERIES[name](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
+    assert 2 <= plan.count("FileScan parquet") <= 4 and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_moving_averages_read_their_table_once(spark):
+    plan = registry.QUERIES["moving_averages"](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1

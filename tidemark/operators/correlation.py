@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.config import DEFAULT, Settings
 from tidemark.functions.stats import corr, half_even, trailing
 
 
 def _pairs(returns: DataFrame) -> DataFrame:
-    left = returns.select("day", F.col("asset").alias("asset_a"), F.col("ret").alias("x"))
-    right = returns.select("day", F.col("asset").alias("asset_b"), F.col("ret").alias("y"))
-    return left.join(right, "day")  # one row a day for each pair of assets, which the matrix asks for
+    """(asset_a, macro_a, x, asset_b, macro_b, y): one row a day for each pair of assets, which the matrix asks for."""
+    flag = F.col("is_macro") if "is_macro" in returns.columns else F.lit(False)
+    row = F.collect_list(F.struct("asset", flag.alias("is_macro"), "ret")).alias("row")  # a day of the matrix: one entry an asset
+    days = returns.groupBy("day").agg(row)
+    rows = days.select(F.explode("row").alias("a"), "row").select("a", F.explode("row").alias("b"))
+    return rows.select(F.col("a.asset").alias("asset_a"), F.col("a.is_macro").alias("macro_a"), F.col("a.ret").alias("x"), F.col("b.asset").alias("asset_b"), F.col("b.is_macro").alias("macro_b"), F.col("b.ret").alias("y"))
 
 
 def ranks(returns: DataFrame) -> DataFrame:
     """Returns replaced by their average ranks within the asset."""
     order, ties = Window.partitionBy("asset").orderBy("ret"), Window.partitionBy("asset", "ret")
-    return returns.select("asset", "day", (F.rank().over(order) + (F.count("*").over(ties) - 1) / F.lit(2.0)).alias("ret"))
+    return returns.withColumn("ret", (F.rank().over(order) + (F.count("*").over(ties) - 1) / F.lit(2.0)))
 
 
 def correlation_matrix(returns: DataFrame, method: str = "pearson") -> DataFrame:
@@ -31,28 +34,32 @@ def correlation_matrix(returns: DataFrame, method: str = "pearson") -> DataFrame
     return _pairs(returns).groupBy("asset_a", "asset_b").agg(corr(F.col("x"), F.col("y")).alias("corr"))
 
 
-def macro_block(returns: DataFrame, assets: Sequence[str], macro: Sequence[str]) -> DataFrame:
-    """Correlations of `assets` with `macro` assets to two places; absent ones give no row."""
-    found = correlation_matrix(returns).where(F.col("asset_a").isin(*assets) & F.col("asset_b").isin(*macro))
+def macro_block(returns: DataFrame, assets: Sequence[str] | None = None, macro: Sequence[str] | None = None) -> DataFrame:
+    """Correlations of `assets` with `macro` assets to two places; absent ones give no row.  By default, of all of each side."""
+    pairs = _pairs(returns)
+    left = ~F.col("macro_a") if assets is None else F.col("asset_a").isin(*assets)
+    right = F.col("macro_b") if macro is None else F.col("asset_b").isin(*macro)
+    found = pairs.where(left & right).groupBy("asset_a", "asset_b").agg(corr(F.col("x"), F.col("y")).alias("corr"))
     return found.withColumn("corr", half_even(F.col("corr"), 2))
 
 
 def _with_benchmark(returns: DataFrame, benchmark: str) -> DataFrame:
-    bench = returns.where(F.col("asset") == benchmark).select("day", F.col("ret").alias("bench"))
-    return returns.join(bench, "day")
+    """`returns` with `bench`, the benchmark's return of the day (NULL where it has none)."""
+    bench = F.max(F.when(F.col("asset") == benchmark, F.col("ret"))).over(Window.partitionBy("day"))
+    return returns.withColumn("bench", bench)
 
 
 def rolling_correlation(returns: DataFrame, benchmark: str, window: int = DEFAULT.corr_windows[0]) -> DataFrame:
     """(asset, day, corr) over complete windows of rows."""
     w = trailing(window, "asset")
-    rows = _with_benchmark(returns, benchmark).where(F.col("asset") != benchmark)
+    rows = _with_benchmark(returns, benchmark).where((F.col("asset") != benchmark) & F.col("bench").isNotNull())
     value = F.when(F.count("ret").over(w) == window, corr(F.col("ret"), F.col("bench"), w))
     return rows.withColumn("corr", value).where("corr is not null").select("asset", "day", "corr")
 
 
 def beta(returns: DataFrame, benchmark: str, s: Settings = DEFAULT) -> DataFrame:
     """(asset, beta) against the benchmark; NULL below three rows or for a constant benchmark."""
-    rows = _with_benchmark(returns, benchmark).where(F.col("asset") != benchmark)
+    rows = _with_benchmark(returns, benchmark).where((F.col("asset") != benchmark) & F.col("bench").isNotNull())
     return rows.groupBy("asset").agg(F.when(F.count("*") >= s.min_corr_rows, F.regr_slope("ret", "bench")).alias("beta"))
 
 
@@ -63,16 +70,21 @@ def regime_correlation(returns: DataFrame, benchmark: str, assets: Sequence[str]
     fewer than three days has no correlation; fewer than twenty days in all, or an asset or
     benchmark that is absent, give NULLs and zero counts.  Without `assets`, all but the benchmark.
     """
-    rows = _with_benchmark(returns, benchmark)
+    rows = _with_benchmark(returns, benchmark).where(F.col("asset") != benchmark if assets is None else F.col("asset").isin(*assets))
     full = Window.partitionBy("asset")
-    rows = rows.withColumn("cut", F.percentile("bench", F.lit(s.stress_quantile)).over(full)).withColumn("n", F.count("*").over(full))
-    rows = rows.withColumn("stressed", F.col("bench") <= F.col("cut")).where(F.col("n") >= s.min_stress_rows)
-    sides = rows.groupBy("asset", "stressed").agg(F.count("*").alias("days"), F.when(F.count("*") >= s.min_corr_rows, corr(F.col("ret"), F.col("bench"))).alias("corr"))
-    pick = lambda col, side: F.max(F.when(F.col("stressed") == side, F.col(col)))
-    found = sides.groupBy("asset").agg(pick("corr", False).alias("calm"), pick("corr", True).alias("stressed_corr"), pick("days", False).alias("calm_days"), pick("days", True).alias("stressed_days"))
-    wanted = returns.select("asset").distinct().where(F.col("asset") != benchmark) if assets is None else returns.sparkSession.createDataFrame([(a,) for a in assets], "asset string")
-    out = wanted.join(found, "asset", "left")
+    cut, n = F.percentile("bench", F.lit(s.stress_quantile)).over(full), F.count("bench").over(full)
+    rows = rows.withColumn("cut", cut).withColumn("n", n).withColumn("low", F.when(F.col("n") >= s.min_stress_rows, F.col("bench") <= F.col("cut")))
+
+    def side(low: bool) -> tuple[Column, Column]:
+        own = F.col("low") == low
+        days = F.count_if(own)
+        return F.when(days >= s.min_corr_rows, corr(F.when(own, F.col("ret")), F.when(own, F.col("bench")))), days
+
+    (calm, calm_days), (stressed, stressed_days) = side(False), side(True)
+    out = rows.groupBy("asset").agg(calm.alias("calm"), stressed.alias("stressed"), calm_days.alias("calm_days"), stressed_days.alias("stressed_days"))
+    if assets is not None:
+        out = returns.sparkSession.createDataFrame([(a,) for a in assets], "asset string").join(out, "asset", "left")
     return out.select(
-        "asset", F.lit(benchmark).alias("benchmark"), "calm", F.col("stressed_corr").alias("stressed"), (F.col("stressed_corr") - F.col("calm")).alias("shift"),
+        "asset", F.lit(benchmark).alias("benchmark"), "calm", "stressed", (F.col("stressed") - F.col("calm")).alias("shift"),
         F.coalesce("calm_days", F.lit(0)).cast("long").alias("calm_days"), F.coalesce("stressed_days", F.lit(0)).cast("long").alias("stressed_days"),
     )

@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.config import DEFAULT, Settings, ma_windows
-from tidemark.functions.stats import by_day, complete, ratio, so_far, trailing
+from tidemark.config import DEFAULT, Settings
+from tidemark.functions.stats import by_day, ratio, so_far
 
 #: Rows over which the recursive mean is summed in closed form; weights of older rows vanish in a double.
 _BLOCK = 1000
 
 
 def moving_averages(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(symbol, day, price, sma_short, sma_long, ma_short, ma_long), windows by each symbol's number of rows."""
-    rows = bars.select("symbol", "day", "price").withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
-    # window frames are literals, so symbols are grouped by their windows: histories below full length give one pair for each third
-    lengths = [r.n for r in bars.groupBy("symbol").agg(F.count("*").alias("n")).select(F.least("n", F.lit(s.full_history)).alias("n")).distinct().collect()]
-    pairs: dict[tuple[int, int], list[int]] = {}
-    for n in lengths:  # at most `full_history` values
-        pairs.setdefault(ma_windows(n, s), []).append(n)
-    if not pairs:
-        pairs = {ma_windows(0, s): [0]}
-    parts = []
-    for (short, long_), ns in sorted(pairs.items()):
-        own = rows.where(F.least("n", F.lit(s.full_history)).isin(ns))
-        for name, n in (("sma_short", short), ("sma_long", long_)):
-            own = own.withColumn(name, complete(F.avg("price"), F.col("price"), n, trailing(n, "symbol")))
-        parts.append(own.withColumn("ma_short", F.lit(short)).withColumn("ma_long", F.lit(long_)))
-    return reduce(DataFrame.unionByName, parts).drop("n")
+    """(symbol, day, price, sma_short, sma_long, ma_short, ma_long), windows by each symbol's number of rows.
+
+    Frames are literals but windows differ by symbol, so rows are placed at their number over
+    the symbol's window and a frame covers the places less than 1 before: the rows of one window.
+    """
+    rows = bars.select("symbol", "day", "price").withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).withColumn("k", F.row_number().over(by_day("symbol")))
+    short, long_ = ma_lengths(F.col("n"), s)
+    rows = rows.withColumn("ma_short", short).withColumn("ma_long", long_)
+    below_one = 1 - 1 / (2 * max(s.ma_long, s.ma_short, s.full_history, 20))
+    for name in ("short", "long"):
+        rows = rows.withColumn("place", F.col("k") / F.col(f"ma_{name}"))
+        frame = f"OVER (PARTITION BY symbol ORDER BY place RANGE BETWEEN {below_one!r}D PRECEDING AND CURRENT ROW)"
+        rows = rows.withColumn(f"sma_{name}", F.when(F.expr(f"count(price) {frame}") == F.col(f"ma_{name}"), F.expr(f"avg(price) {frame}")))
+    return rows.select("symbol", "day", "price", "sma_short", "sma_long", "ma_short", "ma_long")
+
+
+def ma_lengths(n: Column, s: Settings = DEFAULT) -> tuple[Column, Column]:
+    """`ma_windows` for a column."""
+    full, part = n >= s.full_history, F.greatest(F.lit(20), F.floor(n / 3))
+    long_ = F.when(full, s.ma_long).otherwise(part)
+    return F.when(full, s.ma_short).otherwise(F.greatest(F.lit(5), F.floor(part / 4))).cast("int"), long_.cast("int")
 
 
 def rsi(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:

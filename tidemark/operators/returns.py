@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.config import DEFAULT, Settings
 from tidemark.functions.stats import by_day, ratio, so_far
@@ -23,50 +23,56 @@ def log_returns(bars: DataFrame) -> DataFrame:
 
 
 def mixed_returns(levels: DataFrame) -> DataFrame:
-    """(asset, day, ret) from (asset, day, level, is_rate): rates are differenced, prices change by ratio.
+    """`levels` (asset, day, level, is_rate) with `ret` for the last two: rates are differenced, prices change by ratio.
 
     The first row of an asset and rows without a level on either side have a NULL return.
     """
     before = F.lag("level").over(by_day("asset"))
     change: Column = F.when(F.col("is_rate"), F.col("level") - before).otherwise(ratio(F.col("level"), before) - 1)
-    return levels.select("asset", "day", change.alias("ret"))
+    return levels.withColumn("ret", change).drop("level", "is_rate")
 
 
 def drop_empty_days(returns: DataFrame) -> DataFrame:
     """Rows of days on which some asset has a return."""
-    days = returns.groupBy("day").agg(F.count("ret").alias("n")).where("n > 0").select("day")
-    return returns.join(days, "day", "left_semi")
+    n = F.count("ret").over(Window.partitionBy("day"))
+    return returns.withColumn("returns", n).where("returns > 0").drop("returns")
 
 
 def coverage(returns: DataFrame, min_coverage: float = DEFAULT.min_coverage) -> DataFrame:
     """(asset, n, keep): an asset stays if it has `min_coverage` of the largest number of returns, and any at all."""
     counts = returns.groupBy("asset").agg(F.count("ret").alias("n"))
-    most = counts.agg(F.max("n").alias("most"))
-    return counts.join(F.broadcast(most)).select("asset", "n", ((F.col("n") >= F.col("most") * F.lit(min_coverage)) & (F.col("most") > 0)).alias("keep"))  # most: one row
+    most = F.max("n").over(_all_assets())
+    return counts.withColumn("most", most).select("asset", "n", ((F.col("n") >= F.col("most") * F.lit(min_coverage)) & (F.col("most") > 0)).alias("keep"))
+
+
+def _all_assets() -> WindowSpec:
+    """All rows of a table that has one for each asset, a column of the matrix asked for."""
+    return Window.partitionBy(F.lit(True))
 
 
 def complete_cases(returns: DataFrame, min_coverage: float = DEFAULT.min_coverage) -> DataFrame:
-    """(asset, day, ret) of the assets with enough coverage, on the days that have all of them."""
-    kept = returns.join(coverage(returns, min_coverage).where("keep").select("asset"), "asset", "left_semi")
-    assets = kept.select("asset").distinct().agg(F.count("*").alias("assets"))
-    full = kept.groupBy("day").agg(F.count("ret").alias("n")).join(F.broadcast(assets)).where("n = assets and n > 0").select("day")  # assets: one row
-    return kept.join(full, "day", "left_semi")
+    """`returns` of the assets with enough coverage, on the days that have all of them."""
+    kept = coverage(returns, min_coverage).where("keep").select("asset", F.count("*").over(_all_assets()).alias("assets"))
+    n = F.count("ret").over(Window.partitionBy("day"))
+    return returns.join(kept, "asset").withColumn("returns", n).where("returns = assets").drop("assets", "returns")
 
 
 def align(prices: DataFrame, macro: DataFrame) -> DataFrame:
-    """(asset, day, level, is_rate) of both sides on the days they have in common.
+    """(asset, day, level, is_rate, is_macro) of both sides on the days they have in common.
 
     The join comes before differencing, so that a return over a weekend spans it on both sides.
+    It is a window over the days of both, so that neither side is read twice.
     """
-    left = prices.select(F.col("symbol").alias("asset"), "day", F.col("price").alias("level"), F.lit(False).alias("is_rate"))
-    days = left.select("day").distinct().join(macro.select("day").distinct(), "day", "left_semi")
-    both = left.unionByName(macro.select("asset", "day", "level", "is_rate"))
-    return both.join(days, "day", "left_semi")
+    left = prices.select(F.col("symbol").alias("asset"), "day", F.col("price").alias("level"), F.lit(False).alias("is_rate"), F.lit(False).alias("is_macro"))
+    both = left.unionByName(macro.select("asset", "day", "level", "is_rate", F.lit(True).alias("is_macro")))
+    day = Window.partitionBy("day")
+    both = both.withColumn("common", F.bool_or("is_macro").over(day) & ~F.bool_and("is_macro").over(day))
+    return both.where("common").drop("common")
 
 
 def aligned_returns(prices: DataFrame, macro: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Join on days, difference, prune thin assets, keep complete days: in this order."""
-    return complete_cases(drop_empty_days(mixed_returns(align(prices, macro))), s.min_coverage)
+    """(asset, day, is_macro, ret): join on days, difference, prune thin assets, keep complete days, in this order (empty days are never complete)."""
+    return complete_cases(mixed_returns(align(prices, macro)), s.min_coverage)
 
 
 def forward_filled(levels: DataFrame, key: str = "asset", value: str = "level") -> DataFrame:

@@ -41,9 +41,7 @@ def column_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crypto_macro_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars, macro = tables.bars_orders(spark, sf_dir), tables.macro_lineitem(spark, sf_dir)
-    names = lambda df, c: [r[0] for r in df.select(c).distinct().collect()]  # noqa: E731  the few assets of the block
-    return correlation.macro_block(returns.aligned_returns(bars, macro), names(bars, "symbol"), names(macro, "asset"))
+    return correlation.macro_block(returns.aligned_returns(tables.bars_orders(spark, sf_dir), tables.macro_lineitem(spark, sf_dir)))
 
 
 def overview(bars: DataFrame) -> DataFrame:
