@@ -609,6 +609,15 @@ def test_keys_meet_for_every_similar_pair():
             assert a & b
 
 
+def test_pairs_are_told_once():
+    r, told, seen = np.random.default_rng(3), jaccard._Told(200), set()
+    for _ in range(60):
+        a, b = np.sort(r.integers(-9, 9, (2, 40)), axis=0)
+        got = list(zip(*(x.tolist() for x in told.fresh(a, b))))
+        assert len(got) == len(set(got)) and set(got) == set(zip(a.tolist(), b.tolist())) - seen
+        seen |= set(got)
+
+
 def test_bitmap_bound():
     r = np.random.default_rng(3)
     for _ in range(200):

@@ -316,18 +316,33 @@ class _Crowd:
         return np.concatenate(out) if out else j
 
 
+class _Told:
+    """Pairs that a task has given, by 64-bit names; it forgets them beyond a number."""
+
+    def __init__(self, most: int = 500_000):
+        self.names, self.most = np.zeros(0, np.uint64), most
+
+    def fresh(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (a <= b) that are new, each once."""
+        names, first = np.unique(mix(a.view(np.uint64) + mix(b.view(np.uint64) ^ _C)), return_index=True)
+        at = np.searchsorted(self.names, names)
+        new = (at == len(self.names)) | (np.append(self.names, np.uint64(0))[at] != names)
+        self.names = np.insert(self.names, at[new], names[new]) if len(self.names) <= self.most else names[new]
+        return a[first[new]], b[first[new]]
+
+
 def _cross(percent: int):
     """Rows (cell, id, n, root, side, bits) sorted by cell to the pairs (a, b) of one cell and different roots that may be similar."""
     names = ("cell", "id", "n", "root", "side")
 
-    def pairs(cell: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def pairs(cell: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[np.ndarray], told: _Told) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
             a, b = (np.concatenate(x) for x in zip(*found))
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            return pa.RecordBatch.from_arrays(list(map(pa.array, told.fresh(np.minimum(a, b), np.maximum(a, b)))), ["a", "b"])
 
         held = 0
         for low, high in zip(cuts[:-1], cuts[1:]):
@@ -345,6 +360,7 @@ def _cross(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        told = _Told()
         for batch in batches:
             rows = [batch.column(c).to_numpy() for c in names]
             if not len(rows[0]):
@@ -355,12 +371,12 @@ def _cross(percent: int):
             if cut:
                 held.append((*(c[:cut] for c in rows), bits[:cut]))
                 *done, maps = zip(*held)
-                yield from pairs(*(np.concatenate(c) for c in done), sum(maps, []))
+                yield from pairs(*(np.concatenate(c) for c in done), sum(maps, []), told)
                 held = []
             held.append((*(c[cut:] for c in rows), bits[cut:]))
         if held:
             *done, maps = zip(*held)
-            yield from pairs(*(np.concatenate(c) for c in done), sum(maps, []))
+            yield from pairs(*(np.concatenate(c) for c in done), sum(maps, []), told)
 
     return run
 
