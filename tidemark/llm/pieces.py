@@ -33,6 +33,7 @@ SPACE = "▁"
 _CHUNK_CHARS = 16_384
 _GIANT_BYTES = 32_768
 _BLOCK_CHUNKS = 256
+_TASK_CHUNKS = 64
 _CACHE_UNITS = 400_000
 _SLICE_ROWS = 1000  # rows worked on at a time, so that a task holds little besides the batch it is given
 _DECODE_IDS = 400_000  # ids decoded at a time, and those of one text at least
@@ -488,7 +489,7 @@ def _giants(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], ["rid", "chunk", "ids"])
 
     chunks = materialize(docs.select("rid", "text").mapInArrow(cut, "rid long, chunk long, around string, low long, high long").withColumn("block", F.expr(f"chunk div {_BLOCK_CHUNKS}")), "piece-chunks")
-    spread = chunks.repartition(F.col("rid"), F.col("chunk"))
+    spread = chunks.repartition(max(1, -(-chunks.count() // _TASK_CHUNKS)), "rid", "chunk")  # chunks are few bytes but much work
     weights = materialize(spread.mapInArrow(weigh, "rid long, chunk long, rows long, matrix binary").withColumn("block", F.expr(f"chunk div {_BLOCK_CHUNKS}")), "piece-weights")
     blocks_ = weights.groupBy("rid", "block").applyInPandas(product, "rid long, block long, rows long, matrix binary")
     ends = blocks_.groupBy("rid").applyInPandas(across, "rid long, block long, enter long, leave long")
