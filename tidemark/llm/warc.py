@@ -119,7 +119,11 @@ def record_kinds(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, s: Settings = Settings()) -> DataFrame:
-    """Write the records of `pages` to archives in `folder`; (path, records, bytes) of each archive."""
+    """Write the records of `pages` to archives in `folder`; (path, records, bytes) of each archive.
+
+    Every attempt of a task writes under names of its own, as rows may come to it in another
+    order; the list that is returned says which archives count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, root = fs.FileSystem.from_uri(folder)
@@ -129,7 +133,7 @@ def write(pages: DataFrame, folder: str, s: Settings = Settings()) -> DataFrame:
         def close() -> None:
             nonlocal held, size, n
             if held:
-                path = f"{root}/part-{part:06d}-{n:05d}.warc.zst"
+                path = f"{root}/part-{part:06d}-{n:05d}-{uuid.uuid4().hex}.warc.zst"
                 out.append((path, len(held), write_archive(to, path, held, s)))
                 held, size, n = [], 0, n + 1
 
@@ -178,7 +182,7 @@ def read(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                             rows = []
                 yield table(rows)
 
-    return archives.select("path").mapInArrow(run, READ)
+    return archives.select("path").repartition(max(1, archives.count()), "path").mapInArrow(run, READ)  # the list is small, the archives are not
 
 
 def archive(spark: SparkSession, pages: DataFrame, s: Settings = Settings(), payloads: bool = False) -> DataFrame:
