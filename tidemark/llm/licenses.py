@@ -3,8 +3,9 @@
 All rolling word k-gram hashes of the documents are joined with the positions of the
 same k-grams in license templates.  A hit votes for its diagonal, the offset between the
 place in the document and the place in the template.  Neighbouring diagonals merge into
-spans, so that a few inserted or missing words do not break a license apart, and spans
-are verified word by word against the text.
+spans, so that a few inserted or missing words do not break a license apart.  A span covers
+no more diagonals than its template has words, and is verified word by word against the
+text: it must hold most of the template, and densely.
 """
 
 from __future__ import annotations
@@ -65,6 +66,7 @@ TEMPLATES = {
 class Settings:
     max_gap: int = 8  # neighbouring diagonals at most this far apart merge
     min_share: float = 0.8  # of a template's words that a verified span holds
+    min_density: float = 0.5  # of a verified span's words that are the template's
     max_broadcast: int = 500_000  # spans up to which they are broadcast to the texts; beyond, both are shuffled
 
 
@@ -130,16 +132,20 @@ def candidate_spans(docs: DataFrame, items: list[Template], s: Settings) -> Data
         .withColumn("phrase", phrase[F.col("template")])
     )
     whole = votes.where("phrase and votes = size - 2").select("rid", "template", "first", "last")
-    # one row for each template and diagonal of one document; a far jump along the diagonals or the text starts a new span
-    order = Window.partitionBy("rid", "template").orderBy("diagonal", "first")
-    step = (F.col("diagonal") - F.lag("diagonal").over(order) > s.max_gap) | F.lag("diagonal").over(order).isNull()
+    # windows as wide as the template, overlapping by half, bound what merges; in one of them lies every
+    # license whose inserted words are at most half its size
+    half = F.greatest(F.lit(1), F.floor(F.col("size") / 2)).cast("int")
+    windowed = votes.where("not phrase").withColumn("at", F.floor(F.col("diagonal") / half)).withColumn("window", F.explode(F.array(F.col("at"), F.col("at") - 1)))
+    order = Window.partitionBy("rid", "template", "window").orderBy("diagonal", "first")  # at most as many rows as two halves have diagonals
+    before = F.lag("diagonal").over(order)
+    step = before.isNull() | (F.col("diagonal") - before > s.max_gap)
     merged = (
-        votes.where("not phrase")
-        .withColumn("span", F.sum(step.cast("int")).over(order))
-        .groupBy("rid", "template", "span")
+        windowed.withColumn("span", F.sum(step.cast("int")).over(order))
+        .groupBy("rid", "template", "window", "span")
         .agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("size").alias("size"))
         .where((F.col("votes") + K - 1) >= F.col("size") * F.lit(s.min_share) * 0.5)
         .select("rid", "template", "first", "last")
+        .distinct()
     )
     return whole.unionByName(merged)
 
@@ -147,6 +153,25 @@ def candidate_spans(docs: DataFrame, items: list[Template], s: Settings) -> Data
 FOUND = "rid long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,share:double>>"
 
 
+def dense(own: list[bytes], template: tuple[bytes, ...], s: Settings) -> tuple[int, int, float] | None:
+    """(first, last, share) of the part of `own` that holds enough of the template's words in order, and densely; else None.
+
+    Matching runs at either end go as long as the rest is too thin and enough is left.
+    """
+    blocks_ = [(m.a, m.size) for m in SequenceMatcher(None, own, template, autojunk=False).get_matching_blocks() if m.size]
+    total = sum(n for _, n in blocks_)
+    while blocks_ and total >= s.min_share * len(template):
+        (low, n), (high, m) = blocks_[0], blocks_[-1]
+        if total >= s.min_density * (high + m - low):
+            return low, high + m - 1, total / len(template)
+        if len(blocks_) == 1:
+            return None
+        gap = lambda i, j: blocks_[j][0] - blocks_[i][0] - blocks_[i][1]
+        drop = 0 if gap(0, 1) / n >= gap(-2, -1) / m else -1  # the end with the wider gap for its size
+        total -= blocks_.pop(drop)[1]
+    return None
+
+
 def _verifier(items: list[Template], s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("rid", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("share", pa.float64())])))])
@@ -168,10 +193,8 @@ def _verifier(items: list[Template], s: Settings):
                         if tuple(own) == t.words:
                             base.append((t.label, first))
                         continue
-                    same = [m for m in SequenceMatcher(None, own, t.words, autojunk=False).get_matching_blocks() if m.size]
-                    share = sum(m.size for m in same) / size
-                    if share >= s.min_share:
-                        found.append((t.label, first + same[0].a, first + same[-1].a + same[-1].size - 1, share))
+                    if held := dense(own, t.words, s):
+                        found.append((t.label, first + held[0], first + held[1], held[2]))
                 if not base and not found:
                     continue
                 starts = [p for _, p in base]
@@ -179,7 +202,7 @@ def _verifier(items: list[Template], s: Settings):
                 out.append({
                     "rid": rid, "n_base": len(base), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
                     "base_labels": ",".join(sorted({label for label, _ in base})), "labels": ",".join(sorted(every)),
-                    "score": 1.0 if base else max(f[3] for f in found), "spans": [dict(zip(("label", "first", "last", "share"), f)) for f in sorted(found)],
+                    "score": 1.0 if base else max(f[3] for f in found), "spans": [dict(zip(("label", "first", "last", "share"), f)) for f in sorted(set(found))],
                 })
             yield pa.RecordBatch.from_pylist(out, schema)
 
