@@ -285,6 +285,15 @@ def test_warc(spark, none):
     assert warc.archive(spark, none.selectExpr("doc_id page_id", "text url", "text html")).count() == 0
 
 
+def test_warc_attempts_do_not_overwrite(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * 50) for i in range(40)], "page_id long, url string, html string")
+    folder = _store.new_path(spark, "twice")
+    first = warc.write(pages.repartition(3), folder, warc.Settings(archive_bytes=3000))
+    again = warc.write(pages.orderBy(F.desc("page_id")).coalesce(3), folder, warc.Settings(archive_bytes=3000))  # as a repeated attempt, in another order
+    for listed in (first, again):
+        assert sorted(r.page_id for r in warc.read(listed, folder).collect()) == list(range(40))
+
+
 def test_warc_sql(spark, tmp_path):
     rows = [(i, "u", f"page {i % 7}") for i in range(30)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
@@ -329,6 +338,61 @@ def test_license_texts_with_changes(spark, tmp_path):
     assert got[4].labels == "bsd" and got[4].score == 1 and (got[4].spans[0].first, got[4].spans[0].last) == (0, len(bsd) - 1)
 
 
+def slow_license_labels(text, s):
+    """Labels by the rules, from every place of every diagonal's neighbourhood, without Spark."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    w, out = [x.encode() for x in word.findall((text or "").translate(LOWER_AZ))], set()
+    for t in licenses.templates():
+        n = len(t.words)
+        if t.phrase:
+            if any(tuple(w[i : i + n]) == t.words for i in range(len(w) - n + 1)):
+                out.add(t.label)
+            continue
+        grams = collections.defaultdict(list)
+        for p in range(n - 2):
+            grams[t.words[p : p + 3]].append(p)
+        votes = collections.Counter()
+        where = collections.defaultdict(list)
+        for pos in range(len(w) - 2):
+            for p in grams.get(tuple(w[pos : pos + 3]), ()):
+                votes[pos - p] += 1
+                where[pos - p] += [pos, pos + 2]
+        half = max(1, n // 2)
+        for k in {d // half - i for d in votes for i in (0, 1)}:
+            inside, span = sorted(d for d in votes if d // half - k in (0, 1)), []
+            for d, after in zip(inside, [*inside[1:], None]):
+                span.append(d)
+                if after is None or after - d > s.max_gap:
+                    if sum(votes[x] for x in span) + 2 >= n * s.min_share * 0.5:
+                        places = [x for y in span for x in where[y]]
+                        low, high = max(0, min(places) - n), min(len(w) - 1, max(places) + n)
+                        if licenses.dense(w[low : high + 1], t.words, s):
+                            out.add(t.label)
+                    span = []
+    return ",".join(sorted(out))
+
+
+def test_license_votes(spark, tmp_path):
+    r, s = random.Random(8), licenses.Settings()
+    texts = [t for group in licenses.TEMPLATES.values() for t in group]
+    mit = licenses.TEMPLATES["mit-text"][0].split()
+    scattered = " ".join(w for i in range(0, len(mit), 4) for w in mit[i : i + 4] + sentence(8, r).split())  # a third of the words, in order: no license
+    rows = ["of the software " * 3000, scattered, sentence(50, r) + " " + texts[0] + " " + sentence(400, r) + " of the software " + sentence(20, r)]
+    for _ in range(60):
+        w = sentence(r.randint(0, 60), r).split() + r.choice(texts).split() + sentence(r.randint(0, 60), r).split()
+        for _ in range(r.choice([0, 3, 20, 60])):
+            i = r.randrange(len(w) + 1)
+            w[i : i + r.choice([0, 1])] = r.choice([[], ["new"], ["two", "more"]])
+        rows.append(" ".join(w))
+    rows += [" ".join(r.choice(texts).split()[:k]) for k in (5, 12, 30)] + [None, ""]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3).write.parquet(path)
+    got = {x.doc_id: x for x in licenses.scan(spark.read.parquet(path)).collect()}
+    assert [got[i].labels for i in range(len(rows))] == [slow_license_labels(t, s) for t in rows]
+    assert got[0].labels == got[1].labels == "" and got[2].labels != ""
+    assert all(x.last - x.first + 1 <= 200 for x in got[2].spans)
+
+
 # -- 5: mixing ------------------------------------------------------------------------------------------
 
 
@@ -390,18 +454,65 @@ def test_quality_verdict(spark, tmp_path):
     assert all(got[i] for i in range(60)) and not any(got[i] for i in range(60, 66))
 
 
-def test_quality_of_many_languages(spark, tmp_path, monkeypatch):
+def slow_distances(rows, k, rules):
+    """Both distances of text k, with counts over all others of each language, word by word."""
+    words = lambda t: WS.findall((t or "").translate(LOWER_AZ))
+    js = lambda p, q: math.sqrt(max(0.0, sum(x * math.log2(2 * x / (x + y)) for x, y in zip(p, q) if x > 0) + sum(y * math.log2(2 * y / (x + y)) for x, y in zip(p, q) if y > 0)) / 2)
+    kinds = lambda t: np.bincount([c for c in quality._CLASS[np.frombuffer((t or "").encode(), np.uint8)] if c != 255], minlength=quality.N_CLASSES)
+    _, text, lang = rows[k]
+    found = {}
+    for own in {r[2] for r in rows if r[2]}:
+        every = collections.Counter(w for r in rows if r[2] == own for w in words(r[1]))
+        if every.total() < rules.min_reference:
+            continue
+        top = [w for w, _ in sorted(every.items(), key=lambda x: (-x[1], x[0]))[: rules.common_words]]
+        classes = sum(kinds(r[1]) for r in rows if r[2] == own)
+        if own == lang:
+            every = every - collections.Counter(words(text))
+            classes = classes - kinds(text)
+            if every.total() < rules.min_reference:
+                continue
+        p, n, m = collections.Counter(words(text)), max(1, len(words(text))), every.total()
+        x, y = [p[w] / n for w in top], [every[w] / m for w in top]
+        found[own] = js(x + [1 - sum(x)], y + [1 - sum(y)]), js(kinds(text) / max(1, kinds(text).sum()), classes / classes.sum())
+    if not found or lang and lang not in found:
+        return None, None
+    word, char = min(found.values(), key=sum)
+    return char, word
+
+
+def test_quality_distances(spark, tmp_path, monkeypatch):
+    r, rules = random.Random(2), quality.Rules(common_words=8, min_reference=300)
+    own = lambda k, n: " ".join(f"{chr(97 + k)}{r.choice('abcdefghijklmnopqrst')}" + r.choice(["", "", ".", "é", "7"]) for _ in range(n))
+    rows = [(i, own(i % 3, r.randint(0, 120)), f"l{i % 3}") for i in range(40)] + [(40, own(5, 900), "alone"), (41, own(6, 20), "small"), (42, own(1, 80), None), (43, own(2, 60), ""), (44, None, "l1"), (45, "#" * 500, "l0"), (46, "", None)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(path)
+    for cells in (4 << 20, 4 * 40):  # then a few texts at a time
+        monkeypatch.setattr(quality, "_CELLS", cells)
+        references = quality.language_references(spark.read.parquet(path), rules)
+        assert {x["lang"] for x in references} == {"l0", "l1", "l2", "alone"}
+        _, d_char, _, d_word = quality.distances(pa.array([t for _, t, _ in rows], pa.string()), [x for *_, x in rows], references, rules)
+        for k in range(len(rows)):
+            char, word = slow_distances(rows, k, rules)
+            if char is None:
+                assert math.isnan(d_char[k]) and math.isnan(d_word[k])
+            else:
+                assert (d_char[k], d_word[k]) == (pytest.approx(char, abs=1e-6), pytest.approx(word, abs=1e-6))
+    got = {x.doc_id: x for x in quality.judge(spark.read.parquet(path), rules).collect()}
+    assert len(got) == len(rows) and got[40].char_distance is None and got[40].kept != got[40].base_failed
+
+
+def test_quality_of_many_languages(spark, tmp_path):
     r = random.Random(2)
     own = lambda k, n: " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{r.choice('abcdefghijklmnopqrst')}" for _ in range(n))
-    rows = [(k, own(k, 400 - 3 * k), f"l{k}") for k in range(80)]
+    rows = [(8 * k + i, own(k, 300), f"l{k}") for k in range(80) for i in range(8)]
+    rows += [(1000 + k, own(k + 1, 300), f"l{k}") for k in range(3)]  # under a wrong name, the nearest language counts
+    rows += [(2000, "7 8 " * 200, "l5"), (2001, "7 8 " * 200, "new")]  # no language's text; a name of one text tells nothing
     path = str(tmp_path / "d")
     spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(path)
-    got = sorted((x.doc_id, x.kept, x.char_distance, x.word_distance) for x in quality.judge(spark.read.parquet(path)).collect())
-    assert all(x[1] and x[2] < 1e-6 and x[3] < 1e-6 for x in got) and len(got) == 80
-    texts, references = pa.array([t for _, t, _ in rows[:9]]), quality.language_references(spark.read.parquet(path))
-    whole = quality.distances(texts, references)
-    monkeypatch.setattr(quality, "_CELLS", 4 * 1600)  # a few texts at a time
-    assert all(np.allclose(x, y, atol=1e-6) for x, y in zip(whole, quality.distances(texts, references)))
+    got = {x.doc_id: x for x in quality.judge(spark.read.parquet(path)).collect()}
+    assert all(got[i].kept and got[i].word_distance < 0.3 and got[i].char_distance < 0.1 for i, _, lang in rows[:-2] if lang != "l5")
+    assert not got[2000].kept and got[2000].word_distance > 0.9 and got[2001].word_distance is None
 
 
 def test_js_distance():

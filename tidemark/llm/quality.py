@@ -3,8 +3,10 @@
 Every document's histogram of character classes and of common words is compared with
 the reference histograms of languages, gathered from the whole corpus, by the
 Jensen-Shannon distance (base 2, so from 0 to 1).  Guards of minimum length keep texts
-too short for a histogram from being judged by it.  Every language has a reference: the
-driver and the tasks hold 50 words and 10 classes for each.
+too short for a histogram from being judged by it, and languages with too little text from
+being a reference.  A text is left out of its own language's reference when it is compared
+with it.  Every language with enough text has a reference: the driver and the tasks hold 50
+words and 10 classes for each.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ class Rules:
     max_word_distance: float = 0.5
     min_chars: int = 200  # the character histogram is judged from here
     min_words: int = 50  # the word histogram is judged from here
+    min_reference: int = 2000  # words that a language's reference is made of at least
 
 
 def features(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -126,19 +129,15 @@ def language_references(docs: DataFrame, rules: Rules = Rules()) -> list[dict]:
     top = totals.withColumn("place", place).where(F.col("place") <= F.lit(max(rules.common_words, N_CLASSES))).collect()  # bounded by languages * (words + classes)
     out: dict[str, dict] = {}
     for r in sorted(top, key=lambda r: (r.lang, r.kind, r.place)):
-        ref = out.setdefault(r.lang, {"lang": r.lang, "classes": np.zeros(N_CLASSES), "words": [], "shares": []})
+        ref = out.setdefault(r.lang, {"lang": r.lang, "classes": np.zeros(N_CLASSES), "words": [], "counts": [], "total": 0})
         if r.kind == "c":
             ref["classes"][int(r["item"])] = r.n
         elif r.kind == "t":
             ref["total"] = r.n
         elif r.place <= rules.common_words:
             ref["words"].append(r["item"].encode())
-            ref["shares"].append(r.n)
-    out = {lang: r for lang, r in out.items() if r["words"]}
-    for ref in out.values():
-        ref["classes"] /= ref["classes"].sum()
-        ref["shares"] = [n / ref["total"] for n in ref["shares"]]
-    return list(out.values())
+            ref["counts"].append(r.n)
+    return [r for r in out.values() if r["total"] >= rules.min_reference]
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -155,22 +154,27 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 _CELLS = 4 << 20  # counts of common words held at once
 
 
-def distances(texts: pa.Array, references: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(characters, distance of classes, words, distance of words) of each text, the distances those of the nearest language."""
+def distances(texts: pa.Array, langs: list[str | None], references: list[dict], rules: Rules = Rules()) -> tuple[np.ndarray, ...]:
+    """(characters, distance of classes, words, distance of words) of each text, both distances from the language nearest by their sum.
+
+    They are NaN where there is nothing to compare with: no reference at all, or a text of a
+    named language that has none without this text.
+    """
     spans = [(b"".join(r["words"]), np.cumsum([0, *map(len, r["words"])])) for r in references]
     hashed = [span_hashes(np.frombuffer(d, np.uint8), e[:-1], e[1:]) for d, e in spans]
     table = np.unique(np.concatenate(hashed)) if hashed else np.zeros(0, np.uint64)
+    number = {r["lang"]: k for k, r in enumerate(references)}
+    of_text = np.array([number.get(x, -2) if x else -1 for x in langs], np.int64)  # -1: no language, -2: one without a reference
     parts = []
-    for _, data, at in blocks(texts):
-        n = len(at) - 1
+    for rows, data, at in blocks(texts):
+        n, lang = len(at) - 1, of_text[rows]
         kind = _CLASS[data].astype(np.int64)
         row = np.repeat(np.arange(n), np.diff(at))
         real = kind != 255
         classes = np.bincount(row[real] * N_CLASSES + kind[real], minlength=n * N_CLASSES).reshape(n, N_CLASSES)
         words = Words(LOWER[data], at, NOT_SPACE)
         chars, n_words = classes.sum(axis=1), words.counts
-        p_class = classes / np.maximum(chars, 1)[:, None]
-        d_char, d_word = np.full(n, 1.0), np.full(n, 1.0)
+        best, d_char, d_word = np.full(n, np.inf), np.full(n, np.nan), np.full(n, np.nan)
         if len(table):
             hashes = words.hashes()
             slot = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
@@ -180,26 +184,44 @@ def distances(texts: pa.Array, references: list[dict]) -> tuple[np.ndarray, np.n
                 high = min(n, low + step)
                 a, b = np.searchsorted(of, (low, high))
                 common = np.bincount((of[a:b] - low) * len(table) + slot[a:b], minlength=(high - low) * len(table)).reshape(high - low, len(table))
-                part = slice(low, high)
-                for ref, own in zip(references, hashed):
-                    p = common[:, np.searchsorted(table, own)] / np.maximum(n_words[part], 1)[:, None]
-                    p = np.column_stack((p, 1 - p.sum(axis=1)))
-                    q = np.append(ref["shares"], 1 - sum(ref["shares"]))
-                    d_word[part] = np.minimum(d_word[part], js_distance(p, q))
-                    d_char[part] = np.minimum(d_char[part], js_distance(p_class[part], ref["classes"]))
+                part, total = slice(low, high), n_words[low:high]
+                for k, (ref, own) in enumerate(zip(references, hashed)):
+                    mine = lang[part] == k  # these are part of the reference, so they are taken out of it
+                    count = common[:, np.searchsorted(table, own)]
+                    word, char = (
+                        js_distance(_shares(count, total), _shares(ref["counts"] - count * mine[:, None], ref["total"] - total * mine)),
+                        js_distance(_shares(classes[part]), _shares(ref["classes"] - classes[part] * mine[:, None])),
+                    )
+                    nearer = (word + char < best[part]) & ~(mine & (ref["total"] - total < rules.min_reference))
+                    best[part] = np.where(nearer, word + char, best[part])
+                    d_word[part], d_char[part] = np.where(nearer, word, d_word[part]), np.where(nearer, char, d_char[part])
+                totals = np.array([r["total"] for r in references])
+                alone = (lang[part] == -2) | ((lang[part] >= 0) & (totals[np.maximum(lang[part], 0)] - total < rules.min_reference))
+                d_word[part] = np.where(alone, np.nan, d_word[part])
+                d_char[part] = np.where(alone, np.nan, d_char[part])
         parts.append((chars, d_char, n_words, d_word))
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0),) * 4
 
 
+def _shares(counts: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """Rows of counts as shares; with `total`, a last share is that of all else."""
+    if total is None:
+        return counts / np.maximum(counts.sum(axis=1), 1)[:, None]
+    p = counts / np.maximum(total, 1)[:, None]
+    return np.column_stack((p, 1 - p.sum(axis=1)))
+
+
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The counts, distances and verdict of each document, beside its columns `keep`.
 
-    Null and empty texts have no words and fail the base rules.  Without references (no
-    tagged text) only those count.  Null languages are judged like others, against the
-    nearest reference, but give none.  Columns of other names are left out.
+    Null and empty texts have no words and fail the base rules.  Texts without a language are
+    judged like others, against the nearest reference, but give none.  Where there is no
+    reference (no tagged text, or a named language of too little text without this one)
+    only the base rules count and the distances are null.  Columns of other names are left
+    out.
     """
     references = language_references(docs, rules)
 
@@ -208,16 +230,14 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ("doc
             if not batch.num_rows:
                 continue
             f = features(batch.column("text"))
-            chars, d_char, n_words, d_word = distances(batch.column("text"), references)
+            chars, d_char, n_words, d_word = distances(batch.column("text"), batch.column("lang__").to_pylist(), references, rules)
             failed = (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
-            far = ((chars >= rules.min_chars) & (d_char > rules.max_char_distance)) | ((n_words >= rules.min_words) & (d_word > rules.max_word_distance))
-            if not references:
-                far[:] = False
+            far = ((chars >= rules.min_chars) & (d_char > rules.max_char_distance)) | ((n_words >= rules.min_words) & (d_word > rules.max_word_distance))  # NaN is not beyond
             own = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (*f.values(), failed, ~(failed | far), d_char, d_word))], [*keep, *f, "base_failed", "kept", "char_distance", "word_distance"])
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (*f.values(), failed, ~(failed | far))), *(pa.array(d, from_pandas=True) for d in (d_char, d_word))], [*keep, *f, "base_failed", "kept", "char_distance", "word_distance"])
 
     head = [docs.schema[c].simpleString().replace(":", " ", 1) for c in keep]
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join([*head, SCHEMA.split(", ", 1)[1]]))
+    return docs.select(*keep, "text", F.col("lang").alias("lang__")).mapInArrow(run, ", ".join([*head, SCHEMA.split(", ", 1)[1]]))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
