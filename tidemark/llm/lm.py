@@ -205,19 +205,24 @@ class Network:
             dh = e @ self.to_class.T
         order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(s.word_classes + 1))
-        held, place = h[order[: cuts[-1]]], rank[order[: cuts[-1]]] % s.words_per_class
+        order = order[: cuts[-1]]
+        held, place, inner = h[order], rank[order] % s.words_per_class, np.empty(len(order))
+        dinner = np.empty_like(held) if grad else None
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             own, part = slice(cuts[k], cuts[k + 1]), slice(k * s.words_per_class, (k + 1) * s.words_per_class)
             e = self._raised(held[own], self.to_word[part].T, self.word_bias[part])
             row, at = every[: own.stop - own.start], place[own]
             picked, total = e[row, at], e.sum(axis=1)
-            out[order[own]] += np.log(picked / total)
+            np.divide(picked, total, out=inner[own])
             if grad:
                 e /= total[:, None]
                 e[row, at] -= 1
                 np.matmul(e.T, held[own], out=g["to_word"][part])
                 g["word_bias"][part] = e.sum(axis=0)
-                dh[order[own]] += e @ self.to_word[part]
+                np.matmul(e, self.to_word[part], out=dinner[own])
+        out[order] += np.log(inner)
+        if grad:
+            dh[order] += dinner
         return (out, dh, g) if grad else out
 
     @staticmethod
