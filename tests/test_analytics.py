@@ -287,3 +287,36 @@ def test_moving_averages_of_any_length(spark):
             for w, x in ((short, r.sma_short), (long_, r.sma_long)):
                 want = sum(vs[i - w + 1 : i + 1]) / w if i + 1 >= w else None
                 assert x == pytest.approx(want) if want is not None else x is None
+
+
+def test_forecaster_can_be_replaced(spark):
+    def fit(y, p, q):
+        if len(y) < 5:
+            raise ValueError("too few values")
+        return (float(np.mean(y)),), float(np.var(y)), float(p)  # the order with p = 0 wins
+
+    drift = forecast.Forecaster(fit, lambda y, m: np.full(len(y), m[0]), lambda y, m, v, h: (m[0] * np.arange(1, h + 1), v * np.arange(1, h + 1)), ((1, 0), (0, 0)), "Drift")
+    rows = bars(spark, [100 * 1.01**i for i in range(200)])
+    head = forecast.forecast(rows, model=drift).first()
+    assert (head.p, head.q) == (0, 0) and head.skill == pytest.approx(1) and head.verdict == "Drift(0, 1, 0) beats the random walk by 100.0% on held-out days."
+    fan = forecast.forecast_fan(rows, model=drift).orderBy("day").collect()
+    assert [r.kind for r in fan] == ["history"] * 120 + ["forecast"] * 30
+    assert fan[119].value == pytest.approx(100 * 1.01**199) and fan[-1].value == pytest.approx(100 * 1.01**229) and fan[119].lower is None and fan[-1].lower <= fan[-1].value
+
+
+def test_load_of_a_bundle_whose_feeds_fail(spark):
+    from tidemark.sources import bundle
+
+    sample = bars(spark, range(1, 9))
+    with pytest.raises(ValueError):
+        bundle.load_assets(lambda *a: sample, lambda s: sample, {})
+    simulated = bundle.load_assets(lambda *a: 1 / 0, lambda s: sample.withColumn("symbol", F.lit(s)), {"a": "A", "b": "B"}, simulated=True)
+    feed = (lambda: 1 / 0, lambda: sample)
+    found = bundle.load_market(simulated, feed, feed, feed, simulated=True)
+    assert {(r.feed, r.source) for r in found.sources.collect()} == {(f, "simulated") for f in bundle.FEEDS.values()}
+    assert {r.symbol for r in found.not_live.collect()} == {"A", "B"} and found.prices.count() == 16
+
+
+def test_phases_come_by_number_of_days(spark):
+    days = [r.days for r in cycles.phase_distribution(bars(spark, [100 + 30 * math.sin(i / 20) for i in range(400)])).collect()]
+    assert days == sorted(days, reverse=True) and sum(days) == 400

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.config import DEFAULT, Settings
-from tidemark.functions.stats import corr, half_even, trailing
+from tidemark.functions.stats import corr, dash, half_even, trailing
 
 
 def _pairs(returns: DataFrame) -> DataFrame:
@@ -88,3 +88,9 @@ def regime_correlation(returns: DataFrame, benchmark: str, assets: Sequence[str]
         "asset", F.lit(benchmark).alias("benchmark"), "calm", "stressed", (F.col("stressed") - F.col("calm")).alias("shift"),
         F.coalesce("calm_days", F.lit(0)).cast("long").alias("calm_days"), F.coalesce("stressed_days", F.lit(0)).cast("long").alias("stressed_days"),
     )
+
+
+def regime_table(returns: DataFrame, benchmark: str, assets: Sequence[str] | None = None, s: Settings = DEFAULT) -> DataFrame:
+    """Calm and stressed correlations as display text."""
+    text = [dash(F.col(c), "%+.2f").alias(c) for c in ("calm", "stressed", "shift")]
+    return regime_correlation(returns, benchmark, assets, s).select("asset", *text, "calm_days", "stressed_days")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.config import DEFAULT, Settings
-from tidemark.functions.stats import by_day, ratio, so_far
+from tidemark.functions.stats import by_day, dash, ratio, so_far
 
 #: Rows over which the recursive mean is summed in closed form; weights of older rows vanish in a double.
 _BLOCK = 1000
@@ -85,7 +85,8 @@ def phase_series(bars: DataFrame, s: Settings = DEFAULT, strict_sideways: bool =
 
 
 def phase_distribution(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    return phase_series(bars, s).groupBy("symbol", "phase").agg(F.count("*").alias("days"))
+    """(symbol, phase, days), each symbol's most frequent phase first."""
+    return phase_series(bars, s).groupBy("symbol", "phase").agg(F.count("*").alias("days")).orderBy("symbol", F.desc("days"), "phase")
 
 
 def current_phase(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -97,3 +98,9 @@ def current_phase(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         "symbol", "r.phase", "r.rsi", (ratio(F.col("r.price"), F.col("r.sma_long")) - 1).alias("price_vs_ma_long"), F.col("r.drawdown").alias("drawdown_from_high"),
         trend.alias("trend"), "r.ma_short", "r.ma_long",
     )
+
+
+def cycle_table(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """The current phases as display text; ma_long says which average the price is held against."""
+    rows = current_phase(bars, s)
+    return rows.select("symbol", "phase", dash(F.col("rsi"), "%.0f").alias("rsi"), dash(100 * F.col("price_vs_ma_long"), "%+.1f%%").alias("price_vs_ma_long"), dash(100 * F.col("drawdown_from_high"), "%.1f%%").alias("drawdown"), "trend", "ma_long")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,8 +14,32 @@ from tidemark.functions.stats import by_day, ratio
 from tidemark.operators import arima
 from tidemark.operators.returns import densified
 
-#: Candidate orders (p, 1, q), p first; the earlier one wins ties.
-ORDERS = [(p, q) for p in range(3) for q in range(3)]
+
+
+@dataclass(frozen=True)
+class Forecaster:
+    """A model of daily log returns, replaceable as a whole; its functions run in tasks.
+
+    fit(returns, p, q) gives (parameters, variance, AIC) or raises ValueError;
+    one_step(returns, parameters) predicts each return from those before it;
+    project(returns, parameters, variance, horizon) gives means and variances of the summed
+    returns ahead.  `orders` are the candidates (p, q); the earlier one wins ties.
+    """
+
+    fit: Callable[[np.ndarray, int, int], tuple]
+    one_step: Callable[[np.ndarray, tuple], np.ndarray]
+    project: Callable[[np.ndarray, tuple, float, int], tuple[np.ndarray, np.ndarray]]
+    orders: tuple[tuple[int, int], ...]
+    name: str = "ARIMA"
+
+
+def _fit(y: np.ndarray, p: int, q: int) -> tuple:
+    phi, theta, variance, aic = arima.fit(y, p, q)
+    return (phi, theta), variance, aic
+
+
+ARIMA = Forecaster(_fit, lambda y, parameters: arima.one_step(y, *parameters), lambda y, parameters, variance, horizon: arima.project(y, *parameters, variance, horizon), tuple((p, q) for p in range(3) for q in range(3)))
+
 _Z = {0.20: 1.2815515655446004, 0.10: 1.6448536269514722, 0.05: 1.959963984540054}
 
 
@@ -36,12 +63,15 @@ def skill(rmse: Column, naive: Column) -> Column:
     return 1 - ratio(rmse, F.when(naive > 0, naive))
 
 
-def verdict(value: Column) -> Column:
+def verdict(value: Column, p: Column, q: Column, name: str = "ARIMA") -> Column:
+    """One sentence on the model's order and its skill against the random walk."""
+    model = F.format_string(f"{name}(%d, 1, %d)", p, q)
+    gain = F.format_string("%.1f%%", 100 * value)
     return (
-        F.when(value.isNull(), "The baseline has no error, so skill is not defined.")
-        .when(value > 0.05, "The model beats a random walk clearly.")
-        .when(value > 0, "The model beats a random walk slightly.")
-        .otherwise("The model does not beat a random walk.")
+        F.when(value.isNull(), "Too few held-out days, or none with an error, to judge a model against the random walk.")
+        .when(value > 0.05, F.concat(model, F.lit(" beats the random walk by "), gain, F.lit(" on held-out days.")))
+        .when(value > 0, F.concat(model, F.lit(" beats the random walk by "), gain, F.lit(" on held-out days, too little to rely on.")))
+        .otherwise(F.concat(model, F.lit(" does not beat the random walk on held-out days: its interval is a range, not a target.")))
     )
 
 
@@ -65,28 +95,28 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "symbol")
 
 
-def select_orders(rows: DataFrame) -> DataFrame:
+def select_orders(rows: DataFrame, model: Forecaster = ARIMA) -> DataFrame:
     """(symbol, p, q): the order of least AIC on the training rows; (1, 1) where none could be fitted."""
-    orders = rows.sparkSession.createDataFrame([(i, p, q) for i, (p, q) in enumerate(ORDERS)], "idx int, p int, q int")
+    orders = rows.sparkSession.createDataFrame([(i, p, q) for i, (p, q) in enumerate(model.orders)], "idx int, p int, q int")
     train = rows.where("not is_test").select("symbol", "day", "log_price")
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         y = np.diff(pdf.sort_values("day")["log_price"].to_numpy())
         p, q, idx = (int(pdf[c].iloc[0]) for c in ("p", "q", "idx"))
         try:
-            aic = arima.fit(y, p, q)[3]
+            aic = float(model.fit(y, p, q)[2])
         except (ValueError, np.linalg.LinAlgError):
             aic = np.nan
         return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "idx": [idx], "p": [p], "q": [q], "aic": [aic]})
 
-    fits = max(9, 2 * rows.sparkSession.sparkContext.defaultParallelism)  # fitting is the work, however few the rows
-    scored = train.crossJoin(F.broadcast(orders)).repartition(fits, "symbol", "idx").groupBy("symbol", "idx").applyInPandas(score, "symbol string, idx int, p int, q int, aic double")  # nine fixed orders
+    fits = max(len(model.orders), 2 * rows.sparkSession.sparkContext.defaultParallelism)  # fitting is the work, however few the rows
+    scored = train.crossJoin(F.broadcast(orders)).repartition(fits, "symbol", "idx").groupBy("symbol", "idx").applyInPandas(score, "symbol string, idx int, p int, q int, aic double")  # a few fixed orders
     good = scored.where("aic is not null and not isnan(aic) and abs(aic) < double('inf')")
     best = good.groupBy("symbol").agg(F.min(F.struct("aic", "idx", "p", "q")).alias("b")).select("symbol", "b.p", "b.q")
     return rows.select("symbol").distinct().join(best, "symbol", "left").select("symbol", F.coalesce("p", F.lit(1)).alias("p"), F.coalesce("q", F.lit(1)).alias("q"))
 
 
-def backtest(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def backtest(bars: DataFrame, s: Settings = DEFAULT, model: Forecaster = ARIMA) -> DataFrame:
     """(symbol, p, q, day, actual, predicted, naive) over the test rows, parameters as fitted on the training rows.
 
     Where the model cannot be fitted the prediction is the value before, as in the baseline.
@@ -100,8 +130,7 @@ def backtest(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         y = np.diff(log)
         step = np.zeros(len(y))
         try:
-            phi, theta, _, _ = arima.fit(y[: max(0, n - 1)], p, q)
-            step = arima.one_step(y, phi, theta)
+            step = model.one_step(y, model.fit(y[: max(0, n - 1)], p, q)[0])
         except (ValueError, np.linalg.LinAlgError):
             pass
         out = pdf[["symbol", "p", "q", "day"]].copy()
@@ -110,19 +139,19 @@ def backtest(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         out["naive"] = np.append(np.nan, np.exp(log[:-1]))
         return out[test & (np.arange(len(out)) > 0)]
 
-    joined = rows.select("symbol", "day", "log_price", "is_test").join(F.broadcast(select_orders(rows)), "symbol")  # one row a symbol
+    joined = rows.select("symbol", "day", "log_price", "is_test").join(select_orders(rows, model), "symbol")  # Spark broadcasts the orders where they are few
     return _spread(joined).groupBy("symbol").applyInPandas(walk, "symbol string, p int, q int, day date, actual double, predicted double, naive double")
 
 
-def forecast(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def forecast(bars: DataFrame, s: Settings = DEFAULT, model: Forecaster = ARIMA) -> DataFrame:
     """The header: symbol, order, errors of model and baseline, skill, verdict."""
-    scored = backtest(bars, s).groupBy("symbol").agg(F.first("p").alias("p"), F.lit(1).alias("d"), F.first("q").alias("q"), *errors("actual", "predicted"), *errors("actual", "naive", "naive_"))
+    scored = backtest(bars, s, model).groupBy("symbol").agg(F.first("p").alias("p"), F.lit(1).alias("d"), F.first("q").alias("q"), *errors("actual", "predicted"), *errors("actual", "naive", "naive_"))
     symbols = bars.select("symbol").distinct()
     out = symbols.join(scored, "symbol", "left").withColumn("skill", skill(F.col("rmse"), F.col("naive_rmse")))
-    return out.withColumn("beats_naive", F.coalesce(F.col("skill") > 0, F.lit(False))).withColumn("verdict", verdict(F.col("skill")))
+    return out.withColumn("beats_naive", F.coalesce(F.col("skill") > 0, F.lit(False))).withColumn("verdict", verdict(F.col("skill"), F.col("p"), F.col("q"), model.name))
 
 
-def forecast_path(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def forecast_path(bars: DataFrame, s: Settings = DEFAULT, model: Forecaster = ARIMA) -> DataFrame:
     """(symbol, day, point, lower, upper) from a fit of the whole history with the selected order."""
     rows = prepared(bars, s)
     z = _Z[s.alpha]
@@ -132,14 +161,24 @@ def forecast_path(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         log = pdf["log_price"].to_numpy()
         y, p, q = np.diff(log), int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
         try:
-            phi, theta, variance, _ = arima.fit(y, p, q)
-        except (ValueError, np.linalg.LinAlgError):
-            phi, theta, variance = np.zeros(0), np.zeros(0), float(np.mean(y * y)) if len(y) else 0.0
-        mean, var = arima.project(y, phi, theta, variance, s.horizon)
+            parameters, variance, _ = model.fit(y, p, q)
+            mean, var = model.project(y, parameters, variance, s.horizon)
+        except (ValueError, np.linalg.LinAlgError):  # the random walk
+            mean, var = np.zeros(s.horizon), (float(np.mean(y * y)) if len(y) else 0.0) * np.arange(1, s.horizon + 1)
         days = [pdf["day"].iloc[-1] + pd.Timedelta(days=i + 1).to_pytimedelta() for i in range(s.horizon)]
         level = log[-1] + mean
         half = z * np.sqrt(var)
         return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "day": days, "point": np.exp(level), "lower": np.exp(level - half), "upper": np.exp(level + half)})
 
-    joined = rows.select("symbol", "day", "log_price").join(F.broadcast(select_orders(rows)), "symbol")  # one row a symbol
+    joined = rows.select("symbol", "day", "log_price").join(select_orders(rows, model), "symbol")
     return _spread(joined).groupBy("symbol").applyInPandas(ahead, "symbol string, day date, point double, lower double, upper double")
+
+
+def forecast_fan(bars: DataFrame, s: Settings = DEFAULT, model: Forecaster = ARIMA) -> DataFrame:
+    """(symbol, day, kind, value, lower, upper): the last `lookback` rows of each symbol (history) and the path ahead with its bounds (forecast)."""
+    k = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("day")))
+    none = F.lit(None).cast("double")
+    history = bars.select("symbol", "day", "price").withColumn("k", k).where(F.col("k") <= s.lookback)
+    history = history.select("symbol", "day", F.lit("history").alias("kind"), F.col("price").alias("value"), none.alias("lower"), none.alias("upper"))
+    ahead = forecast_path(bars, s, model).select("symbol", "day", F.lit("forecast").alias("kind"), F.col("point").alias("value"), "lower", "upper")
+    return history.unionByName(ahead)

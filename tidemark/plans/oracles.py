@@ -165,4 +165,46 @@ rn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS k,
     "latest_k": of(BARS, "SELECT symbol, day, round(price, 4) AS price FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY day DESC) <= 50"),
     "phase_rows": of(phases(BARS), "SELECT symbol, day, round(price, 4) AS price FROM phases WHERE phase = 'Accumulation'"),
     "history_window": of(BARS, "SELECT symbol, day, round(price, 4) AS price FROM bars WHERE day > (SELECT max(day) FROM bars) - 365"),
+    "regime_absent": of(
+        ALIGNED + """,
+bm AS (SELECT day, ret AS bench FROM al WHERE asset = 'A'),
+cut AS (SELECT quantile_cont(bench, 0.10) AS cut FROM bm),
+sides AS (SELECT asset, corr(ret, bench) FILTER (bench > cut) AS calm, corr(ret, bench) FILTER (bench <= cut) AS stressed, count(*) FILTER (bench > cut) AS calm_days, count(*) FILTER (bench <= cut) AS stressed_days
+          FROM al JOIN bm USING (day) CROSS JOIN cut GROUP BY asset)""",
+        """SELECT w.asset, 'A' AS benchmark, round(calm, 6) AS calm, round(stressed, 6) AS stressed, round(stressed - calm, 6) AS shift, coalesce(calm_days, 0) AS calm_days, coalesce(stressed_days, 0) AS stressed_days
+FROM (VALUES ('N'), ('nowhere')) AS w(asset) LEFT JOIN sides USING (asset)""",
+    ),
+    "macro_block_absent": of(PAIRS, "SELECT asset_a, asset_b, round_even(corr, 2) AS corr FROM cm WHERE asset_a IN ('1-URGENT', 'nowhere') AND asset_b IN ('R', 'nothing')"),
+    "regime_table": of(
+        ALIGNED + """,
+bm AS (SELECT day, ret AS bench FROM al WHERE asset = 'A'),
+cut AS (SELECT quantile_cont(bench, 0.10) AS cut FROM bm),
+sides AS (SELECT asset, corr(ret, bench) FILTER (bench > cut) AS calm, corr(ret, bench) FILTER (bench <= cut) AS stressed, count(*) FILTER (bench > cut) AS calm_days, count(*) FILTER (bench <= cut) AS stressed_days
+          FROM al JOIN bm USING (day) CROSS JOIN cut WHERE asset <> 'A' GROUP BY asset)""",
+        """SELECT asset, coalesce(printf('%+.2f', calm), '—') AS calm, coalesce(printf('%+.2f', stressed), '—') AS stressed, coalesce(printf('%+.2f', stressed - calm), '—') AS shift, calm_days, stressed_days FROM sides""",
+    ),
+    "cycle_table": of(
+        phases(BARS),
+        """SELECT symbol, phase, coalesce(printf('%.0f', rsi), '—') AS rsi, coalesce(printf('%+.1f%%', 100 * (price / sma_long - 1)), '—') AS price_vs_ma_long, coalesce(printf('%.1f%%', 100 * drawdown), '—') AS drawdown,
+       CASE WHEN sma_long IS NULL THEN 'n/a' WHEN price > sma_long THEN 'Up' ELSE 'Down' END AS trend, ma_long::INT AS ma_long
+FROM phases QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY day DESC) = 1""",
+    ),
+    "chart_bars": """
+SELECT event_type AS symbol, ts::DATE AS day, arg_max(value, (epoch_ms(ts), value)) AS price, arg_max(value * 10, (epoch_ms(ts), value)) FILTER (event_id % 7 <> 0) AS volume,
+       arg_max(user_id::DOUBLE, (epoch_ms(ts), user_id)) FILTER (event_id % 5 <> 0) AS market_cap
+FROM events GROUP BY ALL HAVING volume IS NOT NULL AND market_cap IS NOT NULL""",
+    "sentiment_feed": """
+SELECT ts::DATE AS day, CASE WHEN event_id % 13 <> 0 THEN (event_id % 101)::DOUBLE END AS fng_value, event_type AS fng_label FROM events WHERE event_id % 11 <> 0""",
+    "onchain_feed": """
+SELECT ts::DATE AS day, arg_max(user_id::DOUBLE, (epoch_ms(ts) // 1000, user_id)) FILTER (event_type = 'click') AS tx_count,
+       arg_max(user_id::DOUBLE, (epoch_ms(ts) // 1000, user_id)) FILTER (event_type = 'view' AND day(ts) % 3 <> 0) AS active_addresses
+FROM events GROUP BY ALL HAVING tx_count IS NOT NULL AND active_addresses IS NOT NULL""",
+    "macro_filled": of(
+        MACRO + """,
+m AS (SELECT 'Flag ' || asset AS asset, day, CASE WHEN day(day) % 4 <> 0 THEN level END AS level, asset = 'R' AS is_rate FROM macro WHERE asset IN ('A', 'R')),
+g AS (SELECT a.asset, a.is_rate, d.day, m.level FROM (SELECT DISTINCT day FROM m WHERE level IS NOT NULL) d CROSS JOIN (SELECT DISTINCT asset, is_rate FROM m) a LEFT JOIN m ON m.asset = a.asset AND m.day = d.day)""",
+        """SELECT asset, day, round(filled, 6) AS level, is_rate FROM (SELECT *, last_value(level IGNORE NULLS) OVER (PARTITION BY asset ORDER BY day) AS filled FROM g) WHERE filled IS NOT NULL""",
+    ),
+    "feed_status": """
+SELECT * FROM (VALUES ('Crypto (CoinGecko)', 'mixed'), ('Macro (Yahoo Finance)', 'live'), ('Sentiment (Fear & Greed)', 'sample'), ('On-chain (Blockchain.info)', 'sample'), ('1-URGENT', 'live'), ('2-HIGH', 'sample')) AS t(feed, source)""",
 }

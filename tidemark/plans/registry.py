@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tidemark.functions.stats import ratio
 from tidemark.operators import correlation, cycles, forecast, returns, risk
 from tidemark.plans.oracles import ORACLES
-from tidemark.sources import synthetic, tables
+from tidemark.sources import bundle, feeds, synthetic, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 BENCHMARK = "A"
@@ -67,6 +67,59 @@ def phase_series_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cycles.phase_series(bars).select("symbol", "day", "phase", "rsi", "ma_short", "ma_long"), 6)
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("day", F.to_date("ts"))
+
+
+def chart_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events packed as chart responses, one for each type and day: some volumes unknown, some capitalisations missing."""
+    rows = _events(spark, sf_dir)
+    pair = lambda v: F.array(F.col("ms").cast("double"), v)
+    volume = F.when(F.col("event_id") % 7 != 0, F.col("value") * 10)
+    cap = F.when(F.col("event_id") % 5 != 0, pair(F.col("user_id").cast("double")))
+    return rows.groupBy(F.col("event_type").alias("symbol"), "day").agg(F.collect_list(pair(F.col("value"))).alias("prices"), F.collect_list(pair(volume)).alias("total_volumes"), F.collect_list(cap).alias("market_caps"))
+
+
+def sentiment_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events packed as sentiment responses, one a day; some have no readable time or value."""
+    time = F.when(F.col("event_id") % 11 == 0, "soon").otherwise((F.floor(F.col("ms") / 1000)).cast("string"))
+    value = F.when(F.col("event_id") % 13 == 0, "none").otherwise((F.col("event_id") % 101).cast("string"))
+    entry = F.struct(time.alias("timestamp"), value.alias("value"), F.col("event_type").alias("value_classification"))
+    return _events(spark, sf_dir).groupBy("day").agg(F.collect_list(entry).alias("data"))
+
+
+def chain_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and views packed as chain responses, one for each day; users stand for counts."""
+    rows = _events(spark, sf_dir).where("event_type in ('click', 'view')").where("event_type = 'click' or dayofmonth(day) % 3 <> 0")
+    metric = F.when(F.col("event_type") == "click", "tx_count").otherwise("active_addresses").alias("metric")
+    return rows.groupBy(metric, "day").agg(F.collect_list(F.struct(F.floor(F.col("ms") / 1000).alias("x"), F.col("user_id").cast("double").alias("y"))).alias("values"))
+
+
+def filled_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closes by ticker with gaps, renamed and filled."""
+    closes = tables.macro_lineitem(spark, sf_dir).select(F.concat(F.lit("^"), "asset").alias("ticker"), "day", F.when(F.dayofmonth("day") % 4 != 0, F.col("level")).alias("level"))
+    names = spark.createDataFrame([("^A", "Flag A", False), ("^R", "Flag R", True), ("^X", "absent", False)], "ticker string, asset string, is_rate boolean")
+    return feeds.macro_levels(closes, names)
+
+
+def feed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of a bundle: one asset's feed fails, macro is live, sentiment fails and on-chain is empty."""
+    bars, macro = tables.bars_orders(spark, sf_dir), tables.macro_lineitem(spark, sf_dir)
+
+    def fetch(provider: str, symbol: str) -> DataFrame:
+        if provider == "down":
+            raise OSError("no route")
+        return bars.where(F.col("symbol") == symbol)
+
+    def fails() -> DataFrame:
+        raise OSError("no route")
+
+    loaded = bundle.load_assets(fetch, lambda s: bars.where(F.col("symbol") == s), {"one": "1-URGENT", "down": "2-HIGH"})
+    mood, chain = tables.sentiment_events(spark, sf_dir), feeds.onchain(chain_payloads(spark, sf_dir))
+    found = bundle.load_market(loaded, (lambda: macro, lambda: macro), (fails, lambda: mood), (lambda: chain.limit(0), lambda: chain))
+    return found.sources.unionByName(found.asset_sources.withColumnRenamed("symbol", "feed"))
+
+
 QUERIES: dict[str, Query] = {
     "daily_bars": _on_bars(lambda b: b.select("symbol", "day", "price", "volume"), {"price": 4, "volume": 2}),
     "daily_last": lambda spark, sf_dir: tables.daily_last(tables.ticks_events(spark, sf_dir)),
@@ -100,6 +153,15 @@ QUERIES: dict[str, Query] = {
     "rolling_correlation": _aligned(lambda r: correlation.rolling_correlation(r, BENCHMARK)),
     "beta": _aligned(lambda r: correlation.beta(r, BENCHMARK)),
     "regime_correlation": _aligned(lambda r: correlation.regime_correlation(r, BENCHMARK)),
+    "regime_absent": _aligned(lambda r: correlation.regime_correlation(r, BENCHMARK, ["N", "nowhere"])),
+    "macro_block_absent": _aligned(lambda r: correlation.macro_block(r, ["1-URGENT", "nowhere"], ["R", "nothing"])),
+    "regime_table": _aligned(lambda r: correlation.regime_table(r, BENCHMARK)),
+    "cycle_table": _on_bars(cycles.cycle_table),
+    "chart_bars": lambda spark, sf_dir: feeds.chart_bars(chart_payloads(spark, sf_dir)),
+    "sentiment_feed": lambda spark, sf_dir: feeds.sentiment(sentiment_payloads(spark, sf_dir)),
+    "onchain_feed": lambda spark, sf_dir: feeds.onchain(chain_payloads(spark, sf_dir)),
+    "macro_filled": lambda spark, sf_dir: _rounded(filled_macro(spark, sf_dir), 6),
+    "feed_status": feed_status,
     "naive_backtest": _on_bars(forecast.naive_backtest, {"naive_rmse": 2, "naive_mae": 2, "naive_mape": 6}),
     "random_walk_forecast": _on_bars(forecast.random_walk_forecast, 2),
     "sentiment_bands": sentiment_bands,
@@ -109,6 +171,7 @@ QUERIES: dict[str, Query] = {
     "history_window": _on_bars(lambda b: tables.recent(b, 365).select("symbol", "day", "price"), 4),
     "forecast": _on_bars(forecast.forecast),
     "forecast_path": _on_bars(forecast.forecast_path),
+    "forecast_fan": _on_bars(forecast.forecast_fan),
     "backtest": _on_bars(forecast.backtest),
 }
 
