@@ -17,5 +17,6 @@ QUERIES = {
 ORACLES = {
     "op3_warc": warc.OP3_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
+    "op7_repeated_substrings": oracles.OP7_SQL,
     "op9_jaccard_join": oracles.OP9_SQL,
 }
