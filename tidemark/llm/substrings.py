@@ -4,7 +4,8 @@ Every string of `length` bytes is assigned to the smallest hash of the shorter s
 it (its anchor), so equal strings have equal anchors wherever they stand.  Consecutive
 strings of one anchor are a segment.  Only segments whose anchor occurs again are kept, of
 equal segments one with its number of copies, and all segments of an anchor meet in one
-bucket.
+bucket; those of an anchor of very many different segments have their strings counted one by
+one instead.
 
 In a bucket, a Burrows-Wheeler transform of the segments is searched breadth first: the
 interval of the empty string is extended backward letter by letter, and a common prefix of
@@ -24,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm._store import materialize, numbered
+from tidemark.llm._store import Scratch, numbered
 from tidemark.llm._text import blocks, mix, prefix_sums, span_hashes, utf8
 
 _SEPARATOR = 0xFF  # never a byte of UTF-8
@@ -94,53 +95,6 @@ def _segments(s: Settings):
     return run
 
 
-def _again(s: Settings):
-    """Rows sorted by anchor and content: those of anchors that occur again, in another segment or the same; `crowded` tells anchors of very many segments."""
-    names = ["anchor", "content", "rid", "start", "strings"]
-
-    def out(columns: list[np.ndarray], crowd: bool) -> pa.RecordBatch:
-        *columns, twice = columns
-        anchor, content = columns[0], columns[1]
-        first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-        size = np.diff(np.append(first, len(anchor)))
-        new = np.append(True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))
-        kinds = np.add.reduceat(new.astype(np.int64), first)
-        keep = np.repeat((size > 1) | crowd, size) | twice
-        crowded = np.repeat((kinds > s.crowded) | crowd, size)
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (*columns, crowded)], [*names, "crowded"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        crowd = False  # the anchor at hand was already found crowded, so its rows need not be held
-        for batch in batches:
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*names, "twice")]
-            if not len(rows[0]):
-                continue
-            same = rows[0] == rows[0][-1]
-            cut = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
-            if cut:
-                held.append([c[:cut] for c in rows])
-                done = [np.concatenate(c) for c in zip(*held)]
-                if crowd:
-                    own = int((done[0] == done[0][0]).sum())
-                    yield out([c[:own] for c in done], True)
-                    done, crowd = [c[own:] for c in done], False
-                if len(done[0]):
-                    yield out(done, False)
-                held = []
-            held.append([c[cut:] for c in rows])
-            if sum(len(h[0]) for h in held) > 4 * s.crowded:
-                done = [np.concatenate(c) for c in zip(*held)]
-                if crowd or len(np.unique(done[1])) > s.crowded:
-                    crowd = True
-                    yield out(done, True)
-                    held = []
-        if held:
-            yield out([np.concatenate(c) for c in zip(*held)], crowd)
-
-    return run
-
-
 # -- the transform -------------------------------------------------------------------------
 
 
@@ -260,13 +214,18 @@ FOUND = "anchor long, content long, low int, high int"
 
 def repeated_ranges(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(rid, low, high): byte ranges of `docs` (rid, text) covered by repeated strings; ranges of a text may overlap."""
+    store = Scratch(docs.sparkSession)
     rows = docs.select("rid", "text").mapInArrow(_segments(s), "anchor long, content long, rid long, start int, strings int, twice boolean")
-    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "content")
-    places = materialize(dealt.mapInArrow(_again(s), "anchor long, content long, rid long, start int, strings int, crowded boolean"), "repeat-places")
-    one = places.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.max("crowded").alias("crowded"), F.min(F.struct("rid", "start", "strings")).alias("at"))
-    parts = one.select("at.rid", F.struct("anchor", "content", "copies", "crowded", "at.start", "at.strings").alias("part")).groupBy("rid").agg(F.collect_list("part").alias("parts"))  # those of one text
+    again = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.bool_or("twice").alias("twice")).where("n > 1 or twice").select("anchor")
+    # a join, so that Spark splits an anchor that very many texts hold
+    places = store.write(rows.join(again, "anchor", "left_semi").drop("twice"), "repeat-places")
+    one = store.write(places.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "strings")).alias("at")), "repeat-contents")
+    kinds = one.groupBy("anchor").count().where(F.col("count") > s.crowded).select("anchor", F.lit(True).alias("crowded"))
+    known = one.join(kinds, "anchor", "left").select("anchor", "content", "copies", "at", F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    parts = known.select("at.rid", F.struct("anchor", "content", "copies", "crowded", "at.start", "at.strings").alias("part")).groupBy("rid").agg(F.collect_list("part").alias("parts"))  # those of one text
     cut = docs.select("rid", "text").join(parts, "rid").mapInArrow(_cut(s.length), "anchor long, content long, copies long, crowded boolean, bytes binary")
-    segments = materialize(cut, "repeat-segments")
+    segments = store.write(cut, "repeat-segments")
+    store.drop(one)
     total = segments.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = max(1, -(-total // s.bucket_bytes))
 
@@ -291,7 +250,8 @@ def repeated_ranges(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     each = segments.where("crowded").mapInArrow(strings, "anchor long, content long, copies long, low int, string long")
     often = each.groupBy("string").agg(F.sum("copies").alias("n")).where("n > 1").select("string")
     lone = each.join(often, "string", "left_semi").select("anchor", "content", "low", (F.col("low") + s.length).alias("high"))
-    found = materialize(found.union(lone), "repeat-found")
+    found = store.write(found.union(lone), "repeat-found")
+    store.drop(segments)
     return places.join(found, ["anchor", "content"]).select("rid", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
 
