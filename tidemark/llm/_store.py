@@ -93,7 +93,7 @@ def numbered(df: DataFrame, label: str) -> DataFrame:
     return materialize(df.withColumn("rid", F.monotonically_increasing_id()), label)
 
 
-def blocked(df: DataFrame, label: str, store: Scratch, text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def blocked(df: DataFrame, label: str, store: Scratch, text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
     """`df` written with a number `rid` for each row and one for each `block` of consecutive rows.
 
     A block holds whole rows, of `block_bytes` of text at most or of a single row.

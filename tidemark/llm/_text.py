@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -40,7 +40,7 @@ def _power(base: np.uint64, key: str, n: int) -> np.ndarray:
         out = np.full(size, base, dtype=np.uint64)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
-        if size <= 4 * BLOCK_BYTES:
+        if size <= 2 * BLOCK_BYTES:
             _powers[key] = out
         return out
     return have
