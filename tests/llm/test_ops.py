@@ -816,5 +816,7 @@ def test_neighbours(spark, none):
     assert hits >= 0.95 * total
     assert [x[1] for x in got[700]] == [701, 702, 703, 704, 705]
     assert [x[1] for x in got[2050]] == [2100] and not {2000, 2001, 2002} & set(got)
+    two = spark.createDataFrame([(1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.1, 1.0]), (3, [1.0, 0.1])], "vec_id long, embedding array<float>")
+    assert [x.vec_id for x in ann.search(two, two.where("vec_id = 1"), k=1).collect()] == [2]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(empty, empty).count() == 0

@@ -176,11 +176,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, s: Settings = Set
 
     Nearness is the largest cosine, ties go to the smaller vec_id, and a query's own id is
     no answer.  Null and zero vectors and those with null or non-finite components take no
-    part on either side; rows repeated with their id count once.  Vectors of different
-    lengths are kept apart.  Columns beyond vec_id and embedding are ignored.
+    part on either side; rows repeated with their id count once.  Of several vectors under one
+    id all are candidates, and the smallest (by its components in order) is the query.  Vectors
+    of different lengths are kept apart.  Columns beyond vec_id and embedding are ignored.
     """
     index = build_index(vectors, k, s)
-    asked = valid(queries).dropDuplicates(["vec_id"]).withColumn("dim", F.size("embedding"))
+    asked = valid(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
     blocks = max(1, math.ceil(asked.count() / s.query_block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     # each block of queries meets each shard of its length
