@@ -610,6 +610,9 @@ def test_toxicity_leaning():
     for ratio, start in got:
         wanted = toxicity.span_hashes(np.frombuffer(start, np.uint8), np.array([0]), np.array([len(start)]))
         assert math.isclose(ratio, own.of(0, wanted)[0] / own.total / ((other.of(0, wanted)[0] + 1) / other.total)) and ratio >= s.min_ratio
+    every = toxicity.leaning(toxic, own, other, toxicity.Settings(starts=(6,), min_ratio=0.0))
+    for most in (1, 5, 40, 1000):
+        assert toxicity.most_leaning(toxic, own, other, s, most) == [w for _, w in sorted(every, key=lambda x: (-x[0], x[1]))[:most]]
 
 
 def test_toxicity_sample_of_long_texts(spark, tmp_path, monkeypatch):

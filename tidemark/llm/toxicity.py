@@ -19,14 +19,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm._text import NOT_SPACE, Words, blocks, mix, prefix_sums, span_hashes
+from tidemark.llm._text import NOT_SPACE, Words, blocks, mix, span_hashes
 
 _PAD = bytes(64)
 #: Everything but lower-case letters and non-ASCII bytes separates words.
@@ -57,24 +57,25 @@ class Starts:
     """How often each word start occurs, as the number of distinct neighbour pairs: copied documents and passages count once."""
 
     def __init__(self, texts: list[bytes], s: Settings):
-        self.total, tables = 0, []
-        column = pa.array([t.decode("utf-8", "replace") for t in texts], pa.large_utf8())
+        self.total, self.hashes, self.counts = 0, [], []
         for n in s.starts:
             pairs, own = [], []
-            for _, data, at in blocks(column):
-                words = Words(data, at, NOT_SPACE)
-                whole = words.hashes()
-                around = mix(np.concatenate(([0], whole[:-1])).astype(np.uint64) + mix(np.concatenate((whole[1:], [0])).astype(np.uint64)))
-                first, last = words.starts - 1, np.minimum(words.starts - 1 + n, words.ends + 1)
-                real = first >= 0
-                own.append(span_hashes(data, first[real], last[real]))
-                pairs.append(mix(own[-1] + mix(around[real])))
+            for i in range(0, len(texts), 200):
+                column = pa.array([t.decode("utf-8", "replace") for t in texts[i : i + 200]], pa.large_utf8())
+                for _, data, at in blocks(column):
+                    words = Words(data, at, NOT_SPACE)
+                    whole = words.hashes()
+                    around = mix(np.concatenate(([0], whole[:-1])).astype(np.uint64) + mix(np.concatenate((whole[1:], [0])).astype(np.uint64)))
+                    first, last = words.starts - 1, np.minimum(words.starts - 1 + n, words.ends + 1)
+                    real = first >= 0
+                    own.append(span_hashes(data, first[real], last[real]))
+                    pairs.append(mix(own[-1] + mix(around[real])))
             own, pairs = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (own, pairs))
             _, at = np.unique(pairs, return_index=True)
-            tables.append(np.unique(own[at], return_counts=True))
+            hashes, counts = np.unique(own[at], return_counts=True)
+            self.hashes.append(hashes)
+            self.counts.append(counts)
             self.total = max(self.total, len(at))
-        self.hashes = [t[0] for t in tables]
-        self.counts = [t[1] for t in tables]
 
     def of(self, k: int, wanted: np.ndarray) -> np.ndarray:
         """Counts of starts of the k-th length."""
@@ -84,31 +85,43 @@ class Starts:
         return np.where(self.hashes[k][at] == wanted, self.counts[k][at], 0)
 
 
-def leaning(texts: list[bytes], own: Starts, other: Starts, s: Settings) -> list[tuple[float, bytes]]:
-    """(ratio, start) of every word of the texts that leans to its label, judged by counts in other texts.
+def ratios(texts: list[bytes], own: Starts, other: Starts, s: Settings, k: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, first, last, ratio) of the k-th start of each word, for one block of texts after another.
 
-    A ratio is the share of a start among the label's words over its share among the
-    others' words, which count one occurrence more than they have.
+    A ratio is the share of a start among the words of the label that `own` counts over its
+    share among the words of the other, which count one occurrence more than they have.
     """
+    for i in range(0, len(texts), 200):
+        column = pa.array([t.decode("utf-8", "replace") for t in texts[i : i + 200]], pa.large_utf8())
+        for _, data, at in blocks(column):
+            words = Words(data, at, NOT_SPACE)
+            first = words.starts - 1
+            real = first >= 0
+            first, last = first[real], np.minimum(first + s.starts[k], words.ends + 1)[real]
+            wanted = span_hashes(data, first, last)
+            yield data, first, last, (own.of(k, wanted) / max(1, own.total)) / ((other.of(k, wanted) + 1) / max(1, other.total))
+
+
+def leaning(texts: list[bytes], own: Starts, other: Starts, s: Settings) -> list[tuple[float, bytes]]:
+    """(ratio, start) of every word of the texts that leans to its label, judged by counts in other texts: of its starts the first that does."""
     out: list[tuple[float, bytes]] = []
-    column = pa.array([t.decode("utf-8", "replace") for t in texts], pa.large_utf8())
-    for _, data, at in blocks(column):
-        words = Words(data, at, NOT_SPACE)
-        first = words.starts - 1
-        open_ = first >= 0
-        sums = prefix_sums(data)
-        for k, n in enumerate(s.starts):
-            place = np.flatnonzero(open_)
-            last = np.minimum(first[place] + n, words.ends[place] + 1)
-            wanted = span_hashes(data, first[place], last, sums)
-            ratio = (own.of(k, wanted) / max(1, own.total)) / ((other.of(k, wanted) + 1) / max(1, other.total))
-            leans = ratio >= s.min_ratio
-            open_[place[leans]] = False
-            for r, i, j in zip(ratio[leans].tolist(), first[place[leans]].tolist(), last[leans].tolist()):
-                out.append((r, data[i:j].tobytes()))
+    for parts in zip(*(ratios(texts, own, other, s, k) for k in range(len(s.starts)))):
+        taken = np.zeros(len(parts[0][1]), bool)
+        for data, first, last, ratio in parts:
+            leans = (ratio >= s.min_ratio) & ~taken
+            taken |= leans
+            out += [(r, data[i:j].tobytes()) for r, i, j in zip(ratio[leans].tolist(), first[leans].tolist(), last[leans].tolist())]
     return out
 
 
+def most_leaning(texts: list[bytes], own: Starts, other: Starts, s: Settings, most: int) -> list[bytes]:
+    """The `most` starts of the first length that lean to their label most."""
+    every = np.concatenate([np.zeros(0), *(r for *_, r in ratios(texts, own, other, s))])
+    least = np.partition(every, -most)[-most] if len(every) > most else 0.0
+    found = leaning(texts, own, other, replace(s, starts=s.starts[:1], min_ratio=float(least)))
+    return [w for _, w in sorted(found, key=lambda x: (-x[0], x[1]))[:most]]
+
+
 def trained(windows: list[bytes], s: Settings) -> bytes:
     """A trained dictionary of windows, dealt over samples by a hash; the windows themselves where they are too few to train on."""
     order = sorted(range(len(windows)), key=lambda i: (hash_of(i), i))
@@ -206,8 +219,7 @@ def fit(rows: list[tuple[str | None, int]], s: Settings = Settings()) -> Model |
         other = 1 - own
         toxic = [w for _, w in leaning(parts[own][1], starts[other][1], starts[other][0], s)]
         # as many ordinary windows, those that lean to their label most
-        lean = sorted(leaning(parts[own][0], starts[other][0], starts[other][1], Settings(**{**vars(s), "starts": s.starts[:1], "min_ratio": 1.0})), key=lambda x: (-x[0], x[1]))
-        ordinary = [w for _, w in lean[: max(len(toxic), 64)]]
+        ordinary = most_leaning(parts[own][0], starts[other][0], starts[other][1], s, max(len(toxic), 64))
         dictionaries = trained(toxic, s), trained(ordinary, s)
         meter = Meter(*dictionaries, s)
         x = np.array([meter.features(c) for y in (0, 1) for c in parts[other][y]])
