@@ -317,6 +317,13 @@ def test_load_of_a_bundle_whose_feeds_fail(spark):
     assert {r.symbol for r in found.not_live.collect()} == {"A", "B"} and found.prices.count() == 16
 
 
+def test_macro_names(spark):
+    names = feeds.macro_names(spark)
+    closes = spark.createDataFrame([("^TNX", D0, 4.1), ("GC=F", D0, 2000.0), ("other", D0, 1.0)], "ticker string, day date, level double")
+    got = {(r.asset, r.is_rate) for r in feeds.macro_levels(closes, names).collect()}
+    assert got == {("US 10Y Yield", True), ("Gold", False)} and names.count() == 5
+
+
 def test_phases_come_by_number_of_days(spark):
     days = [r.days for r in cycles.phase_distribution(bars(spark, [100 + 30 * math.sin(i / 20) for i in range(400)])).collect()]
     assert days == sorted(days, reverse=True) and sum(days) == 400

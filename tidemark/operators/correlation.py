@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.config import DEFAULT, Settings
+from tidemark.config import BENCHMARK, DEFAULT, Settings
 from tidemark.functions.stats import corr, dash, half_even, trailing
 
 
@@ -49,7 +49,7 @@ def _with_benchmark(returns: DataFrame, benchmark: str) -> DataFrame:
     return returns.withColumn("bench", bench)
 
 
-def rolling_correlation(returns: DataFrame, benchmark: str, window: int = DEFAULT.corr_windows[0]) -> DataFrame:
+def rolling_correlation(returns: DataFrame, benchmark: str = BENCHMARK, window: int = DEFAULT.corr_windows[0]) -> DataFrame:
     """(asset, day, corr) over complete windows of rows."""
     w = trailing(window, "asset")
     rows = _with_benchmark(returns, benchmark).where((F.col("asset") != benchmark) & F.col("bench").isNotNull())
@@ -57,13 +57,13 @@ def rolling_correlation(returns: DataFrame, benchmark: str, window: int = DEFAUL
     return rows.withColumn("corr", value).where("corr is not null").select("asset", "day", "corr")
 
 
-def beta(returns: DataFrame, benchmark: str, s: Settings = DEFAULT) -> DataFrame:
+def beta(returns: DataFrame, benchmark: str = BENCHMARK, s: Settings = DEFAULT) -> DataFrame:
     """(asset, beta) against the benchmark; NULL below three rows or for a constant benchmark."""
     rows = _with_benchmark(returns, benchmark).where((F.col("asset") != benchmark) & F.col("bench").isNotNull())
     return rows.groupBy("asset").agg(F.when(F.count("*") >= s.min_corr_rows, F.regr_slope("ret", "bench")).alias("beta"))
 
 
-def regime_correlation(returns: DataFrame, benchmark: str, assets: Sequence[str] | None = None, s: Settings = DEFAULT) -> DataFrame:
+def regime_correlation(returns: DataFrame, benchmark: str = BENCHMARK, assets: Sequence[str] | None = None, s: Settings = DEFAULT) -> DataFrame:
     """(asset, benchmark, calm, stressed, shift, calm_days, stressed_days).
 
     Days on which the benchmark is at or below its `stress_quantile` are stressed.  A side of
@@ -90,7 +90,7 @@ def regime_correlation(returns: DataFrame, benchmark: str, assets: Sequence[str]
     )
 
 
-def regime_table(returns: DataFrame, benchmark: str, assets: Sequence[str] | None = None, s: Settings = DEFAULT) -> DataFrame:
+def regime_table(returns: DataFrame, benchmark: str = BENCHMARK, assets: Sequence[str] | None = None, s: Settings = DEFAULT) -> DataFrame:
     """Calm and stressed correlations as display text."""
     text = [dash(F.col(c), "%+.2f").alias(c) for c in ("calm", "stressed", "shift")]
     return regime_correlation(returns, benchmark, assets, s).select("asset", *text, "calm_days", "stressed_days")

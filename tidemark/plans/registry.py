@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidemark.config import DEFAULT
 from tidemark.functions.stats import ratio
 from tidemark.operators import correlation, cycles, forecast, returns, risk
 from tidemark.plans.oracles import ORACLES
@@ -168,7 +169,7 @@ QUERIES: dict[str, Query] = {
     "overview": _on_bars(overview, {"price": 4, "change_1": 6, "change_30": 6}),
     "latest_k": _on_bars(latest, 4),
     "phase_rows": _on_bars(lambda b: cycles.phase_series(b).where("phase = 'Accumulation'").select("symbol", "day", "price"), 4),
-    "history_window": _on_bars(lambda b: tables.recent(b, 365).select("symbol", "day", "price"), 4),
+    "history_window": _on_bars(lambda b: tables.recent(b, DEFAULT.history_days[-1]).select("symbol", "day", "price"), 4),
     "forecast": _on_bars(forecast.forecast),
     "forecast_path": _on_bars(forecast.forecast_path),
     "forecast_fan": _on_bars(forecast.forecast_fan),

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.config import MACRO_ASSETS, RATE_ASSETS
 from tidemark.functions.stats import no_nan
 
 _PAIRS = "array<array<double>>"
@@ -114,6 +115,11 @@ def macro_levels(closes: DataFrame, names: DataFrame) -> DataFrame:
     return filled.where("level is not null").select("asset", "day", "level", "is_rate")
 
 
+def macro_names(spark: SparkSession) -> DataFrame:
+    """(ticker, asset, is_rate) of the macro assets by default, a few rows."""
+    return spark.createDataFrame([(t, a, a in RATE_ASSETS) for t, a in MACRO_ASSETS.items()], "ticker string, asset string, is_rate boolean")
+
+
 def with_fallback(fetch: Callable[[], DataFrame], fallback: Callable[[], DataFrame], simulated: bool = False) -> DataFrame:
     """The feed with its `source`: live, simulated (asked for), or sample where fetching failed."""
     if simulated:

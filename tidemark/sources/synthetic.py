@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tidemark.config import RATE_ASSETS
 from tidemark.functions.stats import clip, ratio, so_far, trailing
 
 #: Latest level, yearly drift and volatility, and loading on the factor of each asset (fixed values).
@@ -91,7 +92,7 @@ def crypto_bars(spark: SparkSession, end: dt.date, days: int, symbols: list[str]
     return rows.select("symbol", "day", "price", (1e6 * F.col("latest") * (1 + 6 * move) * F.col("noise")).alias("volume"), (F.col("price") * F.col("supply")).alias("market_cap"))
 
 
-def macro_levels(spark: SparkSession, end: dt.date, days: int, rates: frozenset[str] = frozenset({"US 10Y Yield"})) -> DataFrame:
+def macro_levels(spark: SparkSession, end: dt.date, days: int, rates: frozenset[str] = RATE_ASSETS) -> DataFrame:
     """macro on weekdays; the paths run over all days."""
     rows = _paths(spark, end, days, MACRO, factors(days)[0])
     return rows.where(F.weekday("day") < 5).select(F.col("symbol").alias("asset"), "day", F.col("price").alias("level"), F.col("symbol").isin(*rates).alias("is_rate"))
