@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 _own: dict[str, str] = {}  # folders of local applications that name none
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def _qualified(spark: SparkSession, at: str):
@@ -44,15 +44,19 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
-    """Spark is told to delete the write's shuffle files when it ends, as nothing reads them again."""
-    spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    """Write under settings of its own: Arrow batches are bounded by bytes, so that long texts come few at a time,
+    and Spark deletes the write's shuffle files when it ends, as nothing reads them again.
+    """
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k) for k in _WRITING}
+    for k, v in _WRITING.items():
+        conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        for k, v in before.items():
+            conf.set(k, v)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

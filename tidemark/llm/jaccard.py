@@ -426,7 +426,9 @@ def join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     null doc_id is never the smallest unless the component has no other.
     """
     store = Scratch(docs.sparkSession)
-    found = join_blocked(blocked(docs.select("doc_id", "text"), "join-rows", store), store, s)
+    rows = blocked(docs.select("doc_id", "text"), "join-rows", store)
+    found = join_blocked(rows, store, s)
+    store.drop(rows)
     return found.drop("rid")
 
 
