@@ -43,7 +43,7 @@ class Settings:
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(rows, sorted distinct shingle hashes, bounds) of blocks of texts; fewer than k words are one shingle, none give none."""
-    for rows, data, at in blocks(texts):
+    for rows, data, at in blocks(texts, 1 << 19):
         words = Words(LOWER[data], at, NOT_SPACE)
         hashes = words.hashes()
         parts = [window_hashes(hashes, words.bounds, k)]

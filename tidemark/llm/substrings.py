@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm._store import Scratch, numbered
 from tidemark.llm._text import blocks, mix, prefix_sums, span_hashes, utf8
 
+_BLOCK = 1 << 19  # bytes of texts worked on at a time, which take about a hundred times that
 _SEPARATOR = 0xFF  # never a byte of UTF-8
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,7 +89,7 @@ def _segments(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column("rid").to_numpy()
-            for rows, data, at in blocks(batch.column("text")):
+            for rows, data, at in blocks(batch.column("text"), _BLOCK):
                 anchor, content, row, start, count, twice = anchored(data, at, s)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(rid[rows][row]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(twice)], ["anchor", "content", "rid", "start", "strings", "twice"])
 
