@@ -8,8 +8,15 @@ from tidemark.llm import jaccard, mixing, pieces, substrings, toxicity
 from tidemark.llm._store import Scratch, blocked, materialize
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """From here on, Arrow batches of the session hold 8 MB at most, so that long texts come to Python few at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return spark
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; it learns from the labelled ones outside its held-out fold."""
+    bounded(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
@@ -21,7 +28,7 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Documents without words are linked with nothing and all stay.
     """
-    store = Scratch(spark)
+    store = Scratch(bounded(spark))
     named = blocked(docs, "pipeline-rows", store)
     found = jaccard.join_blocked(named, store)
     first = F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("rid"))
@@ -32,6 +39,7 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages, all rows kept; characters that lost bytes are dropped whole."""
+    bounded(spark)
     cut = substrings.remove_repeats(docs)
     text = F.expr("try_validate_utf8(cast(kept as string))")
     whole = F.coalesce(text, F.expr("replace(make_valid_utf8(cast(kept as string)), '\\uFFFD', '')"))
@@ -46,6 +54,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's piece ids and whether they decode to its text again."""
+    bounded(spark)
     coded = pieces.encode(docs.select("doc_id", "source", "text"), decoded=True)
     same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
