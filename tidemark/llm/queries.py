@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators."""
 
-from tidemark.llm import ann, jaccard, licenses, lm, mixing, oracles, pieces, quality, substrings, toxicity, warc
+from tidemark.llm import ann, codes, jaccard, licenses, lm, mixing, oracles, pieces, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_jaccard_join": jaccard.op9,
     "op10_nearest_neighbours": ann.op10,
+    "op13_vector_codes": codes.op13,
 }
 ORACLES = {
     "op3_warc": warc.OP3_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
     "op7_repeated_substrings": oracles.OP7_SQL,
     "op9_jaccard_join": oracles.OP9_SQL,
+    "op13_vector_codes": codes.OP13_SQL,
 }
