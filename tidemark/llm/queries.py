@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators."""
 
-from tidemark.llm import ann, codes, counts, jaccard, licenses, lm, mixing, oracles, pieces, quality, substrings, toxicity, warc
+from tidemark.llm import ann, codes, counts, jaccard, licenses, lm, mixing, negatives, oracles, pieces, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_jaccard_join": jaccard.op9,
     "op10_nearest_neighbours": ann.op10,
+    "op11_hard_negatives": negatives.op11,
     "op12_token_counts": counts.op12,
     "op13_vector_codes": codes.op13,
 }
@@ -21,5 +22,6 @@ ORACLES = {
     "op5_mix_sources": mixing.OP5_SQL,
     "op7_repeated_substrings": oracles.OP7_SQL,
     "op9_jaccard_join": oracles.OP9_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
     "op13_vector_codes": codes.OP13_SQL,
 }
