@@ -18,6 +18,9 @@ COLUMNS = {
     "op8_toxicity": "doc_id held_out score predicted",
     "op9_jaccard_join": "doc_id n_shingles component_id",
     "op10_nearest_neighbours": "query_id rank vec_id score",
+    "op11_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
+    "op12_token_counts": "doc_id n_bytes n_tokens over_limit",
+    "op13_vector_codes": "vec_id code error label_error codebooks_sha256",
 }
 
 
@@ -30,7 +33,7 @@ def sf(spark, tmp_path_factory):
     pages = [(i, f"http://x/{i}", None if i == 3 else sentence(20) if i % 4 else "<p>same é</p>") for i in range(30)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
     v = np.random.default_rng(1).normal(0, 1, (120, 8))
-    spark.createDataFrame([(i, [float(x) for x in v[i]], 0) for i in range(120)], "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
+    spark.createDataFrame([(i, [float(x) for x in v[i]], i % 2) for i in range(120)], "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
     return str(at)
 
 
@@ -39,11 +42,11 @@ def test_registered_query(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
     assert set(COLUMNS[name].split()) <= set(df.columns)
     rows = df.collect()
-    assert len(rows) == {"op3_warc": 30, "op10_nearest_neighbours": 15}.get(name, len(ROWS))
+    assert rows if name == "op11_hard_negatives" else len(rows) == {"op3_warc": 30, "op10_nearest_neighbours": 15, "op13_vector_codes": 120}.get(name, len(ROWS))
     if name not in queries.ORACLES:
         return
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
     cur = con.execute(queries.ORACLES[name])
     names = [d[0] for d in cur.description]

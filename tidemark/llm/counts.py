@@ -87,7 +87,7 @@ class Tokenizer:
         if inside is not None:
             high = self.longest
             while high < len(text):
-                if text[high - 1 : high + 1] in inside:
+                if text[high - 1 : high + 1].replace(_SPACE, " ") in inside:
                     high += 1
                     continue
                 yield text[low:high]

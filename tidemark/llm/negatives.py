@@ -282,8 +282,10 @@ def _answers(index: Index, asked: DataFrame, chunks: int, k: int, same: bool, di
                 end = i + 1
                 while end < min(batch.num_rows, i + s.batch) and not head[end]:
                     end += 1
-                if block is None or (keys[i:end] != at).any():
-                    raise ValueError("a block is missing from the index")
+                if block is None or (keys[i] != at).any():  # hashing has dealt this block no vector
+                    i += 1
+                    continue
+                end = i + int((keys[i:end] == at).all(axis=1).cumprod().sum())
                 asking = batch["ask"].slice(i, end - i)
                 queries = pa.RecordBatch.from_arrays(asking.flatten(), [f.name for f in asking.type])
                 for found in block.answer(queries, k, same):
