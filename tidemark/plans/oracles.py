@@ -208,3 +208,10 @@ g AS (SELECT a.asset, a.is_rate, d.day, m.level FROM (SELECT DISTINCT day FROM m
     "feed_status": """
 SELECT * FROM (VALUES ('Crypto (CoinGecko)', 'mixed'), ('Macro (Yahoo Finance)', 'live'), ('Sentiment (Fear & Greed)', 'sample'), ('On-chain (Blockchain.info)', 'sample'), ('1-URGENT', 'live'), ('2-HIGH', 'sample')) AS t(feed, source)""",
 }
+ORACLES |= {
+    "stored_bars": ORACLES["daily_bars"],
+    "stored_volatility": ORACLES["rolling_volatility"],
+    "streamed_bars": ORACLES["daily_last"],
+    "streamed_indicators": of(phases(BARS), "SELECT symbol, day, round(rsi, 6) AS rsi, round(drawdown, 6) AS drawdown FROM phases"),
+    "memoised_profile": ORACLES["risk_profile"],
+}

@@ -10,7 +10,8 @@ from tidemark.config import DEFAULT
 from tidemark.functions.stats import ratio
 from tidemark.operators import correlation, cycles, forecast, returns, risk
 from tidemark.plans.oracles import ORACLES
-from tidemark.sources import bundle, feeds, synthetic, tables
+from tidemark.sources import bundle, feeds, files, memo, store, synthetic, tables
+from tidemark.streaming import bars as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 BENCHMARK = "A"
@@ -121,6 +122,49 @@ def feed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.sources.unionByName(found.asset_sources.withColumnRenamed("symbol", "feed"))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> store.BarStore:
+    """The order bars in a table of their own: first as an estimate of every other month, then as they are."""
+    bars, kept = tables.bars_orders(spark, sf_dir), store.BarStore(spark, files.new_path(spark, "bars"))
+    kept.upsert(bars.where(F.month("day") % 2 == 0).withColumn("price", F.col("price") + 1), "estimates")
+    kept.upsert(bars, "closes")
+    return kept
+
+
+def _on_store(f: Callable[[store.BarStore], DataFrame], places: int | dict[str, int] = 6) -> Query:
+    return lambda spark, sf_dir: _rounded(f(_stored(spark, sf_dir)), places)
+
+
+def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of a stream of ticks whose files hold all days each, so that every micro-batch reopens days of those before."""
+    ticks, at = tables.ticks_events(spark, sf_dir), files.new_path(spark, "ticks")
+    ticks.repartition(4, "id").write.parquet(at)
+    kept = store.BarStore(spark, files.new_path(spark, "bars"))
+    source = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    streaming.write_bars(source, kept, files.new_path(spark, "stream")).awaitTermination()
+    return kept.read().select("symbol", "day", "price")
+
+
+def streamed_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strength and drawdown carried along a stream of bars that comes in three parts."""
+    bars = tables.bars_orders(spark, sf_dir).select("symbol", "day", "price")
+    parted, at, out, checkpoint = (files.new_path(spark, label) for label in ("parts", "bars", "indicators", "stream"))
+    third = F.floor(F.percent_rank().over(Window.partitionBy("symbol").orderBy("day")) * 3)
+    bars.withColumn("part", F.least(third, F.lit(2)).cast("int")).write.partitionBy("part").parquet(parted)
+    for part in range(3):
+        spark.read.schema(bars.schema).parquet(f"{parted}/part={part}").write.mode("append").parquet(at)
+        found = streaming.indicators_stream(spark.readStream.schema(bars.schema).parquet(at))
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return _rounded(spark.read.parquet(out).select("symbol", "day", "rsi", "drawdown"), 6)
+
+
+def memoised_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The risk profile from the stored result that a first call has left."""
+    results = memo.Results(spark, files.new_path(spark, "results"))
+    call = lambda: results.get("risk_profile", {"days": None}, [f"{sf_dir}/orders.parquet"], lambda: QUERIES["risk_profile"](spark, sf_dir))
+    call()
+    return call()
+
+
 QUERIES: dict[str, Query] = {
     "daily_bars": _on_bars(lambda b: b.select("symbol", "day", "price", "volume"), {"price": 4, "volume": 2}),
     "daily_last": lambda spark, sf_dir: tables.daily_last(tables.ticks_events(spark, sf_dir)),
@@ -169,7 +213,12 @@ QUERIES: dict[str, Query] = {
     "overview": _on_bars(overview, {"price": 4, "change_1": 6, "change_30": 6}),
     "latest_k": _on_bars(latest, 4),
     "phase_rows": _on_bars(lambda b: cycles.phase_series(b).where("phase = 'Accumulation'").select("symbol", "day", "price"), 4),
-    "history_window": _on_bars(lambda b: tables.recent(b, DEFAULT.history_days[-1]).select("symbol", "day", "price"), 4),
+    "history_window": _on_store(lambda kept: kept.recent(DEFAULT.history_days[-1]).select("symbol", "day", "price"), 4),
+    "stored_bars": _on_store(lambda kept: kept.read().select("symbol", "day", "price", "volume"), {"price": 4, "volume": 2}),
+    "stored_volatility": _on_store(lambda kept: risk.rolling_volatility(kept.read())),
+    "streamed_bars": streamed_bars,
+    "streamed_indicators": streamed_indicators,
+    "memoised_profile": memoised_profile,
     "forecast": _on_bars(forecast.forecast),
     "forecast_path": _on_bars(forecast.forecast_path),
     "forecast_fan": _on_bars(forecast.forecast_fan),
