@@ -175,6 +175,82 @@ def test_exact_likelihood_equals_dense_gaussian():
     assert arima.log_likelihood(y, phi, theta)[0] == pytest.approx(want, abs=1e-6)
 
 
+def simplex(f, x, steps=400):
+    """Nelder-Mead, a slow reference for the fits."""
+    pts = sorted(((f(p), tuple(p)) for p in [x, *(x + 0.4 * e for e in np.eye(len(x)))]))
+    for _ in range(steps):
+        mid = np.mean([p for _, p in pts[:-1]], axis=0)
+        at = lambda k: (f(q := mid + k * (np.array(pts[-1][1]) - mid)), tuple(q))  # noqa: E731, B023
+        new = at(-1)
+        if new < pts[0]:
+            new = min(new, at(-2))
+        elif new >= pts[-2]:
+            new = min(new, at(0.5), at(-0.5))
+        if new < pts[-1]:
+            pts[-1] = new
+        else:
+            best = np.array(pts[0][1])
+            pts = [pts[0], *((f(q := best + 0.5 * (np.array(p) - best)), tuple(q)) for _, p in pts[1:])]
+        pts.sort()
+    return pts[0][0]
+
+
+@pytest.mark.parametrize("phi, theta", [((), ()), ((0.5,), ()), ((), (0.7,)), ((0.5, -0.3), (0.2,)), ((0.3,), (-0.9, 0.1)), ((1.2, -0.4), (0.5, 0.3)), ((), (-0.99999,))])
+def test_filtered_likelihood_equals_the_recursion_and_its_gradient_the_differences(phi, theta):
+    y, phi, theta = np.random.default_rng(7).normal(0, 1, 150), np.array(phi), np.array(theta)
+    f = arima._Likelihood(y, len(phi), len(theta))
+    value, slope, variance = f.at(phi, theta)
+    assert (value, variance) == pytest.approx(arima.log_likelihood(y, phi, theta), abs=1e-6)
+    c = np.concatenate((phi, theta))
+    for k, step in enumerate(1e-6 * np.eye(len(c))):
+        up, down = (f.at((c + s)[: len(phi)], (c + s)[len(phi) :])[0] for s in (step, -step))
+        assert slope[k] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-3)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fits_reach_a_simplex_over_the_recursion(seed):
+    r = np.random.default_rng(seed)
+    e = r.normal(0, 0.02, 161)
+    y = e[1:] - (0.9, 0.3, -0.5)[seed] * e[:-1]
+    for p in range(3):
+        for q in range(3):
+            cost = lambda raw: -arima.log_likelihood(y / np.std(y), arima._stable(np.clip(raw[:p], -6, 6)), -arima._stable(np.clip(raw[p:], -6, 6)))[0]  # noqa: E731, B023
+            least = simplex(cost, np.full(p + q, 0.1)) if p + q else cost(np.zeros(0))
+            within = 1e-3 if p + q < 3 else 2  # the likelihood of more coefficients has several peaks
+            assert arima.fit(y, p, q)[3] <= 2 * least + 2 * len(y) * math.log(np.std(y)) + 2 * (p + q + 1) + within
+
+
+def test_starting_values_are_of_the_series():
+    r = np.random.default_rng(9)
+    e = r.normal(0, 1, 3001)
+    y = np.zeros(3001)
+    for i in range(1, 3001):
+        y[i] = 0.5 * y[i - 1] + e[i] + 0.4 * e[i - 1]
+    raw = arima._regression(y, 1, 1)
+    assert (arima._stable(raw[:1])[0], -arima._stable(raw[1:])[0]) == pytest.approx((0.5, 0.4), abs=0.06)
+    for c in ([0.3], [0.5, -0.3], [1.2, -0.4]):
+        assert arima._stable(arima._partial(np.array(c))).tolist() == pytest.approx(c)
+    assert arima._partial(np.array([1.2])) is None and arima._regression(y[:8], 2, 2) is None
+
+
+def test_a_forecast_reads_its_bars_once_and_days_are_filled_in_one_pass(spark, tmp_path):
+    bars(spark, [1.0, 2.0, 3.0]).write.parquet(f"{tmp_path}/b")
+    stored = spark.read.parquet(f"{tmp_path}/b")
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    for df, n in ((returns.densified(stored), 1), (forecast.naive_backtest(stored), 1), (forecast.random_walk_forecast(stored), 1), (forecast.backtest(stored), 1), (forecast.forecast_path(stored), 1), (forecast.forecast(stored), 2)):
+        assert scans(df) == n
+
+
+def test_days_are_filled_up_to_the_next_price(spark):
+    import datetime
+
+    at = lambda d: datetime.date(2024, 2, d)
+    rows = [("A", at(1), 1.0), ("A", at(4), 2.0), ("A", at(4), 3.0), ("A", at(6), None), ("A", at(7), 4.0), ("B", at(2), None), ("C", at(2), 5.0)]
+    got = returns.densified(spark.createDataFrame(rows, "symbol string, day date, price double")).collect()
+    assert sorted((r.symbol, r.day.day, r.price) for r in got if r.day != at(4) and r.day.day not in (5, 6)) == [("A", 1, 1.0), ("A", 2, 1.0), ("A", 3, 1.0), ("A", 7, 4.0), ("C", 2, 5.0)]
+    assert sorted(r.price for r in got if r.day == at(4)) == [2.0, 3.0] and {r.day.day for r in got} == {1, 2, 3, 4, 5, 6, 7}
+
+
 def test_random_walk_has_no_skill(spark):
     b = bars(spark, np.exp(np.cumsum(np.random.default_rng(6).normal(0, 0.02, 120))) * 10)
     head = forecast.forecast(b).first()
@@ -298,7 +374,7 @@ def test_forecaster_can_be_replaced(spark):
     drift = forecast.Forecaster(fit, lambda y, m: np.full(len(y), m[0]), lambda y, m, v, h: (m[0] * np.arange(1, h + 1), v * np.arange(1, h + 1)), ((1, 0), (0, 0)), "Drift")
     rows = bars(spark, [100 * 1.01**i for i in range(200)])
     head = forecast.forecast(rows, model=drift).first()
-    assert (head.p, head.q) == (0, 0) and head.skill == pytest.approx(1) and head.verdict == "Drift(0, 1, 0) beats the random walk by 100.0% on held-out days."
+    assert (head.p, head.q) == (0, 0) and head.skill == pytest.approx(1) and head.verdict == "Drift(0,1,0): error 0.0% of naive"
     fan = forecast.forecast_fan(rows, model=drift).orderBy("day").collect()
     assert [r.kind for r in fan] == ["history"] * 120 + ["forecast"] * 30
     assert fan[119].value == pytest.approx(100 * 1.01**199) and fan[-1].value == pytest.approx(100 * 1.01**229) and fan[119].lower is None and fan[-1].lower <= fan[-1].value

@@ -58,3 +58,9 @@ def test_aligned_queries_read_each_table_twice_at_most(spark, name):
 def test_moving_averages_read_their_table_once(spark):
     plan = registry.QUERIES["moving_averages"](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
+
+
+@pytest.mark.parametrize("sf, orders", [("sf0.01", "(2, 1) (1, 1) (1, 1) (2, 1) (1, 1)"), ("sf0.1", "(0, 2) (0, 1) (1, 1) (0, 1) (0, 1)")])
+def test_orders_are_those_of_the_exact_simplex_search(spark, sf, orders):
+    rows = registry.QUERIES["forecast"](spark, str(SF.parent / sf)).orderBy("symbol").select("p", "q").collect()
+    assert " ".join(f"({r.p}, {r.q})" for r in rows) == orders

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import timedelta
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from tidemark.config import DEFAULT, Settings
 from tidemark.functions.stats import by_day, ratio
@@ -15,7 +18,6 @@ from tidemark.operators import arima
 from tidemark.operators.returns import densified
 
 
-
 @dataclass(frozen=True)
 class Forecaster:
     """A model of daily log returns, replaceable as a whole; its functions run in tasks.
@@ -64,15 +66,10 @@ def skill(rmse: Column, naive: Column) -> Column:
 
 
 def verdict(value: Column, p: Column, q: Column, name: str = "ARIMA") -> Column:
-    """One sentence on the model's order and its skill against the random walk."""
-    model = F.format_string(f"{name}(%d, 1, %d)", p, q)
-    gain = F.format_string("%.1f%%", 100 * value)
-    return (
-        F.when(value.isNull(), "Too few held-out days, or none with an error, to judge a model against the random walk.")
-        .when(value > 0.05, F.concat(model, F.lit(" beats the random walk by "), gain, F.lit(" on held-out days.")))
-        .when(value > 0, F.concat(model, F.lit(" beats the random walk by "), gain, F.lit(" on held-out days, too little to rely on.")))
-        .otherwise(F.concat(model, F.lit(" does not beat the random walk on held-out days: its interval is a range, not a target.")))
-    )
+    """The order, and its error in percent of the random walk's; `close` marks a gain of 5% or less."""
+    model, error = F.format_string(f"{name}(%d,1,%d)", p, q), F.format_string("%.1f%%", 100 * (1 - value))
+    kind = F.when(value > 0.05, "").when(value > 0, " (close)").otherwise(" (no gain)")
+    return F.when(value.isNull(), "unscored").otherwise(F.concat(model, F.lit(": error "), error, F.lit(" of naive"), kind))
 
 
 def naive_backtest(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -90,30 +87,55 @@ def random_walk_forecast(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return steps.select("symbol", F.date_add("end", F.col("step")).alias("day"), "step", F.exp("level").alias("point"), F.exp(F.col("level") - half).alias("lower"), F.exp(F.col("level") + half).alias("upper"))
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Symbols over as many tasks as may run, for work that small tables would else do in one."""
-    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "symbol")
+def series(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """(symbol, days, logs, n_test): each symbol's calendar days and log prices in order, the last `n_test` of them for testing."""
+    rows = densified(bars).where("price > 0").groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("day", F.ln("price").alias("log")))).alias("rows"))
+    n_test = F.greatest(F.lit(s.min_test), F.floor(F.size("rows") * F.lit(s.test_share)).cast("int"))
+    return rows.select("symbol", F.col("rows.day").alias("days"), F.col("rows.log").alias("logs"), n_test.alias("n_test"))
+
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray]]:
+    """(the row without its arrays, its log prices)."""
+    for batch in batches:
+        logs, small = batch["logs"], batch.select([c for c in batch.schema.names if c not in ("days", "logs")])
+        values, at = logs.values.to_numpy(), logs.offsets.to_numpy()
+        for i, row in enumerate(small.to_pylist()):
+            yield row | ({"days": batch["days"][i].values} if "days" in batch.schema.names else {}), values[at[i] : at[i + 1]]
 
-def select_orders(rows: DataFrame, model: Forecaster = ARIMA) -> DataFrame:
-    """(symbol, p, q): the order of least AIC on the training rows; (1, 1) where none could be fitted."""
-    orders = rows.sparkSession.createDataFrame([(i, p, q) for i, (p, q) in enumerate(model.orders)], "idx int, p int, q int")
-    train = rows.where("not is_test").select("symbol", "day", "log_price")
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.diff(pdf.sort_values("day")["log_price"].to_numpy())
-        p, q, idx = (int(pdf[c].iloc[0]) for c in ("p", "q", "idx"))
-        try:
-            aic = float(model.fit(y, p, q)[2])
-        except (ValueError, np.linalg.LinAlgError):
-            aic = np.nan
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "idx": [idx], "p": [p], "q": [q], "aic": [aic]})
+def selected(bars: DataFrame, s: Settings = DEFAULT, model: Forecaster = ARIMA) -> DataFrame:
+    """`series` with p, q and fit: the order of least AIC on the training rows with its parameters, (1, 1) and NULL where none could be fitted.
 
-    fits = max(len(model.orders), 2 * rows.sparkSession.sparkContext.defaultParallelism)  # fitting is the work, however few the rows
-    scored = train.crossJoin(F.broadcast(orders)).repartition(fits, "symbol", "idx").groupBy("symbol", "idx").applyInPandas(score, "symbol string, idx int, p int, q int, aic double")  # a few fixed orders
-    good = scored.where("aic is not null and not isnan(aic) and abs(aic) < double('inf')")
-    best = good.groupBy("symbol").agg(F.min(F.struct("aic", "idx", "p", "q")).alias("b")).select("symbol", "b.p", "b.q")
-    return rows.select("symbol").distinct().join(best, "symbol", "left").select("symbol", F.coalesce("p", F.lit(1)).alias("p"), F.coalesce("q", F.lit(1)).alias("q"))
+    A task fits one order to one series; the series goes along, so that the bars are read once.
+    """
+    orders = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("idx", "p", "q"), (i, *order)))) for i, order in enumerate(model.orders)))
+    rows = series(bars, s)
+    tasks = max(len(model.orders), 2 * rows.sparkSession.sparkContext.defaultParallelism)  # fitting is the work, however few the rows
+    fan = rows.select("*", F.inline(orders)).repartition(tasks, "symbol", "idx")
+    fitted = StructType([*fan.schema.fields, StructField("aic", DoubleType()), StructField("fit", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            aics, fits = [], []
+            for row, logs in _rows([batch]):
+                aic, fit = None, None
+                try:
+                    parameters, _, found = model.fit(np.diff(logs[: max(0, len(logs) - row["n_test"])]), row["p"], row["q"])
+                    if np.isfinite(found):
+                        aic, fit = float(found), pickle.dumps(parameters)
+                except (ValueError, np.linalg.LinAlgError):
+                    pass
+                aics.append(aic)
+                fits.append(fit)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(aics, pa.float64()), pa.array(fits, pa.binary())], [*batch.schema.names, "aic", "fit"])
+
+    best = F.min(F.when(F.col("aic").isNotNull(), F.struct("aic", "idx", "p", "q", "fit"))).alias("best")
+    found = fan.mapInArrow(run, fitted).groupBy("symbol").agg(best, *(F.any_value(c).alias(c) for c in ("days", "logs", "n_test")))
+    order = [F.coalesce(F.col(f"best.{c}"), F.lit(1)).alias(c) for c in ("p", "q")]
+    return found.select("symbol", "days", "logs", "n_test", *order, F.col("best.fit").alias("fit"))
+
+
+_WALK = pa.schema([("symbol", pa.string()), ("p", pa.int32()), ("q", pa.int32()), ("day", pa.date32()), ("actual", pa.float64()), ("predicted", pa.float64()), ("naive", pa.float64())])
 
 
 def backtest(bars: DataFrame, s: Settings = DEFAULT, model: Forecaster = ARIMA) -> DataFrame:
@@ -121,26 +143,19 @@ def backtest(bars: DataFrame, s: Settings = DEFAULT, model: Forecaster = ARIMA)
 
     Where the model cannot be fitted the prediction is the value before, as in the baseline.
     """
-    rows = prepared(bars, s)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        log, test = pdf["log_price"].to_numpy(), pdf["is_test"].to_numpy()
-        p, q, n = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0]), int((~test).sum())
-        y = np.diff(log)
-        step = np.zeros(len(y))
-        try:
-            step = model.one_step(y, model.fit(y[: max(0, n - 1)], p, q)[0])
-        except (ValueError, np.linalg.LinAlgError):
-            pass
-        out = pdf[["symbol", "p", "q", "day"]].copy()
-        out["actual"] = np.exp(log)
-        out["predicted"] = np.append(np.nan, np.exp(log[:-1] + step))
-        out["naive"] = np.append(np.nan, np.exp(log[:-1]))
-        return out[test & (np.arange(len(out)) > 0)]
-
-    joined = rows.select("symbol", "day", "log_price", "is_test").join(select_orders(rows, model), "symbol")  # Spark broadcasts the orders where they are few
-    return _spread(joined).groupBy("symbol").applyInPandas(walk, "symbol string, p int, q int, day date, actual double, predicted double, naive double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, logs in _rows(batches):
+            y = np.diff(logs)
+            step = model.one_step(y, pickle.loads(row["fit"])) if row["fit"] is not None else np.zeros(len(y))
+            low = max(1, len(logs) - row["n_test"])  # the first row has none before it
+            n = len(logs) - low
+            if n > 0:
+                before = logs[low - 1 : -1]
+                columns = [[row[c]] * n for c in ("symbol", "p", "q")] + [row["days"][low:], np.exp(logs[low:]), np.exp(before + step[low - 1 :]), np.exp(before)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WALK)], schema=_WALK)
+
+    return selected(bars, s, model).mapInArrow(run, "symbol string, p int, q int, day date, actual double, predicted double, naive double")
 
 
 def forecast(bars: DataFrame, s: Settings = DEFAULT, model: Forecaster = ARIMA) -> DataFrame:
@@ -153,25 +168,21 @@ def forecast(bars: DataFrame, s: Settings = DEFAULT, model: Forecaster = ARIMA)
 
 def forecast_path(bars: DataFrame, s: Settings = DEFAULT, model: Forecaster = ARIMA) -> DataFrame:
     """(symbol, day, point, lower, upper) from a fit of the whole history with the selected order."""
-    rows = prepared(bars, s)
     z = _Z[s.alpha]
 
-    def ahead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        log = pdf["log_price"].to_numpy()
-        y, p, q = np.diff(log), int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-        try:
-            parameters, variance, _ = model.fit(y, p, q)
-            mean, var = model.project(y, parameters, variance, s.horizon)
-        except (ValueError, np.linalg.LinAlgError):  # the random walk
-            mean, var = np.zeros(s.horizon), (float(np.mean(y * y)) if len(y) else 0.0) * np.arange(1, s.horizon + 1)
-        days = [pdf["day"].iloc[-1] + pd.Timedelta(days=i + 1).to_pytimedelta() for i in range(s.horizon)]
-        level = log[-1] + mean
-        half = z * np.sqrt(var)
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "day": days, "point": np.exp(level), "lower": np.exp(level - half), "upper": np.exp(level + half)})
-
-    joined = rows.select("symbol", "day", "log_price").join(select_orders(rows, model), "symbol")
-    return _spread(joined).groupBy("symbol").applyInPandas(ahead, "symbol string, day date, point double, lower double, upper double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, logs in _rows(batches):
+            y = np.diff(logs)
+            try:
+                parameters, variance, _ = model.fit(y, row["p"], row["q"])
+                mean, var = model.project(y, parameters, variance, s.horizon)
+            except (ValueError, np.linalg.LinAlgError):  # the random walk
+                mean, var = np.zeros(s.horizon), (float(np.mean(y * y)) if len(y) else 0.0) * np.arange(1, s.horizon + 1)
+            last = row["days"][-1].as_py()
+            days, level, half = [last + timedelta(days=i + 1) for i in range(s.horizon)], logs[-1] + mean, z * np.sqrt(var)
+            yield pa.RecordBatch.from_arrays([pa.array([row["symbol"]] * s.horizon), pa.array(days), *(pa.array(np.exp(x)) for x in (level, level - half, level + half))], ["symbol", "day", "point", "lower", "upper"])
+
+    return selected(bars, s, model).mapInArrow(run, "symbol string, day date, point double, lower double, upper double")
 
 
 def forecast_fan(bars: DataFrame, s: Settings = DEFAULT, model: Forecaster = ARIMA) -> DataFrame:

@@ -89,6 +89,6 @@ def price_matrix(bars: DataFrame) -> DataFrame:
 def densified(bars: DataFrame) -> DataFrame:
     """(symbol, day, price) on every calendar day from a symbol's first to its last price, forward-filled."""
     known = bars.where("price is not null").select("symbol", "day", "price")
-    spans = known.groupBy("symbol").agg(F.min("day").alias("low"), F.max("day").alias("high"))
-    grid = spans.select("symbol", F.explode(F.sequence("low", "high", F.expr("interval 1 day"))).alias("day"))
-    return forward_filled(grid.join(known, ["symbol", "day"], "left"), "symbol", "price")
+    known = known.withColumn("until", F.coalesce(F.date_sub(F.lead("day").over(by_day("symbol")), 1), F.col("day")))
+    days = F.sequence("day", F.greatest("day", "until"), F.expr("interval 1 day"))  # a row stands for the days up to the next one
+    return known.select("symbol", F.explode(days).alias("day"), "price")

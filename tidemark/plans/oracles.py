@@ -214,4 +214,6 @@ ORACLES |= {
     "streamed_bars": ORACLES["daily_last"],
     "streamed_indicators": of(phases(BARS), "SELECT symbol, day, round(rsi, 6) AS rsi, round(drawdown, 6) AS drawdown FROM phases"),
     "memoised_profile": ORACLES["risk_profile"],
+    "backtest_naive": of(LOGS, "SELECT symbol, day, round(log_price, 8) AS log_actual, round(before, 8) AS log_naive FROM ts WHERE is_test AND before IS NOT NULL"),
+    "fan_history": of(BARS, "SELECT symbol, day, round(price, 4) AS value FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY day DESC) <= 120"),
 }

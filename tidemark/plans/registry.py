@@ -223,6 +223,8 @@ QUERIES: dict[str, Query] = {
     "forecast_path": _on_bars(forecast.forecast_path),
     "forecast_fan": _on_bars(forecast.forecast_fan),
     "backtest": _on_bars(forecast.backtest),
+    "backtest_naive": _on_bars(lambda b: forecast.backtest(b).select("symbol", "day", F.ln("actual").alias("log_actual"), F.ln("naive").alias("log_naive")), 8),
+    "fan_history": _on_bars(lambda b: forecast.forecast_fan(b).where("kind = 'history'").select("symbol", "day", "value"), 4),
 }
 
 __all__ = ["ORACLES", "QUERIES"]
