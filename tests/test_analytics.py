@@ -251,6 +251,35 @@ def test_days_are_filled_up_to_the_next_price(spark):
     assert sorted(r.price for r in got if r.day == at(4)) == [2.0, 3.0] and {r.day.day for r in got} == {1, 2, 3, 4, 5, 6, 7}
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_blocked_correlations_equal_pairs_of_columns(spark, blocks):
+    import datetime
+
+    import pandas as pd
+
+    r = np.random.default_rng(11)
+    x = 1e3 + np.cumsum(r.normal(0, 1, (90, 7)), axis=0)  # far from zero
+    x[r.random(x.shape) < 0.2] = np.nan
+    x[:, 5], x[:, 6] = 0.1, np.where(np.arange(90) < 30, 5.0, np.nan)
+    x[60:, 4] = np.nan
+    names = list("abcdefg")
+    days = [datetime.date(1969, 11, 20) + datetime.timedelta(days=35 * i) for i in range(90)]  # several blocks of days, some before 1970
+    rows = [(n, d, n in "fb", None if np.isnan(v) else float(v)) for j, n in enumerate(names) for d, v in zip(days, x[:, j])]
+    df = spark.createDataFrame(rows, "asset string, day date, is_macro boolean, ret double")
+    want = pd.DataFrame(x, columns=names).corr(min_periods=1)
+    got = {(g.asset_a, g.asset_b): g.corr for g in correlation.correlation_matrix(df, blocks=blocks).collect()}
+    assert len(got) == 49
+    for (a, b), c in got.items():
+        assert (c is None) == bool("f" in (a, b) or "g" in (a, b)) and (c is None or c == pytest.approx(want[a][b], abs=1e-9)), (a, b)
+    block = {(g.asset_a, g.asset_b): g.corr for g in correlation.macro_block(df, blocks=blocks).collect()}
+    assert set(block) == {(a, b) for a in "acdeg" for b in "fb"} and block["a", "b"] == pytest.approx(got["a", "b"], abs=0.00501)
+    both = correlation.macro_block(df, ["a", "b", "nowhere"], ["b", "c"], blocks=blocks)
+    assert {(g.asset_a, g.asset_b) for g in both.collect()} == {(a, b) for a in "ab" for b in "bc"}
+    assert correlation.correlation_matrix(df.where("false")).count() == 0
+    plan = correlation.correlation_matrix(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_random_walk_has_no_skill(spark):
     b = bars(spark, np.exp(np.cumsum(np.random.default_rng(6).normal(0, 0.02, 120))) * 10)
     head = forecast.forecast(b).first()

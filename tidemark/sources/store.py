@@ -97,7 +97,7 @@ class BarStore:
         kinds = dict(c.split() for c in BARS.split(", "))
         own = bars.select(*((F.col(c) if c in bars.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in _COLUMNS))
         own = own.where("symbol is not null and day is not null").withColumn("month", month_of(F.col("day")))
-        self._latest(own.withColumn("fresh", F.lit(1))).write.mode("overwrite").parquet(staged)
+        own.write.mode("overwrite").parquet(staged)
         new = self.spark.read.schema(f"{BARS}, month int").parquet(staged)
         months = [r["month"] for r in new.select("month").distinct().collect()]  # calendar months, however many bars
         if months:
