@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm import jaccard, mixing, pieces, substrings, toxicity
@@ -14,6 +17,27 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Columns that stages work with; all others go through a stage as the fields of one column, whatever their names.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+_OTHERS = "other_columns"
+
+
+def carrying(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that returns the rows it keeps with all columns of `docs`, unchanged where it has no business with them."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in COLUMNS]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        own = docs.select(*(c for c in docs.columns if c in COLUMNS), F.struct(*(F.col(f"`{c}`") for c in others)).alias(_OTHERS))
+        kept = stage(spark, own, sf_dir)
+        return kept.select(*(F.col(f"{_OTHERS}.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns))
+
+    return run
+
+
+@carrying
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; it learns from the labelled ones outside its held-out fold."""
     bounded(spark)
@@ -21,6 +45,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
+@carrying
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked documents, that of the smallest doc_id (of its copies, the first row).
 
@@ -37,6 +62,7 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return named.join(kept, "rid", "left_semi").select(*docs.columns)
 
 
+@carrying
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages, all rows kept; characters that lost bytes are dropped whole."""
     bounded(spark)
@@ -47,6 +73,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return cut.select(*docs.columns)
 
 
+@carrying
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources meet their target weights."""
     return mixing.mix(docs)
