@@ -69,3 +69,34 @@ def test_near_copies_with_null_and_reused_ids(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s0", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(path)
     got = sorted(((x.doc_id or 0, x.text.removesuffix(" tail")) for x in pipeline.near_copies_stage(spark, spark.read.parquet(path), str(tmp_path)).collect()))
     assert got == sorted([(0, a), (0, b), (7, c), (7, d), (9, e)])
+
+
+CLASHING = ("rid", "block", "ranges", "size", "score", "kept", "copy", "copies", "predicted", "n_bytes", "n_removed", "n_spans", "target", "source_size", "root", "component_id", "n_shingles", "other_columns", "docs", "a.b")
+
+
+def test_stages_carry_clashing_columns_and_take_empty_tables_and_null_labels(spark, tmp_path):
+    import random
+
+    r = random.Random(8)
+    texts = [sentence(60, r) + (" worthless pathetic moron" * 5 if i % 4 == 0 else "") for i in range(60)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)] + [(100 + i, texts[i], None, None, None) for i in range(6)] + [(None, None, None, "s0", None), (None, "", "en", "s1", 0), (None, None, None, "s0", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    df.select("*", *(key.alias(c) for c in CLASHING)).repartition(2).write.parquet(f"{tmp_path}/clashing")
+    df.repartition(2).write.parquet(f"{tmp_path}/plain")
+    df.limit(0).select("*", *(key.alias(c) for c in CLASHING)).write.parquet(f"{tmp_path}/none")
+    labels = [(i, None, int(i % 4 == 0)) for i in range(60)] + [(1, 1, None), (None, 1, 1), (None, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clashing, plain, none = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("clashing", "plain", "none"))
+    own = ("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, clashing, str(tmp_path))
+        assert got.columns == clashing.columns, name
+        found = got.collect()
+        assert found and all(x[c] == ("none" if x.doc_id is None else str(x.doc_id)) for x in found for c in CLASHING), name
+        same = sorted(map(repr, (tuple(x[c] for c in own) for x in stage(spark, plain, str(tmp_path)).collect())))
+        assert sorted(map(repr, (tuple(x[c] for c in own) for x in found))) == same, name
+        empty = stage(spark, none, str(tmp_path))
+        assert empty.columns == none.columns and empty.count() == 0, name
+    name, stage = pipeline.STAGES[-1]
+    assert stage(spark, clashing, str(tmp_path)).count() == len(rows) and stage(spark, none, str(tmp_path)).count() == 0
