@@ -214,6 +214,13 @@ ORACLES |= {
     "streamed_bars": ORACLES["daily_last"],
     "streamed_indicators": of(phases(BARS), "SELECT symbol, day, round(rsi, 6) AS rsi, round(drawdown, 6) AS drawdown FROM phases"),
     "memoised_profile": ORACLES["risk_profile"],
+    "spread_ranks": """
+SELECT o_orderpriority AS asset, o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderpriority, o_totalprice) - 1) / 2.0::DOUBLE AS rank FROM orders""",
+    "exact_var": ORACLES["historical_var"],
+    "segmented_indicators": f"""
+SELECT symbol, day, ret, drawdown, rolling_vol, rsi FROM
+  ({of(RETURNS, "SELECT symbol, day, round(ret, 6) AS ret, round(drawdown, 6) AS drawdown, round(rolling_vol, 6) AS rolling_vol FROM i")})
+  JOIN ({of(phases(BARS), "SELECT symbol, day, round(rsi, 6) AS rsi FROM phases")}) USING (symbol, day)""",
     "backtest_naive": of(LOGS, "SELECT symbol, day, round(log_price, 8) AS log_actual, round(before, 8) AS log_naive FROM ts WHERE is_test AND before IS NOT NULL"),
     "fan_history": of(BARS, "SELECT symbol, day, round(price, 4) AS value FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY day DESC) <= 120"),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.config import DEFAULT
 from tidemark.functions.stats import ratio
-from tidemark.operators import correlation, cycles, forecast, returns, risk
+from tidemark.operators import correlation, cycles, forecast, large, returns, risk
 from tidemark.plans.oracles import ORACLES
 from tidemark.sources import bundle, feeds, files, memo, store, synthetic, tables
 from tidemark.streaming import bars as streaming
@@ -157,6 +157,19 @@ def streamed_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.read.parquet(out).select("symbol", "day", "rsi", "drawdown"), 6)
 
 
+def spread_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average ranks of order totals within their priority, each priority's orders in many tasks."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("asset"), "o_orderkey", F.col("o_totalprice").cast("double").alias("ret"))
+    return large.ranks(orders).select("asset", "o_orderkey", F.col("ret").alias("rank"))
+
+
+def exact_var(bars: DataFrame) -> DataFrame:
+    """Value at risk by passes over histograms."""
+    found = large.quantiles(returns.daily_returns(bars), "symbol", "ret", [1 - 0.95, 1 - 0.99])
+    at = lambda p: -F.max(F.when(F.col("probability") == p, F.col("quantile")))
+    return found.groupBy("symbol").agg(at(1 - 0.95).alias("var_95"), at(1 - 0.99).alias("var_99"))
+
+
 def memoised_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The risk profile from the stored result that a first call has left."""
     results = memo.Results(spark, files.new_path(spark, "results"))
@@ -219,6 +232,9 @@ QUERIES: dict[str, Query] = {
     "streamed_bars": streamed_bars,
     "streamed_indicators": streamed_indicators,
     "memoised_profile": memoised_profile,
+    "spread_ranks": spread_ranks,
+    "exact_var": _on_bars(exact_var),
+    "segmented_indicators": _on_bars(lambda b: large.indicators(b, block_rows=512).drop("price")),
     "forecast": _on_bars(forecast.forecast),
     "forecast_path": _on_bars(forecast.forecast_path),
     "forecast_fan": _on_bars(forecast.forecast_fan),
