@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import cycles, risk
-from tidemark.sources import files, memo, store, tables
+from tidemark.sources import files, memo, payloads, store, tables
 from tidemark.streaming import bars as streaming
 
 DAY = datetime.date(2024, 1, 30)
@@ -226,3 +226,35 @@ def test_small_files(spark, tmp_path):
     assert f.rename(f"{f.root}/a", f"{f.root}/b") and f.exists(f"{f.root}/b") and f.listed(f"{f.root}/none") == []
     f.create(f"{f.root}/deep/_hidden", ""), f.create(f"{f.root}/deep/c", "1")
     assert [p.rpartition("/x")[2] for p, _, _ in f.below(f.root)] == ["/b", "/deep/c"]
+
+
+# -- stored responses ----------------------------------------------------------------------------
+
+
+def test_responses_are_read_as_stored_and_broken_ones_counted(spark, tmp_path):
+    root = f"file://{tmp_path}/raw"
+    good = '{"prices": [[1704067200000, 1.5], [1704070800000, 2]],\n "total_volumes": [[1704067200000, 10]], "market_caps": [[1704067200000, null], [1704067200001, 7]], "more": {}}'
+    for asset, bodies in {"BTC": [good, good[:40], ""], "ETH": ["[]", "null", "no", '{"prices": "none"}', "{}"]}.items():
+        for body in bodies:
+            payloads.save(spark, root, "chart", asset, body)
+    payloads.save(spark, root, "sentiment", "all", '{"data": [{"timestamp": "1704067200", "value": "55", "value_classification": "Neutral"}]}')
+    payloads.save_all(spark.createDataFrame([("chain", m, f'{{"values":\n[{{"x": 1704067200, "y": {y}}}]}}') for m, y in (("tx_count", 3), ("active_addresses", 4.5))], "feed string, asset string, value string"), root)
+    rows = payloads.raw(spark, root)
+    bar = payloads.chart_bars(rows).collect()
+    assert [(r.symbol, str(r.day), r.price, r.volume, r.market_cap) for r in bar] == [("BTC", "2024-01-01", 2.0, 10.0, 7.0)]
+    assert [(str(r.day), r.fng_value, r.fng_label) for r in payloads.sentiment(rows).collect()] == [("2024-01-01", 55.0, "Neutral")]
+    assert [(r.tx_count, r.active_addresses) for r in payloads.onchain(rows).collect()] == [(3.0, 4.5)]
+    health = {(r.feed, r.asset): (r.responses, r.corrupt) for r in payloads.health(rows).collect()}
+    assert health["chart", "BTC"] == (3, 2) and health["chart", "ETH"][0] == 5 and 3 <= health["chart", "ETH"][1] <= 4 and health["sentiment", "all"] == (1, 0)
+    plan = payloads.chart_bars(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(feed" in plan  # other feeds' folders are not read
+
+
+def test_responses_come_as_a_stream(spark, tmp_path):
+    root, kept = f"file://{tmp_path}/raw", []
+    stream = lambda: payloads.raw_stream(spark, root).writeStream.option("checkpointLocation", f"file://{tmp_path}/c").foreachBatch(lambda df, i: kept.extend(payloads.responses(df, "chart").select("symbol").collect())).trigger(availableNow=True).start().awaitTermination()
+    for asset in ("BTC", "ETH"):
+        payloads.save(spark, root, "chart", asset, '{"prices": []}')
+        payloads.save(spark, root, "chart", asset, "{")
+        stream()
+    assert [r.symbol for r in kept] == ["BTC", "ETH"]

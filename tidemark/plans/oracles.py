@@ -214,6 +214,16 @@ ORACLES |= {
     "streamed_bars": ORACLES["daily_last"],
     "streamed_indicators": of(phases(BARS), "SELECT symbol, day, round(rsi, 6) AS rsi, round(drawdown, 6) AS drawdown FROM phases"),
     "memoised_profile": ORACLES["risk_profile"],
+    "chart_bars_json": ORACLES["chart_bars"],
+    "sentiment_feed_json": ORACLES["sentiment_feed"],
+    "onchain_feed_json": ORACLES["onchain_feed"],
+    "payload_health": """
+WITH d AS (
+  SELECT DISTINCT 'chart' AS feed, event_type AS asset, ts::DATE AS day FROM events
+  UNION ALL SELECT DISTINCT 'sentiment', 'all', ts::DATE FROM events
+  UNION ALL SELECT DISTINCT 'chain', CASE event_type WHEN 'click' THEN 'tx_count' ELSE 'active_addresses' END, ts::DATE FROM events
+  WHERE event_type = 'click' OR event_type = 'view' AND day(ts) % 3 <> 0)
+SELECT feed, asset, count(*) + count(*) FILTER (dayofyear(day) % 11 = 0) AS responses, count(*) FILTER (dayofyear(day) % 11 = 0) AS corrupt FROM d GROUP BY ALL""",
     "spread_ranks": """
 SELECT o_orderpriority AS asset, o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderpriority, o_totalprice) - 1) / 2.0::DOUBLE AS rank FROM orders""",
     "exact_var": ORACLES["historical_var"],

@@ -10,7 +10,7 @@ from tidemark.config import DEFAULT
 from tidemark.functions.stats import ratio
 from tidemark.operators import correlation, cycles, forecast, large, returns, risk
 from tidemark.plans.oracles import ORACLES
-from tidemark.sources import bundle, feeds, files, memo, store, synthetic, tables
+from tidemark.sources import bundle, feeds, files, memo, payloads, store, synthetic, tables
 from tidemark.streaming import bars as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,6 +157,19 @@ def streamed_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.read.parquet(out).select("symbol", "day", "rsi", "drawdown"), 6)
 
 
+def stored_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three kinds of responses as JSON text; every eleventh day's also come cut off."""
+    chart, mood, chain = chart_payloads(spark, sf_dir), sentiment_payloads(spark, sf_dir), chain_payloads(spark, sf_dir)
+    body = lambda *columns: F.to_json(F.struct(*columns)).alias("value")
+    rows = chart.select(F.lit("chart").alias("feed"), F.col("symbol").alias("asset"), "day", body("prices", "total_volumes", "market_caps"))
+    rows = rows.unionByName(mood.select(F.lit("sentiment").alias("feed"), F.lit("all").alias("asset"), "day", body("data")))
+    rows = rows.unionByName(chain.select(F.lit("chain").alias("feed"), F.col("metric").alias("asset"), "day", body("values")))
+    cut = rows.where(F.dayofyear("day") % 11 == 0).withColumn("value", F.expr("left(value, length(value) - 3)"))
+    root = files.new_path(spark, "payloads")
+    payloads.save_all(rows.unionByName(cut), root)
+    return payloads.raw(spark, root)
+
+
 def spread_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average ranks of order totals within their priority, each priority's orders in many tasks."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("asset"), "o_orderkey", F.col("o_totalprice").cast("double").alias("ret"))
@@ -233,6 +246,10 @@ QUERIES: dict[str, Query] = {
     "streamed_indicators": streamed_indicators,
     "memoised_profile": memoised_profile,
     "spread_ranks": spread_ranks,
+    "chart_bars_json": lambda spark, sf_dir: payloads.chart_bars(stored_payloads(spark, sf_dir)),
+    "sentiment_feed_json": lambda spark, sf_dir: payloads.sentiment(stored_payloads(spark, sf_dir)),
+    "onchain_feed_json": lambda spark, sf_dir: payloads.onchain(stored_payloads(spark, sf_dir)),
+    "payload_health": lambda spark, sf_dir: payloads.health(stored_payloads(spark, sf_dir)),
     "exact_var": _on_bars(exact_var),
     "segmented_indicators": _on_bars(lambda b: large.indicators(b, block_rows=512).drop("price")),
     "forecast": _on_bars(forecast.forecast),
