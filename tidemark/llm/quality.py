@@ -126,7 +126,10 @@ def language_references(docs: DataFrame, rules: Rules = Rules()) -> list[dict]:
     rows = tagged.select("lang", "text").mapInArrow(_lang_counts, "lang string, kind string, item string, n long")
     totals = rows.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
-    top = totals.withColumn("place", place).where(F.col("place") <= F.lit(max(rules.common_words, N_CLASSES))).collect()  # bounded by languages * (words + classes)
+    top = totals.withColumn("place", place).where(F.col("place") <= F.lit(max(rules.common_words, N_CLASSES)))
+    # a named language may be a typing error: only those of enough text leave Spark, (words + classes) rows each
+    enough = F.max(F.when(F.col("kind") == "t", F.col("n"))).over(Window.partitionBy("lang")) >= rules.min_reference
+    top = top.withColumn("enough", enough).where("enough").collect()
     out: dict[str, dict] = {}
     for r in sorted(top, key=lambda r: (r.lang, r.kind, r.place)):
         ref = out.setdefault(r.lang, {"lang": r.lang, "classes": np.zeros(N_CLASSES), "words": [], "counts": [], "total": 0})
@@ -137,7 +140,7 @@ def language_references(docs: DataFrame, rules: Rules = Rules()) -> list[dict]:
         elif r.place <= rules.common_words:
             ref["words"].append(r["item"].encode())
             ref["counts"].append(r.n)
-    return [r for r in out.values() if r["total"] >= rules.min_reference]
+    return list(out.values())
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
