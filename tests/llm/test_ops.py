@@ -823,3 +823,26 @@ def test_neighbours(spark, none):
     assert [x.vec_id for x in ann.search(two, two.where("vec_id = 1"), k=1).collect()] == [2]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(empty, empty).count() == 0
+
+
+def test_neighbours_of_streamed_queries_over_many_shards(spark):
+    """More than ten shards at default settings but for their size, and queries in several chunks."""
+    r = np.random.default_rng(5)
+    v = (r.normal(0, 1, (40, 16))[r.integers(0, 40, 3000)] + r.normal(0, 0.5, (3000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(3000)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for x in ann.search(df, df.where("vec_id % 10 = 0"), s=ann.Settings(shard_rows=250, query_block=70, batch=16)).collect():
+        got[x.query_id].add(x.vec_id)
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    score = unit[::10] @ unit.T
+    score[np.arange(300), np.arange(0, 3000, 10)] = -9
+    want = np.argsort(-score, axis=1)[:, :5]
+    assert len(got) == 300 and all(len(x) == 5 for x in got.values())
+    assert sum(len(got[10 * q] & set(want[q].tolist())) for q in range(300)) >= 0.98 * 1500
+
+
+def test_quality_languages_of_little_text_stay_in_spark(spark):
+    r = random.Random(1)
+    rows = [(f"typo{i}", "a few words") for i in range(2000)] + [("en", " ".join(r.choice(VOCAB) for _ in range(400))) for _ in range(6)]
+    references = quality.language_references(spark.createDataFrame(rows, "lang string, text string").repartition(3))
+    assert [x["lang"] for x in references] == ["en"] and references[0]["total"] == 2400 and len(references[0]["words"]) == 50

@@ -10,10 +10,12 @@ work is a few large numpy operations.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm._store import materialize
@@ -27,7 +29,7 @@ class Settings:
     search_beam: int = 96
     relax: float = 1.2  # an edge goes if a kept one is this much closer to its end
     batch: int = 256  # vectors searched in lockstep
-    query_block: int = 1024
+    query_block: int = 65536  # queries that a copy of a shard's graph answers, one batch after another
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -175,7 +177,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, s: Settings = Set
     """The k nearest rows of `vectors` for each row of `queries`: (query_id, rank, vec_id, score).
 
     Nearness is the largest cosine, ties go to the smaller vec_id, and a query's own id is
-    no answer.  Null and zero vectors and those with null or non-finite components take no
+    no answer.  Ties between equal vectors are exact; vectors of one direction and different
+    lengths are found like any others, so among many of them a larger vec_id may be given.  Null and zero vectors and those with null or non-finite components take no
     part on either side; rows repeated with their id count once.  Of several vectors under one
     id all are candidates, and the smallest (by its components in order) is the query.  Vectors
     of different lengths are kept apart.  Columns beyond vec_id and embedding are ignored.
@@ -183,37 +186,49 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, s: Settings = Set
     index = build_index(vectors, k, s)
     asked = valid(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
     blocks = max(1, math.ceil(asked.count() / s.query_block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    # each block of queries meets each shard of its length
+    # a task reads a shard's graph once, and the queries of its length follow as a stream
     shards = index.groupBy("dim").agg(F.collect_set("shard").alias("shards"))
-    asked = asked.join(shards, "dim").withColumn("shard", F.explode("shards")).drop("shards")
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def answer(key: tuple, shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(shard) and len(block):
-            row, dim = shard.iloc[0], int(key[0])
-            members = np.frombuffer(row["members"], np.int64).reshape(-1, k + 2)
-            n = len(members)
-            own = np.frombuffer(row["vectors"], np.float32 if len(row["vectors"]) == 4 * n * dim else np.float64).reshape(n, dim)
-            graph = Graph(_unit(own), np.frombuffer(row["edges"], np.int32).reshape(n, -1), int(row["start"]))
-            wanted, ids = np.stack(block["embedding"].to_numpy()).astype(np.float64), block["vec_id"].to_numpy()
-            for i in range(0, len(block), s.batch):
-                found, _ = graph.search(_unit(wanted[i : i + s.batch]), s.search_beam)
-                found = found[:, : 4 * (k + 1)]
-                q, _ = np.nonzero(found >= 0)
-                v = found[found >= 0]
-                score = cosine(wanted[i : i + s.batch][q], own[v])
-                copies = members[v, -1]
-                take = np.repeat(np.arange(len(v)), copies)
-                answers = pd.DataFrame({"query_id": ids[i : i + s.batch][q[take]], "vec_id": members[v[take], np.arange(len(take)) - np.repeat(np.cumsum(copies) - copies, copies)], "score": score[take]})
-                answers = answers[answers["query_id"] != answers["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-                for name, values in out.items():
-                    values.append(answers[name].to_numpy())
-        return pd.DataFrame({name: np.concatenate(v) if v else np.zeros(0, np.float64 if name == "score" else np.int64) for name, v in out.items()})
-
-    keys = ("dim", "block", "shard")
-    hits = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(answer, "query_id long, vec_id long, score double")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).join(shards, "dim").withColumn("shard", F.explode("shards"))
+    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    key = ("dim", "shard", "block")
+    graph, ask = F.struct("vectors", "edges", "members", "start").alias("graph"), F.struct("vec_id", "embedding").alias("ask")
+    both = copies.select(*key, graph).unionByName(asked.select(*key, ask), allowMissingColumns=True)
+
+    def answer(graph: Graph, own: np.ndarray, members: np.ndarray, ids: np.ndarray, wanted: np.ndarray) -> pd.DataFrame:
+        found, _ = graph.search(_unit(wanted), s.search_beam)
+        q, _ = np.nonzero(found >= 0)
+        v = found[found >= 0]
+        score = cosine(wanted[q], own[v])
+        copies = members[v, -1]
+        take = np.repeat(np.arange(len(v)), copies)
+        answers = pd.DataFrame({"query_id": ids[q[take]], "vec_id": members[v[take], np.arange(len(take)) - np.repeat(np.cumsum(copies) - copies, copies)], "score": score[take]})
+        return answers[answers["query_id"] != answers["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard = None, None
+        for batch in batches:
+            keys = np.column_stack([batch[c].to_numpy() for c in key])
+            head = batch["graph"].is_valid().to_numpy(zero_copy_only=False)
+            i = 0
+            while i < batch.num_rows:
+                if head[i]:
+                    row, at = batch["graph"][i].as_py(), keys[i]
+                    members = np.frombuffer(row["members"], np.int64).reshape(-1, k + 2)
+                    n, dim = len(members), int(at[0])
+                    own = np.frombuffer(row["vectors"], np.float32 if len(row["vectors"]) == 4 * n * dim else np.float64).reshape(n, dim)
+                    shard = Graph(_unit(own), np.frombuffer(row["edges"], np.int32).reshape(n, -1), int(row["start"])), own, members
+                    i += 1
+                    continue
+                here = (keys[i : i + s.batch] == at).all(axis=1) & ~head[i : i + s.batch]
+                asking = batch["ask"].slice(i, int(here.cumprod().sum()))
+                ids, wanted = (asking.field(f) for f in ("vec_id", "embedding"))
+                wanted = wanted.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(asking), -1)
+                yield pa.RecordBatch.from_pandas(answer(*shard, ids.to_numpy(), wanted), preserve_index=False)
+                i += len(asking)
+
+    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = both.repartition(tasks, *key).sortWithinPartitions(*key, F.desc(F.col("graph").isNotNull()))
+    hits = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
