@@ -422,6 +422,21 @@ def test_load_of_a_bundle_whose_feeds_fail(spark):
     assert {r.symbol for r in found.not_live.collect()} == {"A", "B"} and found.prices.count() == 16
 
 
+def test_settings_are_checked_as_a_whole():
+    import dataclasses
+
+    from tidemark import config
+
+    good = dataclasses.asdict(config.DEFAULT)
+    assert config.problems(good) == [] and config.checked(good) == config.DEFAULT and config.checked(good | {"history_days": [30]}).history_days == (30,)
+    bad = {k: v for k, v in good.items() if k != "alpha"} | {"theme": 1, "vol_window": 2.5, "test_share": 1, "corr_windows": 30, "ma_short": -1, "regime_cuts": (0.6, 0.3), "risk_free": "4%"}
+    found = config.problems(bad)
+    assert sorted(f.split()[0] for f in found) == ["alpha", "corr_windows", "ma_short", "regime_cuts", "risk_free", "test_share", "theme", "vol_window"]
+    with pytest.raises(ValueError, match="alpha is missing.*theme is unknown"):
+        config.checked(bad)
+    assert config.problems(good | {"ma_short": 300}) == ["ma_short must be below ma_long"] and config.checked(good | {"deep": -0.5, "risk_free": 0}).deep == -0.5
+
+
 def test_macro_names(spark):
     names = feeds.macro_names(spark)
     closes = spark.createDataFrame([("^TNX", D0, 4.1), ("GC=F", D0, 2000.0), ("other", D0, 1.0)], "ticker string, day date, level double")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,42 @@ class Settings:
 
 DEFAULT = Settings()
 
+_SHARES = ("test_share", "stress_quantile", "min_coverage", "alpha", "regime_cuts")
+_ANY = ("risk_free", "near_high", "deep", "basing")  # all others are positive
+
+
+def problems(values: Mapping[str, object]) -> list[str]:
+    """All that keeps `values` from being settings: names that are absent or unknown, kinds and ranges that do not fit."""
+    known = {f.name: getattr(DEFAULT, f.name) for f in fields(Settings)}
+    found = [f"{name} is missing" for name in known if name not in values] + [f"{name} is unknown" for name in values if name not in known]
+    for name, default in known.items():
+        if name not in values:
+            continue
+        value = values[name]
+        several = isinstance(default, tuple)
+        own, model = (value if several and isinstance(value, (tuple, list)) else [value]), (default[0] if several else default)
+        whole = isinstance(model, int)
+        if several and (not isinstance(value, (tuple, list)) or not value or (name != "history_days" and len(value) != len(default))):
+            found.append(f"{name} must be a sequence like {default}")
+        elif not all(isinstance(x, int if whole else (int, float)) and not isinstance(x, bool) for x in own):
+            found.append(f"{name} must be {'whole' if whole else 'numeric'}")
+        elif name in _SHARES and not all(0 < x < 1 for x in own):
+            found.append(f"{name} must lie between 0 and 1")
+        elif name not in _ANY and not all(x > 0 for x in own):
+            found.append(f"{name} must be positive")
+        elif several and list(own) != sorted(own):
+            found.append(f"{name} must ascend")
+    if not found and values["ma_short"] >= values["ma_long"]:
+        found.append("ma_short must be below ma_long")
+    return found
+
+
+def checked(values: Mapping[str, object]) -> Settings:
+    """Settings from a mapping, such as a file's; an error names every problem at once."""
+    if found := problems(values):
+        raise ValueError("; ".join(found))
+    return Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
+
 #: Symbols by provider id, and macro assets by ticker (fixed values).
 CRYPTO_ASSETS = {"bitcoin": "BTC", "ethereum": "ETH", "solana": "SOL", "binancecoin": "BNB", "ripple": "XRP", "cardano": "ADA"}
 MACRO_ASSETS = {"^GSPC": "S&P 500", "GC=F": "Gold", "DX-Y.NYB": "US Dollar Index", "^TNX": "US 10Y Yield", "CL=F": "Crude Oil"}
