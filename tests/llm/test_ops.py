@@ -793,6 +793,30 @@ def test_counts_of_shingles_are_complete(spark, docs):
     assert got == want
 
 
+def test_shingles_of_most_texts_are_counted_once_a_block():
+    footer = "all rights reserved by the owners of this page"
+    texts = pa.array([sentence(12, random.Random(i)) + " " + footer for i in range(300)] + ["", None, "one two"])
+    sent = list(jaccard._sent(5, 3)(iter([pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 7, 9], 101)), texts], ["block", "text"])])))
+    table = pa.Table.from_batches(sent)
+    sets = [h[a:b] for _, h, bounds in jaccard.shingle_sets(texts, 5) for a, b in zip(bounds[:-1], bounds[1:])]
+    want = collections.Counter(int(c) for s in sets for c in jaccard._cells(s, 3))
+    got = collections.Counter()
+    for r in table.to_pylist():
+        cells = np.frombuffer(r["data"], np.uint32)
+        place, further = np.frombuffer(r["more"], np.uint32).reshape(2, -1)
+        assert len(np.unique(cells)) == len(cells) and (further > 0).all()
+        for c in cells.tolist():
+            got[(r["range"] << 32) + c] += 1
+        for p, n in zip(place.tolist(), further.tolist()):
+            got[(r["range"] << 32) + int(cells[p])] += n
+    assert got == want and max(want.values()) >= 300
+    for number in range(3):
+        own = table.filter(pa.array(np.array(table["range"]) == number))
+        for r in jaccard._counted(own).to_pylist():
+            cells = np.unique(np.concatenate([np.frombuffer(x["data"], np.uint32) for x in own.to_pylist() if x["block"] == r["block"]]))
+            assert np.frombuffer(r["levels"], np.uint8).tolist() == jaccard._level(np.array([want[(number << 32) + int(c)] for c in cells])).tolist()
+
+
 # -- 10: neighbours ---------------------------------------------------------------------------------------
 
 

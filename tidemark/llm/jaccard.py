@@ -174,20 +174,22 @@ def _block_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _sent(k: int, ranges: int):
-    """(range, block, data): the sorted cells of a block's sets, one entry for each set that holds one."""
+    """(range, block, data, more): the sorted cells of a block's sets, each once, and for those that several sets hold their place and further number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block = batch.column("block").to_numpy()
             cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(block) else []
             for low, high in zip(cuts[:-1], cuts[1:]):
-                cells = np.sort(_cells(_block_sets(batch.column("text")[low:high], k)[0], ranges))
+                cells, count = np.unique(_cells(_block_sets(batch.column("text")[low:high], k)[0], ranges), return_counts=True)
                 if not len(cells):
                     continue
                 of = cells >> np.uint64(32)
                 at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
                 data, ends = cells.astype(np.uint32), np.append(at[1:], len(cells))
-                yield pa.RecordBatch.from_arrays([pa.array(of[at].astype(np.int64)), pa.array(np.full(len(at), block[low])), pa.array([data[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())], ["range", "block", "data"])
+                several = [np.flatnonzero(count[i:j] > 1) for i, j in zip(at, ends)]
+                more = [np.stack((x, count[i + x] - 1)).astype(np.uint32).tobytes() for i, x in zip(at, several)]
+                yield pa.RecordBatch.from_arrays([pa.array(of[at].astype(np.int64)), pa.array(np.full(len(at), block[low])), pa.array([data[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.array(more, pa.binary())], ["range", "block", "data", "more"])
 
     return run
 
@@ -197,6 +199,9 @@ def _counted(table: pa.Table) -> pa.Table:
     block = table.column("block").to_numpy()
     data = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("data").combine_chunks()]
     cells, count = np.unique(np.concatenate(data), return_counts=True)
+    for x, more in zip(data, table.column("more").combine_chunks()):
+        place, further = np.frombuffer(more.as_buffer(), np.uint32).reshape(2, -1)
+        count[np.searchsorted(cells, x[place])] += further  # a block's own cells differ
     level = _level(count)
     own: dict[int, list[np.ndarray]] = {}
     for b, x in zip(block.tolist(), data):
@@ -234,7 +239,7 @@ def _postings(s: Settings, ranges: int):
 def postings(docs: DataFrame, hashes: int, s: Settings) -> DataFrame:
     """The postings of the sets of `docs` (block, text), which hold `hashes` shingles in all."""
     ranges = max(1, -(-hashes // s.range_hashes))
-    sent = docs.select("block", "text").mapInArrow(_sent(s.words, ranges), "range long, block long, data binary")
+    sent = docs.select("block", "text").mapInArrow(_sent(s.words, ranges), "range long, block long, data binary, more binary")
     levels = sent.groupBy("range").applyInArrow(_counted, "block long, range long, levels binary")
     both = docs.select("block", "text").groupBy("block").cogroup(levels.groupBy("block"))
     return both.applyInArrow(_postings(s, ranges), "id long, n long, rare int, keys array<long>, parts array<int>")
