@@ -209,7 +209,11 @@ def test_streamed_indicators_equal_the_batch(spark, tmp_path, walk):
         if low == 10:  # a day that has gone by, and a bar without a price, are passed over
             bars(spark, [("A", 3, 999.0), ("A", 300, None)]).select("symbol", "day", "price").write.mode("append").parquet(at)
         source = streaming.indicators_stream(spark.readStream.schema(table.schema).parquet(at))
-        source.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+        with streaming.rocksdb_state(spark):
+            stream = source.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.awaitTermination()
+        assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
     got = {(r["symbol"], r["day"]): r for r in spark.read.parquet(out).collect()}
     want = cycles.rsi(table).join(risk.drawdown_series(table), ["symbol", "day"]).collect()
     assert len(got) == len(want) == len(walk) + len(flat)

@@ -153,7 +153,9 @@ def streamed_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in range(3):
         spark.read.schema(bars.schema).parquet(f"{parted}/part={part}").write.mode("append").parquet(at)
         found = streaming.indicators_stream(spark.readStream.schema(bars.schema).parquet(at))
-        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        with streaming.rocksdb_state(spark):
+            stream = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.awaitTermination()
     return _rounded(spark.read.parquet(out).select("symbol", "day", "rsi", "drawdown"), 6)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -82,13 +83,25 @@ class _Indicators(StatefulProcessor):
         pass
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start here keep their state in RocksDB; the session's setting is put back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def indicators_stream(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(symbol, day, price, rsi, drawdown) for each bar of a stream, equal to the batch's over the same bars.
 
     `bars` (symbol, day, price) come in the order of their days from one micro-batch to the next, as
     `daily_last_stream` gives them; a bar that is not newer than the symbol's last is passed over, and so are bars
-    without a price.  The state of a symbol is six numbers, kept in the RocksDB state store, which this sets.
+    without a price.  The state of a symbol is six numbers.  Start the query within `rocksdb_state`, as
+    Spark keeps such state in RocksDB only.
     """
-    bars.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     known = bars.where("price is not null and day is not null").select("symbol", "day", "price")
     return known.groupBy("symbol").transformWithState(statefulProcessor=_Indicators(s.rsi_window), outputStructType=_INDICATORS, outputMode="Append", timeMode="None")
