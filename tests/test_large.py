@@ -5,7 +5,7 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tidemark.operators import correlation, cycles, large, risk
 
@@ -28,7 +28,7 @@ def series(spark, tmp_path_factory):
 
 def test_running_totals_spread_one_key_over_ranges(spark, series):
     got = large.running_total(series, "symbol", "day", partitions=8)
-    w = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("symbol").orderBy("day")
+    w = Window.partitionBy("symbol").orderBy("day")
     assert got.exceptAll(series.withColumn("total", F.row_number().over(w).cast("long"))).count() == 0 and got.count() == series.count()
     weighted = large.running_total(series.withColumn("n", F.lit(3)), "symbol", "day", F.col("n").cast("long"), 4)
     assert weighted.groupBy("symbol").agg(F.max("total")).where("symbol = 'hot'").first()[1] == 15000
@@ -51,8 +51,7 @@ def test_ranks_equal_the_window(spark, series, partitions):
 @pytest.mark.parametrize("bins", [2, 1024])
 def test_quantiles_equal_percentile_to_the_last_bit(spark, series, bins):
     r = random.Random(3)
-    near = 1.0
-    odd = [("near", near := math.nextafter(near, 2)) for _ in range(50)] + [("huge", r.choice((-1, 1)) * 1.7e308 * r.random()) for _ in range(30)] + [("tail", math.exp(r.uniform(-300, 300))) for _ in range(60)]
+    odd = [("near", 1 + i * math.ulp(1.0)) for i in range(50)] + [("huge", r.choice((-1, 1)) * 1.7e308 * r.random()) for _ in range(30)] + [("tail", math.exp(r.uniform(-300, 300))) for _ in range(60)]
     odd += [("ties", float(r.randint(0, 2))) for _ in range(90)] + [("ties", None), ("none", None), ("single", 7.25), (None, 1.0), ("two", 0.1), ("two", 0.3), ("zero", 0.0), ("zero", -0.0)]
     rows = series.select("symbol", "price").union(spark.createDataFrame(odd, "symbol string, price double"))
     p = [0.0, 0.01, 1 - 0.95, 0.33, 0.5, 0.66, 0.9, 1.0]

@@ -1,6 +1,7 @@
 """Bars that stay, results that are computed once, and bars and indicators of streams."""
 
 import datetime
+import random
 import threading
 
 import pytest
@@ -33,8 +34,6 @@ def kept(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def walk():
-    import random
-
     r, out = random.Random(4), []
     for s in ("A", "B"):
         p = 100.0
@@ -153,10 +152,10 @@ def test_callers_at_the_same_time_compute_once(spark, tmp_path):
 
     # two caches, as two processes would have; the lock is in the store
     caches = [memo.Results(spark, f"file://{tmp_path}/r", pause=0.02) for _ in range(2)]
-    memo_locks = [threading.Thread(target=lambda c=c: found.append(c.get("q", {}, [], produce).count())) for c in caches * 3]
-    for t in memo_locks:
+    callers = [threading.Thread(target=lambda c=c: found.append(c.get("q", {}, [], produce).count())) for c in caches * 3]
+    for t in callers:
         t.start()
-    for t in memo_locks:
+    for t in callers:
         t.join()
     assert found == [3] * 6 and len(calls) == 1 and sum(c.misses for c in caches) == 1 and sum(c.hits for c in caches) == 5
 
@@ -180,7 +179,7 @@ def test_errors_store_nothing_and_lost_locks_end(spark, tmp_path):
 
 
 def test_streamed_bars_equal_the_batch(spark, tmp_path):
-    r = __import__("random").Random(2)
+    r = random.Random(2)
     rows = [(s, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=r.randrange(60 * 24 * 40)), i, None if i % 17 == 0 else float(r.randrange(100))) for i, s in enumerate("AAAB" * 60)]
     rows += [(*rows[0][:2], 1000, 5.0), rows[3]]
     ticks = spark.createDataFrame(rows, "symbol string, ts timestamp, id long, price double")
