@@ -11,9 +11,12 @@ from tidemark.llm import jaccard, mixing, pieces, substrings, toxicity
 from tidemark.llm._store import Scratch, blocked, materialize
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def bounded(spark: SparkSession) -> SparkSession:
     """From here on, Arrow batches of the session hold 8 MB at most, so that long texts come to Python few at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set(_BATCH, "8m")
     return spark
 
 
@@ -100,8 +103,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over the documents of `sf_dir`, each over the written result of the one before."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-stage")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The stages in turn over the documents of `sf_dir`, each over the written result of the one before; the session's settings stay."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(_BATCH)
+    try:
+        for _, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), "pipeline-stage")
+    finally:
+        spark.conf.set(_BATCH, before)
+    return docs
