@@ -56,7 +56,10 @@ def test_stages(spark, tmp_path):
         else:
             assert len(got) == len(before) and docs.where(~F.col("round_trip")).count() == 0
         before = got
-    assert pipeline.run(spark, sf).count() == len(before)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(setting, "3m")
+    assert pipeline.run(spark, sf).count() == len(before) and spark.conf.get(setting) == "3m"
+    spark.conf.unset(setting)
 
 
 def test_near_copies_with_null_and_reused_ids(spark, tmp_path):
