@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm._store import Scratch, blocked, broadcast_up_to
+from tidemark.llm._store import Scratch, blocked, broadcast_up_to, given_back, lean
 from tidemark.llm._text import LOWER, NOT_SPACE, Words, blocks, mix, window_hashes
 from tidemark.llm.graph import components
 
@@ -149,6 +149,7 @@ def _different(ids: np.ndarray) -> np.ndarray:
 def _summaries(k: int):
     """(rid, doc_id, n, id, bits) of each text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, h, bounds in shingle_sets(batch.column("text"), k):
@@ -176,6 +177,7 @@ def _block_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.nda
 def _sent(k: int, ranges: int):
     """(range, block, data, more): the sorted cells of a block's sets, each once, and for those that several sets hold their place and further number."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block = batch.column("block").to_numpy()
@@ -240,14 +242,16 @@ def postings(docs: DataFrame, hashes: int, s: Settings) -> DataFrame:
     """The postings of the sets of `docs` (block, text), which hold `hashes` shingles in all."""
     ranges = max(1, -(-hashes // s.range_hashes))
     sent = docs.select("block", "text").mapInArrow(_sent(s.words, ranges), "range long, block long, data binary, more binary")
-    levels = sent.groupBy("range").applyInArrow(_counted, "block long, range long, levels binary")
+    levels = sent.groupBy("range").applyInArrow(lambda cells: given_back(_counted(cells)), "block long, range long, levels binary")
     both = docs.select("block", "text").groupBy("block").cogroup(levels.groupBy("block"))
-    return both.applyInArrow(_postings(s, ranges), "id long, n long, rare int, keys array<long>, parts array<int>")
+    found = _postings(s, ranges)
+    return both.applyInArrow(lambda texts, levels: given_back(found(texts, levels)), "id long, n long, rare int, keys array<long>, parts array<int>")
 
 
 # -- groups of sets with a key in common ------------------------------------------------------
 
 
+@lean
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, part, rare, id, n) sorted in this order to (group, id, n, rare, pivot): keys of one set are dropped, and keys of the same sets get one name.
 
@@ -363,6 +367,7 @@ def _cross(percent: int):
         if found:
             yield out()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         told = _Told()
@@ -403,6 +408,7 @@ def shared_at_most(x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
 
 
 def _bounded(percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
@@ -450,6 +456,7 @@ def join_blocked(docs: DataFrame, store: Scratch, s: Settings = Settings()) -> D
 
     holders = rows.where("n > 0").groupBy("id").agg(F.min("rid").alias("rid"))  # a text of each set
 
+    @lean
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, h, bounds in shingle_sets(batch.column("text"), s.words):

@@ -24,7 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm._store import materialize
+from tidemark.llm._store import lean, materialize
 from tidemark.llm._text import blocks, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -448,6 +448,7 @@ def _unpack(pdf: pd.DataFrame) -> list[np.ndarray]:
 def _giants(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
     """(rid, ids) of long documents: matrices of chunks, products of blocks, states of blocks, states of chunks, traces."""
 
+    @lean
     def cut(batches):
         for batch in batches:
             p = pieces(model)
@@ -455,6 +456,7 @@ def _giants(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
                 rows = [(rid, *row) for row in split(text.as_py(), p, chunk_chars)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["rid", "chunk", "around", "low", "high"])
 
+    @lean
     def weigh(batches):
         p = pieces(model)
         for batch in batches:
@@ -482,6 +484,7 @@ def _giants(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
         at[0], at[-1] = enter, leave
         return pd.DataFrame({"rid": key[0], "chunk": own["chunk"], "enter": at[:-1], "leave": at[1:]})
 
+    @lean
     def trace(batches):
         p = pieces(model)
         for batch in batches:
@@ -511,6 +514,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = _CHUNK_CHARS,
     names = docs.columns
     giant = F.coalesce(F.octet_length("text"), F.lit(0)) > giant_bytes
 
+    @lean
     def run(batches):
         p, at = pieces(model), names.index("text")
         for batch in _slices(batches):
@@ -536,6 +540,7 @@ def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
     coded = coded.drop("decoded")
     names = coded.columns
 
+    @lean
     def run(batches):
         p = pieces(model)
         for batch in _slices(batches):

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm._store import Scratch, numbered
+from tidemark.llm._store import Scratch, given_back, lean, numbered
 from tidemark.llm._text import blocks, mix, prefix_sums, span_hashes, utf8
 
 _BLOCK = 1 << 19  # bytes of texts worked on at a time, which take about a hundred times that
@@ -86,6 +86,7 @@ def anchored(data: np.ndarray, at: np.ndarray, s: Settings) -> tuple[np.ndarray,
 
 
 def _segments(s: Settings):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column("rid").to_numpy()
@@ -194,6 +195,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _cut(length: int):
     """Bytes of the segments of each text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "content", "copies", "crowded"]
         for batch in batches:
@@ -237,9 +239,10 @@ def repeated_ranges(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         return pd.DataFrame(out, columns=["anchor", "content", "low", "high"])
 
     by_bucket = segments.where("not crowded").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    found = by_bucket.groupBy("bucket").applyInPandas(search, FOUND)
+    found = by_bucket.groupBy("bucket").applyInPandas(lambda pdf: given_back(search(pdf)), FOUND)
 
     # an anchor of very many different segments would fill a bucket: its strings are counted one by one
+    @lean
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -256,6 +259,7 @@ def repeated_ranges(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return places.join(found, ["anchor", "content"]).select("rid", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
 
+@lean
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the bytes of their ranges."""
     for batch in batches:

@@ -26,6 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm._store import lean
 from tidemark.llm._text import NOT_SPACE, Words, blocks, mix, span_hashes
 
 _PAD = bytes(64)
@@ -260,6 +261,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     docs = docs.drop("score", "predicted")
     names = docs.columns
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer() if model else lambda _: 0.0
         for batch in batches:
