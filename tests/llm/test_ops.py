@@ -870,3 +870,25 @@ def test_quality_languages_of_little_text_stay_in_spark(spark):
     rows = [(f"typo{i}", "a few words") for i in range(2000)] + [("en", " ".join(r.choice(VOCAB) for _ in range(400))) for _ in range(6)]
     references = quality.language_references(spark.createDataFrame(rows, "lang string, text string").repartition(3))
     assert [x["lang"] for x in references] == ["en"] and references[0]["total"] == 2400 and len(references[0]["words"]) == 50
+
+
+def test_units_that_a_worker_keeps_and_decoding_take_little_memory():
+    import tracemalloc
+
+    r, p = random.Random(5), pieces.Pieces()
+    texts = pa.array([" ".join("".join(r.choices("abcdefghij", k=7)) for _ in range(200)) for _ in range(200)])
+    pieces.encode_batch(pa.array(["warm up"]), p)
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        ids = pieces.encode_batch(texts, p)
+        kept = tracemalloc.get_traced_memory()[0] - before
+        assert len(p.units) > 39_000 and kept < 70 * 40_000
+        many = pa.concat_arrays([ids] * 4)
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        again = pieces.decode_batch(many, p)
+        assert len(many.values) > 400_000 and tracemalloc.get_traced_memory()[1] - before < 16_000_000
+    finally:
+        tracemalloc.stop()
+    assert again.to_pylist() == texts.to_pylist() * 4

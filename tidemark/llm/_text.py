@@ -112,7 +112,10 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which any span's polynomial hash follows in O(1)."""
     out = np.empty(len(data) + 1, dtype=np.uint64)
     out[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_P_INV, "inv", len(data) + 1)[: len(data)], out=out[1:])
+    value = data.astype(np.uint64)
+    value += np.uint64(1)
+    value *= _power(_P_INV, "inv", len(data) + 1)[: len(data)]
+    np.cumsum(value, out=out[1:])
     return out
 
 

@@ -35,8 +35,9 @@ _GIANT_BYTES = 32_768
 _BLOCK_CHUNKS = 256
 _TASK_CHUNKS = 64
 _CACHE_UNITS = 400_000
-_SLICE_ROWS = 1000  # rows worked on at a time, so that a task holds little besides the batch it is given
-_DECODE_IDS = 400_000  # ids decoded at a time, and those of one text at least
+_SLICE_ROWS = 250  # rows worked on at a time, so that a task holds little besides the batch it is given
+_DECODE_IDS = 65_536  # ids decoded at a time, and those of one text at least
+_TRACED_UNITS = 50_000
 _WIDE = 48  # longer units are merged one by one
 _NONE = np.int32(2**31 - 1)
 
@@ -69,8 +70,9 @@ class Pieces:
         text = [bytes([self.of_byte.index(i)]) if sp.is_byte(i) else b"" if special[i] else name.replace(SPACE, " ").encode() for i, name in enumerate(self.names)]
         self.flat = np.frombuffer(b"".join(text), np.uint8)
         self.bounds = np.cumsum([0, *map(len, text)])
-        self.solo = lru_cache(1 << 18)(self._solo)
-        self.compatible = lru_cache(1 << 20)(self._compatible)
+        self.solo = lru_cache(1 << 16)(self._solo)
+        self.compatible = lru_cache(1 << 17)(self._compatible)
+        self.units = Units()
 
     def merge(self, text: str) -> list[int]:
         """The pieces of a text (spaces as they are): best rank first, leftmost of equals; characters without a piece are -1 - code."""
@@ -187,8 +189,37 @@ class Pieces:
         return data[keep].tobytes(), kept[bounds]
 
 
+class Units:
+    """Encoded units as arrays: hashes in order, the place of each, and the ids by place.
+
+    A dict of the hashes takes several times the memory, in every worker and as long as it lives.
+    """
+
+    def __init__(self):
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, unit: np.ndarray) -> np.ndarray:
+        """Places of hashes; -1 for those not held."""
+        if not len(self):
+            return np.full(len(unit), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, unit), len(self) - 1)
+        return np.where(self.hashes[at] == unit, self.places[at], -1).astype(np.int64)
+
+    def add(self, unit: np.ndarray, coded: list[list[int]]) -> np.ndarray:
+        """The places of new hashes, which come in order, and are given the ids `coded`."""
+        at, places = np.searchsorted(self.hashes, unit), np.arange(len(self), len(self) + len(unit))
+        self.hashes, self.places = np.insert(self.hashes, at, unit), np.insert(self.places, at, places)
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        self.ids = np.append(self.ids, np.fromiter((x for c in coded for x in c), np.int32, int(size.sum())))
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(size))
+        return places
+
+
 _loaded: dict[str, Pieces] = {}
-_cache: dict[str, tuple[dict, list, list]] = {}
 
 
 def pieces(model: str = MODEL) -> Pieces:
@@ -208,12 +239,9 @@ def _plain(texts: pa.Array) -> pa.Array:
 
 def encode_batch(texts: pa.Array, p: Pieces) -> pa.ListArray:
     """Ids of each text.  A text falls into units, each the spaces before a word and the word, encoded once per process."""
-    known: dict[int, int] = {}
-    flat, starts = [], [0]
-    state = _cache.get(id(p).__str__())
-    if state is None or len(state[0]) > _CACHE_UNITS:
-        state = _cache[id(p).__str__()] = ({}, [np.zeros(0, np.int32)], [np.zeros(1, np.int64)])
-    known, flats, bounds = state
+    if len(p.units) > _CACHE_UNITS:
+        p.units = Units()
+    known = p.units
     out, counts = [], []
     for _, data, at in blocks(_plain(texts)):
         first = np.zeros(len(data) + 1, bool)
@@ -226,24 +254,18 @@ def encode_batch(texts: pa.Array, p: Pieces) -> pa.ListArray:
         unit, where = np.unique(span_hashes(data, begin, end), return_inverse=True)
         sample = np.zeros(len(unit), np.int64)
         sample[where] = np.arange(len(begin))
-        slots = np.array([known.get(h, -1) for h in unit.tolist()], np.int64)
-        fresh = np.flatnonzero(slots < 0)
+        places = known.find(unit)
+        fresh = np.flatnonzero(places < 0)
         if len(fresh):
             raw = data.tobytes()
             own = [raw[begin[i] : end[i]].decode("utf-8", "surrogatepass") for i in sample[fresh]]
             coded = p.merge_many(own)
-            coded = [p.expand(c) if min(c) < 0 else c for c in coded]
-            base = len(known)
-            known.update(zip(unit[fresh].tolist(), range(base, base + len(fresh))))
-            slots[fresh] = np.arange(base, base + len(fresh))
-            flats.append(np.concatenate([np.array(c, np.int32) for c in coded]) if len(coded) < 64 else np.fromiter((x for c in coded for x in c), np.int32))
-            bounds.append(bounds[-1][-1] + np.cumsum([len(c) for c in coded]))
-            flats[:] = [np.concatenate(flats)]
-            bounds[:] = [np.concatenate(bounds)]
-        slot = slots[where]
-        low, size = bounds[0][slot], bounds[0][slot + 1] - bounds[0][slot] if len(slot) else np.zeros(0, np.int64)
+            places[fresh] = known.add(unit[fresh], [p.expand(c) if min(c) < 0 else c for c in coded])
+        place = places[where]
+        low = known.bounds[place]
+        size = known.bounds[place + 1] - low
         ends = np.concatenate(([0], np.cumsum(size)))
-        out.append(flats[0][np.repeat(low - ends[:-1], size) + np.arange(ends[-1])])
+        out.append(known.ids[np.repeat(low - ends[:-1], size) + np.arange(ends[-1])])
         counts.append(np.diff(ends[np.searchsorted(begin, at)]))
     offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts)))) if counts else np.zeros(1, np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int32()))
@@ -266,10 +288,10 @@ def decode_batch(ids: pa.ListArray, p: Pieces) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.utf8())
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = _SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, batch.num_rows, _SLICE_ROWS):
-            yield batch.slice(i, _SLICE_ROWS)
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 # -- the scan over chunks of one document ---------------------------------------------------
@@ -406,7 +428,7 @@ _units: dict[str, list[int]] = {}
 
 
 def _unit_ids(p: Pieces, unit: str) -> list[int]:
-    if len(_units) > 200_000:
+    if len(_units) > _TRACED_UNITS:
         _units.clear()
     if unit not in _units:
         _units[unit] = p.merge(unit)
@@ -459,7 +481,7 @@ def _giants(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
     @lean
     def weigh(batches):
         p = pieces(model)
-        for batch in batches:
+        for batch in _slices(batches, _TASK_CHUNKS):
             packed = [_pack(Chunk(p, r["around"], r["low"], r["high"]).matrix()) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("chunk"), pa.array([x["rows"] for x in packed], pa.int64()), pa.array([x["matrix"] for x in packed], pa.binary())], ["rid", "chunk", "rows", "matrix"])
 
@@ -487,7 +509,7 @@ def _giants(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
     @lean
     def trace(batches):
         p = pieces(model)
-        for batch in batches:
+        for batch in _slices(batches, _TASK_CHUNKS):
             ids = [Chunk(p, r["around"], r["low"], r["high"]).trace(r["enter"], r["leave"]) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], ["rid", "chunk", "ids"])
 
