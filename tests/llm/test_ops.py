@@ -892,3 +892,28 @@ def test_units_that_a_worker_keeps_and_decoding_take_little_memory():
     finally:
         tracemalloc.stop()
     assert again.to_pylist() == texts.to_pylist() * 4
+
+
+def test_network_cuts_logits_off_only_where_some_are_far(monkeypatch):
+    net = small_network()
+    r = np.random.default_rng(3)
+    h, rank = r.uniform(-1, 1, (50, 5)).astype(np.float32), r.integers(0, 13, 50)
+
+    def plain():
+        s, v = net.v.s, net.v
+        x = h.astype(float) @ net.to_class + net.class_bias
+        kind = v.kind[rank]
+        out = x[np.arange(50), kind] - np.log(np.exp(x).sum(axis=1)) + v.share[rank]
+        for i in np.flatnonzero(kind < s.word_classes):
+            part = slice(kind[i] * s.words_per_class, (kind[i] + 1) * s.words_per_class)
+            y = net.to_word[part] @ h[i].astype(float) + net.word_bias[part]
+            out[i] += y[rank[i] % s.words_per_class] - np.log(np.exp(y).sum())
+        return out
+
+    assert np.allclose(net.outputs(h, rank), plain(), atol=1e-4)
+    cut, clip = [], np.clip
+    monkeypatch.setattr(np, "clip", lambda *a, **b: cut.append(1) or clip(*a, **b))
+    net.outputs(h, rank)
+    assert not cut
+    net.to_class *= 60 / np.abs(net.to_class).sum(axis=0).max()
+    assert np.allclose(net.outputs(h, rank), plain(), atol=1e-2) and cut

@@ -183,54 +183,72 @@ class Network:
         return self
 
     def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(new state, update gate, reset gate, candidate, carried candidate) from the input's gates."""
+        """(new state, update and reset gates, candidate, carried candidate) from the input's gates."""
         n = h.shape[1]
         carried = h @ self.carry
-        zr = 1 / (1 + np.exp(-(gates[:, : 2 * n] + carried[:, : 2 * n])))
-        z, r, held = zr[:, :n], zr[:, n:], carried[:, 2 * n :]
-        c = np.tanh(gates[:, 2 * n :] + r * held)
-        return c + z * (h - c), z, r, c, held
+        zr, held = gates[:, : 2 * n] + carried[:, : 2 * n], carried[:, 2 * n :]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        c = zr[:, n:] * held
+        c += gates[:, 2 * n :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= zr[:, :n]
+        new += c
+        return new, zr, c, held
 
     def outputs(self, h: np.ndarray, rank: np.ndarray, grad: bool = False):
         """Natural log-probabilities of the words given states; with `grad`, also the gradients."""
         s, v = self.v.s, self.v
-        kind, every = v.kind[rank], np.arange(len(h))
-        e = self._raised(h, self.to_class, self.class_bias)
-        picked, total = e[every, kind], e.sum(axis=1)
+        kind, every, n = v.kind[rank], np.arange(len(h)), s.hidden
+        h = np.concatenate((h, np.ones((len(h), 1), np.float32)), axis=1)  # a last place of 1, so that products take the biases in
+        weights = np.concatenate((self.to_class, [self.class_bias - self.class_bias.max()]))
+        e = self._raised(h, weights, self._far(weights))
+        picked, total = e[every, kind], e @ np.ones(s.classes, np.float32)
         out = np.log(picked / total) + v.share[rank]
         if grad:
             e /= total[:, None]
             e[every, kind] -= 1
-            g = {"to_class": h.T @ e, "class_bias": e.sum(axis=0), "to_word": np.zeros_like(self.to_word), "word_bias": np.zeros_like(self.word_bias)}
+            to_class, to_word = h.T @ e, np.zeros((s.soft, n + 1), np.float32)
             dh = e @ self.to_class.T
-        order = np.argsort(kind, kind="stable")
+        order = by_value(kind, s.classes)
         cuts = np.searchsorted(kind[order], np.arange(s.word_classes + 1))
         order = order[: cuts[-1]]
         held, place, inner = h[order], rank[order] % s.words_per_class, np.empty(len(order))
-        dinner = np.empty_like(held) if grad else None
+        dinner = np.empty((len(order), n), np.float32) if grad else None
+        bias = self.word_bias.reshape(s.word_classes, s.words_per_class)
+        weights = np.concatenate((self.to_word, (bias - bias.max(axis=1, keepdims=True)).reshape(-1, 1)), axis=1)
+        far, ones = self._far(weights.T), np.ones(s.words_per_class, np.float32)
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             own, part = slice(cuts[k], cuts[k + 1]), slice(k * s.words_per_class, (k + 1) * s.words_per_class)
-            e = self._raised(held[own], self.to_word[part].T, self.word_bias[part])
+            e = self._raised(held[own], weights[part].T, far)
             row, at = every[: own.stop - own.start], place[own]
-            picked, total = e[row, at], e.sum(axis=1)
+            picked, total = e[row, at], e @ ones
             np.divide(picked, total, out=inner[own])
             if grad:
                 e /= total[:, None]
                 e[row, at] -= 1
-                np.matmul(e.T, held[own], out=g["to_word"][part])
-                g["word_bias"][part] = e.sum(axis=0)
+                np.matmul(e.T, held[own], out=to_word[part])
                 np.matmul(e, self.to_word[part], out=dinner[own])
         out[order] += np.log(inner)
         if grad:
             dh[order] += dinner
+            g = {"to_class": to_class[:n], "class_bias": to_class[n], "to_word": to_word[:, :n], "word_bias": to_word[:, n]}
         return (out, dh, g) if grad else out
 
     @staticmethod
-    def _raised(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    def _far(weights: np.ndarray) -> bool:
+        """Whether a state, whose places lie between -1 and 1, can bring a logit beyond 60."""
+        return not np.abs(weights).sum(axis=0).max() < 59
+
+    @staticmethod
+    def _raised(h: np.ndarray, weights: np.ndarray, far: bool) -> np.ndarray:
         """Exponentials of the logits, below the largest bias; far ones are cut off."""
         logits = h @ weights
-        logits += bias - bias.max()
-        np.clip(logits, -60, 60, out=logits)
+        if far:
+            np.clip(logits, -60, 60, out=logits)
         return np.exp(logits, out=logits)
 
     def train(self, ranks: np.ndarray, offsets: np.ndarray) -> float:
@@ -242,39 +260,40 @@ class Network:
         x = self.v.input[np.where(fresh, self.v.end, np.append(stream[:1], stream[:-1]))]
         h, loss, summed, size = np.zeros((len(start), n), np.float32), 0.0, {}, 0
         for low in range(0, int(length[0]), s.window):
-            path, places = [], []
-            for t in range(low, min(low + s.window, int(length[0]))):
-                live = int(np.searchsorted(-length, -t, side="left"))  # lanes are sorted: longer ones first
-                at = start[:live] + t
-                h = np.where(fresh[at, None], np.float32(0), h[:live])
-                before = h
-                h, z, r, c, held = self.step(self.embed[x[at]] + self.bias, h)
-                path.append((before, z, r, c, held, h))
-                places.append(at)
+            # lanes are sorted: longer ones first
+            places = [start[: int(np.searchsorted(-length, -t, side="left"))] + t for t in range(low, min(low + s.window, int(length[0])))]
             every = np.concatenate(places)
-            out, dh, g = self.outputs(np.concatenate([p[5] for p in path]), stream[every], True)
+            read, stay = x[every], ~fresh[every, None]
+            gates = (self.embed + self.bias).take(read, axis=0)
+            path, ends = [], np.cumsum([len(at) for at in places]).tolist()
+            own = [slice(end - len(at), end) for end, at in zip(ends, places)]
+            for part in own:
+                before = h[: part.stop - part.start] * stay[part]
+                h, *inside = self.step(gates[part], before)
+                path.append((before, *inside, h))
+            before, zr, c, held, after = (np.concatenate(p) for p in zip(*path))
+            out, dh, g = self.outputs(after, stream[every], True)
             loss -= float(out.sum())
-            gates, carried = np.empty((len(every), 3 * n), np.float32), np.empty((len(every), 3 * n), np.float32)
-            back, end = np.zeros((0, n), np.float32), len(every)
-            for (before, z, r, c, held, _), at in zip(reversed(path), reversed(places)):
-                own = slice(end - len(at), end)
-                d = dh[own]
+            # the gradient of each gate is that of the state times what the forward pass fixes
+            z, r = zr[:, :n], zr[:, n:]
+            inner = (1 - z) * (1 - c * c)
+            times = np.stack(((1 - z) * z * (before - c), inner * held * r * (1 - r), inner * r), axis=1)
+            carried, back = np.empty_like(times), np.zeros((0, n), np.float32)
+            flat, over = carried.reshape(len(every), 3 * n), self.carry.T.copy()
+            for part in reversed(own):
+                d = dh[part]
                 d[: len(back)] += back
-                stay = d * (1 - z)
-                dc = stay * (1 - c * c)
-                gates[own, :n] = stay * (before - c) * z
-                gates[own, n : 2 * n] = dc * held * r * (1 - r)
-                gates[own, 2 * n :] = dc
-                carried[own, : 2 * n] = gates[own, : 2 * n]
-                carried[own, 2 * n :] = dc * r
-                back = np.where(fresh[at, None], np.float32(0), d * z + carried[own] @ self.carry.T)
-                end = own.start
-            read = x[every]
-            by = np.argsort(read, kind="stable")
+                np.multiply(times[part], d[:, None], out=carried[part])
+                back = flat[part] @ over
+                back += d * z[part]
+                back *= stay[part]
+            gates[:, : 2 * n] = flat[:, : 2 * n]
+            np.multiply(inner, dh, out=gates[:, 2 * n :])
+            by = by_value(read, len(self.embed))
             read = read[by]
             first = np.flatnonzero(np.append(True, read[1:] != read[:-1]))
-            g |= {"embed": np.zeros_like(self.embed), "carry": np.concatenate([p[0] for p in path]).T @ carried, "bias": gates.sum(axis=0)}
-            g["embed"][read[first]] = np.add.reduceat(gates[by], first, axis=0)
+            g |= {"embed": np.zeros_like(self.embed), "carry": before.T @ flat, "bias": gates.sum(axis=0)}
+            g["embed"][read[first]] = np.add.reduceat(gates.take(by, axis=0), first, axis=0)
             for k in summed:
                 g[k] += summed[k]
             summed, size = g, size + len(every)
@@ -327,7 +346,7 @@ class Network:
             for t in range(int(length[0])):
                 live = int(np.searchsorted(-length, -t, side="left"))
                 before = v.input[ranks[start[:live] + t - 1]] if t else np.full(live, v.input[v.end])
-                h = self.step(gates_of[before], h[:live])[0]
+                h = self.step(gates_of.take(before, axis=0), h[:live])[0]
                 states.append(h)
                 words.append(ranks[start[:live] + t])
                 lanes.append(live)
@@ -340,6 +359,11 @@ class Network:
         return out
 
 
+def by_value(x: np.ndarray, below: int) -> np.ndarray:
+    """The stable order of numbers from 0 to under `below`; 16 bits are sorted in linear time."""
+    return np.argsort(x.astype(np.uint16) if below <= 65_536 else x, kind="stable")
+
+
 def packed(ranks: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Documents on lanes, each on the one that is shortest so far: (words lane by lane, whether one begins a document, lanes' starts, lengths).
 
