@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -209,6 +210,42 @@ def test_network_scores_whole_documents():
     assert net.score(ranks, offsets) == pytest.approx(want, rel=1e-4)
 
 
+def test_batches_are_scored_side_by_side():
+    net = small_network()
+    names, rows = ["rid", "doc_id", "held_out", "text"], [(i, None if i == 3 else 10 * i, i % 2 == 0, "a b " * i if i % 4 else None) for i in range(9)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[low : low + 2]], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.string()))], names) for low in range(0, 9, 2)]
+    whole, calls = net.score, []
+    net.score = lambda ranks, offsets: calls.append(len(offsets) - 1) or whole(ranks, offsets)
+    alone = [r for b in batches for out in lm.scored_batches(iter([b]), net, 2.0) for r in out.to_pylist()]
+    calls.clear()
+    together = [r for out in lm.scored_batches(iter(batches), net, 2.0) for r in out.to_pylist()]
+    assert calls == [9]  # one pass over the texts of all batches
+    assert [(r["rid"], r["doc_id"], r["held_out"]) for r in together] == [r[:3] for r in rows]
+    for x, y in zip(together, alone):
+        assert x.pop("score") == pytest.approx(y.pop("score"), rel=1e-5) and x == y
+    net.v.s.__dict__["stream"] = 8
+    calls.clear()
+    assert sum(out.num_rows for out in lm.scored_batches(iter(batches), net, 2.0)) == 9 and len(calls) > 1 and sum(calls) == 9
+
+
+def test_words_are_found_by_their_leading_bits():
+    s, rng = lm.Settings(), np.random.default_rng(8)
+    for words in (np.zeros(0, np.uint64), np.array([~np.uint64(0)]), np.arange(50, dtype=np.uint64)[::-1], np.arange(2**63, 2**63 + 300, 3, dtype=np.uint64)):
+        v = lm.Vocabulary(words, np.ones(len(words), np.int64), 500, 400, s)
+        asked = np.concatenate([words, words + np.uint64(1), np.array([0, 2**64 - 1, 2**63], np.uint64)])
+        rank = {int(x): i for i, x in enumerate(words)}
+        assert v.find(asked).tolist() == [rank.get(int(x), len(words)) for x in asked]
+    words = np.unique(rng.integers(0, 2**64, s.head, np.uint64))
+    v, asked, ordered = lm.Vocabulary(words, np.ones(len(words), np.int64), 10**6, 10**6, s), rng.choice(words, 400_000), np.sort(words)
+    times = {}
+    for _ in range(3):
+        for k, f in (("bits", lambda: v.find(asked)), ("binary", lambda: ordered.searchsorted(asked))):
+            begin = time.process_time()
+            f()
+            times[k] = min(times.get(k, 9.0), time.process_time() - begin)
+    assert times["bits"] < times["binary"]  # a binary search took about five times as long
+
+
 def test_lanes_hold_every_document_whole():
     r, s = random.Random(6), lm.Settings(lanes=4)
     for _ in range(50):

@@ -32,6 +32,7 @@ from tidemark.llm._store import materialize, most_frequent
 from tidemark.llm._text import LOWER, NOT_SPACE, Words, blocks
 
 END = np.uint64(0)  # the hash of the empty word stands for the end of a document
+ROWS = 1024  # states whose classes are computed at a time, so that they stay in a core's cache
 
 
 @dataclass(frozen=True)
@@ -123,8 +124,12 @@ class Vocabulary:
 
     def __post_init__(self) -> None:
         s, n = self.s, len(self.words)
-        self.order = np.argsort(self.words)
-        self.sorted = self.words[self.order]
+        order = np.argsort(self.words)
+        self.order = np.append(order, n)
+        self.sorted = np.append(self.words[order], ~np.uint64(0))  # closed by the largest hash, so that a search ends
+        bits = max(1, (2 * n).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.sorted[:n], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)  # by leading bits
         rank = np.arange(n)
         shared = max(1, -(-max(0, n - s.soft) // s.count_classes))
         self.kind = np.where(rank < s.soft, rank // s.words_per_class, s.word_classes + (rank - s.soft) // shared)
@@ -140,11 +145,12 @@ class Vocabulary:
 
     def find(self, words: np.ndarray) -> np.ndarray:
         """Ranks of words; the size of the head for those outside."""
-        n = len(self.sorted)
-        if not n:
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, words), n - 1)
-        return np.where(self.sorted[at] == words, self.order[at], n)
+        at = self.first[words >> self.shift]
+        left = np.flatnonzero(self.sorted[at] < words)
+        while len(left):  # the few that are not the first of their leading bits
+            at[left] += 1
+            left = left[self.sorted[at[left]] < words[left]]
+        return np.where(self.sorted[at] == words, self.order[at], len(self.words))
 
     @property
     def end(self) -> int:
@@ -182,71 +188,100 @@ class Network:
             at += old.size
         return self
 
-    def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(new state, update and reset gates, candidate, carried candidate) from the input's gates."""
-        n = h.shape[1]
-        carried = h @ self.carry
-        zr, held = gates[:, : 2 * n] + carried[:, : 2 * n], carried[:, 2 * n :]
-        np.negative(zr, out=zr)
+    def turned(self) -> tuple[np.ndarray, np.ndarray]:
+        """What inputs (rows) and a state (columns) add to the gates; update and reset gates negated."""
+        sign = np.repeat([-1, -1, 1], self.v.s.hidden).astype(np.float32)
+        return (self.embed + self.bias) * sign, np.multiply(self.carry.T, sign[:, None], order="C")
+
+    @staticmethod
+    def step(gates: np.ndarray, h: np.ndarray, carry: np.ndarray, path: np.ndarray, c: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """The new state, from the input's gates; a lane is a column.
+
+        Update gate, reset gate and carried candidate are left in `path`, the candidate in `c`.
+        """
+        n = len(h)
+        np.matmul(carry, h, out=path)
+        zr = path[: 2 * n]
+        zr += gates[: 2 * n]
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        c = zr[:, n:] * held
-        c += gates[:, 2 * n :]
+        np.multiply(zr[n:], path[2 * n :], out=c)
+        c += gates[2 * n :]
         np.tanh(c, out=c)
-        new = h - c
-        new *= zr[:, :n]
+        np.subtract(h, c, out=new)
+        new *= zr[:n]
         new += c
-        return new, zr, c, held
+        return new
 
     def outputs(self, h: np.ndarray, rank: np.ndarray, grad: bool = False):
-        """Natural log-probabilities of the words given states; with `grad`, also the gradients."""
+        """Natural log-probabilities of the words given states; with `grad`, also the gradients.
+
+        Exponentials stay as they are: what divides them by their sum is applied to the narrow side of each product.
+        """
         s, v = self.v.s, self.v
-        kind, every, n = v.kind[rank], np.arange(len(h)), s.hidden
-        h = np.concatenate((h, np.ones((len(h), 1), np.float32)), axis=1)  # a last place of 1, so that products take the biases in
+        kind, size, n = v.kind[rank], len(h), s.hidden
         weights = np.concatenate((self.to_class, [self.class_bias - self.class_bias.max()]))
-        e = self._raised(h, weights, self._far(weights))
-        picked, total = e[every, kind], e @ np.ones(s.classes, np.float32)
+        state = np.ones((size, n + 1), np.result_type(h, weights))  # a last place of 1, so that products take the biases in
+        state[:, :n] = h
+        picked, total = np.empty(size, state.dtype), np.empty(size, state.dtype)
+        if grad:
+            to_class, to_word, word_bias = np.zeros((s.classes, n + 1), state.dtype), np.zeros((s.soft, n), np.float32), np.zeros(s.soft, np.float32)
+            dh = np.empty((size, n), state.dtype)
+        far, ones, back = self._far(weights), np.ones(s.classes, np.float32), self.to_class.T.copy()
+        buffer = np.empty((min(size, ROWS), s.classes), state.dtype)
+        for low in range(0, size, ROWS):
+            own = slice(low, min(low + ROWS, size))
+            e = self._raised(state[own], weights, far, buffer[: own.stop - low])
+            at = np.arange(0, e.size, s.classes) + kind[own]
+            picked[own] = e.reshape(-1)[at]
+            np.matmul(e, ones, out=total[own])
+            if grad:
+                e.reshape(-1)[at] -= total[own]
+                to_class += e.T @ (state[own] / total[own, None])
+                np.matmul(e, back, out=dh[own])
         out = np.log(picked / total) + v.share[rank]
         if grad:
-            e /= total[:, None]
-            e[every, kind] -= 1
-            to_class, to_word = h.T @ e, np.zeros((s.soft, n + 1), np.float32)
-            dh = e @ self.to_class.T
+            dh /= total[:, None]
         order = by_value(kind, s.classes)
         cuts = np.searchsorted(kind[order], np.arange(s.word_classes + 1))
         order = order[: cuts[-1]]
-        held, place, inner = h[order], rank[order] % s.words_per_class, np.empty(len(order))
-        dinner = np.empty((len(order), n), np.float32) if grad else None
+        held, kind = state[order], kind[order]
+        place = (np.arange(len(order)) - cuts[kind]) * s.words_per_class + rank[order] % s.words_per_class
+        picked, total = np.empty(len(order), state.dtype), np.empty(len(order), state.dtype)
+        dinner = np.empty((len(order), n), np.result_type(state, self.to_word)) if grad else None
         bias = self.word_bias.reshape(s.word_classes, s.words_per_class)
         weights = np.concatenate((self.to_word, (bias - bias.max(axis=1, keepdims=True)).reshape(-1, 1)), axis=1)
         far, ones = self._far(weights.T), np.ones(s.words_per_class, np.float32)
+        buffer = np.empty((np.diff(cuts).max(), s.words_per_class), np.result_type(state, weights))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             own, part = slice(cuts[k], cuts[k + 1]), slice(k * s.words_per_class, (k + 1) * s.words_per_class)
-            e = self._raised(held[own], weights[part].T, far)
-            row, at = every[: own.stop - own.start], place[own]
-            picked, total = e[row, at], e @ ones
-            np.divide(picked, total, out=inner[own])
+            e, sums = self._raised(held[own], weights[part].T, far, buffer[: own.stop - own.start]), total[own]
+            flat, at = e.reshape(-1), place[own]
+            found = picked[own] = flat[at]
+            np.matmul(e, ones, out=sums)
             if grad:
-                e /= total[:, None]
-                e[row, at] -= 1
-                np.matmul(e.T, held[own], out=to_word[part])
+                flat[at] = found - sums
+                over = 1 / sums
+                np.matmul(e.T, held[own, :n] * over[:, None], out=to_word[part])
+                np.matmul(over, e, out=word_bias[part])
                 np.matmul(e, self.to_word[part], out=dinner[own])
-        out[order] += np.log(inner)
+        out[order] += np.log(picked / total)
         if grad:
+            dinner /= total[:, None]
             dh[order] += dinner
-            g = {"to_class": to_class[:n], "class_bias": to_class[n], "to_word": to_word[:, :n], "word_bias": to_word[:, n]}
+            g = {"to_class": to_class[:, :n].T.copy(), "class_bias": to_class[:, n].copy(), "to_word": to_word, "word_bias": word_bias}
         return (out, dh, g) if grad else out
 
     @staticmethod
     def _far(weights: np.ndarray) -> bool:
         """Whether a state, whose places lie between -1 and 1, can bring a logit beyond 60."""
-        return not np.abs(weights).sum(axis=0).max() < 59
+        return not (np.ones(len(weights), np.float32) @ np.abs(weights)).max() < 59
 
     @staticmethod
-    def _raised(h: np.ndarray, weights: np.ndarray, far: bool) -> np.ndarray:
-        """Exponentials of the logits, below the largest bias; far ones are cut off."""
-        logits = h @ weights
+    def _raised(h: np.ndarray, weights: np.ndarray, far: bool, out: np.ndarray) -> np.ndarray:
+        """Exponentials of the logits, below the largest bias, in `out`; far ones are cut off."""
+        logits = np.matmul(h, weights, out=out)
         if far:
             np.clip(logits, -60, 60, out=logits)
         return np.exp(logits, out=logits)
@@ -258,42 +293,57 @@ class Network:
         if not len(stream):
             return 0.0
         x = self.v.input[np.where(fresh, self.v.end, np.append(stream[:1], stream[:-1]))]
-        h, loss, summed, size = np.zeros((len(start), n), np.float32), 0.0, {}, 0
+        h, loss, summed, size = np.zeros((n, len(start)), np.float32), 0.0, {}, 0
         for low in range(0, int(length[0]), s.window):
             # lanes are sorted: longer ones first
-            places = [start[: int(np.searchsorted(-length, -t, side="left"))] + t for t in range(low, min(low + s.window, int(length[0])))]
-            every = np.concatenate(places)
-            read, stay = x[every], ~fresh[every, None]
-            gates = (self.embed + self.bias).take(read, axis=0)
-            path, ends = [], np.cumsum([len(at) for at in places]).tolist()
-            own = [slice(end - len(at), end) for end, at in zip(ends, places)]
+            steps = np.arange(low, min(low + s.window, int(length[0])))
+            live = np.searchsorted(-length, -steps, side="left").tolist()
+            every = np.concatenate([start[:k] + t for k, t in zip(live, steps.tolist())])
+            own = [slice(end - k, end) for k, end in zip(live, np.cumsum(live).tolist())]
+            read, stay = x[every], (~fresh[every]).astype(np.float32)
+            table, carry = self.turned()
+            rows, states, past = table.take(read, axis=0), np.empty((len(every), n), np.float32), []
             for part in own:
-                before = h[: part.stop - part.start] * stay[part]
-                h, *inside = self.step(gates[part], before)
-                path.append((before, *inside, h))
-            before, zr, c, held, after = (np.concatenate(p) for p in zip(*path))
-            out, dh, g = self.outputs(after, stream[every], True)
+                before = h[:, : part.stop - part.start] * stay[part]
+                path, c = np.empty((3 * n, before.shape[1]), np.float32), np.empty_like(before)
+                h = self.step(rows[part].T.copy(), before, carry, path, c, np.empty_like(before))
+                states[part] = h.T
+                past.append((before, path, c))
+            out, dh, g = self.outputs(states, stream[every], True)
             loss -= float(out.sum())
-            # the gradient of each gate is that of the state times what the forward pass fixes
-            z, r = zr[:, :n], zr[:, n:]
-            inner = (1 - z) * (1 - c * c)
-            times = np.stack(((1 - z) * z * (before - c), inner * held * r * (1 - r), inner * r), axis=1)
-            carried, back = np.empty_like(times), np.zeros((0, n), np.float32)
-            flat, over = carried.reshape(len(every), 3 * n), self.carry.T.copy()
-            for part in reversed(own):
-                d = dh[part]
-                d[: len(back)] += back
-                np.multiply(times[part], d[:, None], out=carried[part])
-                back = flat[part] @ over
-                back += d * z[part]
+            g["carry"], back = np.zeros_like(self.carry), np.zeros((n, 0), np.float32)
+            for part, (before, path, c) in zip(reversed(own), reversed(past)):
+                d, z, r, held = dh[part].T.copy(), path[:n], path[n : 2 * n], path[2 * n :]
+                d[:, : back.shape[1]] += back
+                # of the gates: [update, reset, candidate]; of what the state brings to them, in place: the last one times the reset gate
+                to_gates = np.empty_like(path)
+                dz, dr, dc = to_gates[:n], to_gates[n : 2 * n], to_gates[2 * n :]
+                keep = 1 - z
+                np.multiply(c, c, out=dc)
+                np.subtract(1, dc, out=dc)
+                dc *= keep
+                dc *= d
+                rows[part, 2 * n :] = dc.T
+                dc *= r
+                np.subtract(1, r, out=dr)
+                dr *= held
+                dr *= dc
+                np.subtract(before, c, out=dz)
+                keep *= d
+                dz *= keep
+                dz *= z
+                rows[part, : 2 * n] = to_gates[: 2 * n].T
+                g["carry"] += before @ to_gates.T
+                back = self.carry @ to_gates
+                d *= z
+                back += d
                 back *= stay[part]
-            gates[:, : 2 * n] = flat[:, : 2 * n]
-            np.multiply(inner, dh, out=gates[:, 2 * n :])
             by = by_value(read, len(self.embed))
             read = read[by]
             first = np.flatnonzero(np.append(True, read[1:] != read[:-1]))
-            g |= {"embed": np.zeros_like(self.embed), "carry": before.T @ flat, "bias": gates.sum(axis=0)}
-            g["embed"][read[first]] = np.add.reduceat(gates.take(by, axis=0), first, axis=0)
+            found = np.add.reduceat(turn(rows.take(by, axis=0)), first, axis=1)
+            g |= {"embed": np.zeros_like(self.embed), "bias": found.sum(axis=1)}
+            g["embed"][read[first]] = found.T
             for k in summed:
                 g[k] += summed[k]
             summed, size = g, size + len(every)
@@ -307,34 +357,35 @@ class Network:
     def update(self, g: dict[str, np.ndarray], size: int) -> None:
         """One step of Adam, in place."""
         self.updates += 1
-        rate, over_m, over_w = self.v.s.rate * min(1.0, self.updates / 20), 1 - 0.9**self.updates, 1 - 0.99**self.updates
+        rate, over_m, over_w = self.v.s.rate * min(1.0, self.updates / 20), 1 - 0.9**self.updates, math.sqrt(1 - 0.99**self.updates)
         for k in NAMES:
             step, weights, (m, w) = g[k], getattr(self, k), self.moments[k]
-            step /= size
+            step *= 0.1 / size
             m *= 0.9
-            m += 0.1 * step
+            m += step
             step *= step
-            step *= 0.01
             w *= 0.99
             w += step
-            np.sqrt(np.divide(w, over_w, out=step), out=step)
-            step += 1e-6
+            np.sqrt(w, out=step)
+            step += 1e-6 * over_w
             np.divide(m, step, out=step)
-            step *= rate / over_m
+            step *= rate * over_w / over_m
             weights -= step
 
     def score(self, ranks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Natural log-likelihood of each document in the stream."""
         s, v = self.v.s, self.v
-        gates_of = self.embed + self.bias
+        gates_of, carry = self.turned()
         size = np.diff(offsets)
         order = np.argsort(-size, kind="stable")
         out = np.zeros(len(size))
         for i in range(0, len(order), s.score_lanes):
             own = order[i : i + s.score_lanes]
             start, length = offsets[own], size[own]
-            h = np.zeros((len(own), s.hidden), np.float32)
+            h = np.zeros((s.hidden, len(own)), np.float32)
             states, words, lanes, held = [], [], [], 0
+            every = np.searchsorted(-length, -np.arange(int(length[0])), side="left").tolist()
+            word = np.full(len(own), v.end)
 
             def settle() -> None:
                 found = self.outputs(np.concatenate(states), np.concatenate(words))
@@ -343,12 +394,12 @@ class Network:
                 for x in (states, words, lanes):
                     x.clear()
 
-            for t in range(int(length[0])):
-                live = int(np.searchsorted(-length, -t, side="left"))
-                before = v.input[ranks[start[:live] + t - 1]] if t else np.full(live, v.input[v.end])
-                h = self.step(gates_of.take(before, axis=0), h[:live])[0]
-                states.append(h)
-                words.append(ranks[start[:live] + t])
+            for t, live in enumerate(every):
+                gates = np.ascontiguousarray(gates_of.take(v.input[word[:live]], axis=0).T)
+                path, (c, new) = np.empty_like(gates), np.empty((2, s.hidden, live), np.float32)
+                h, word = self.step(gates, h[:, :live], carry, path, c, new), ranks[start[:live] + t]
+                states.append(h.T.copy())
+                words.append(word)
                 lanes.append(live)
                 held += live
                 if held >= s.score_words:
@@ -359,6 +410,13 @@ class Network:
         return out
 
 
+def turn(x: np.ndarray) -> np.ndarray:
+    """Rows as columns; they lie an odd number of cache lines apart, as a power of 2 would bring all to the same places of a cache."""
+    out = np.empty((x.shape[1], len(x) // 32 * 32 + 48), x.dtype)[:, : len(x)]
+    out[:] = x.T
+    return out
+
+
 def by_value(x: np.ndarray, below: int) -> np.ndarray:
     """The stable order of numbers from 0 to under `below`; 16 bits are sorted in linear time."""
     return np.argsort(x.astype(np.uint16) if below <= 65_536 else x, kind="stable")
@@ -441,6 +499,44 @@ def joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, head_tokens long, base double, score double, tail array<struct<word:long,n:int>>"
 
 
+def scored_batches(batches: Iterator[pa.RecordBatch], own: Network, over: float) -> Iterator[pa.RecordBatch]:
+    """SCORED rows of the texts; those of several batches are read side by side, about `stream` words at a time."""
+    v, s = own.v, own.v.s
+    log_count, n_head = np.append(np.log10(v.counts + 1.0) - over, 0.0), len(v.words)
+    names = [f.split()[0] for f in SCORED.split(", ")]
+    parts, held, gathered = [], [], 0
+
+    def settled() -> pa.RecordBatch:
+        found = pa.array(own.score(*joined(held)) / math.log(10))
+        *columns, tails = (pa.concat_arrays(c) for c in zip(*parts))
+        parts.clear()
+        held.clear()
+        return pa.RecordBatch.from_arrays([*columns, found, tails], names)
+
+    for batch in batches:
+        ids = [batch.column(c) for c in names[:3]]
+        for rows, words, offsets in tokens(batch.column("text")):
+            rank, n = v.find(words), len(offsets) - 1
+            row = np.repeat(np.arange(n), np.diff(offsets))
+            inside = rank < n_head
+            base = np.bincount(row, log_count[rank], n)
+            held.append((rank.astype(np.int32), np.diff(offsets)))
+            out, at = words[~inside], row[~inside]
+            by = np.lexsort((out, at))
+            out, at = out[by], at[by]
+            first = np.flatnonzero(np.append(True, (out[1:] != out[:-1]) | (at[1:] != at[:-1]))) if len(out) else np.zeros(0, np.int64)
+            cuts = np.searchsorted(at[first], np.arange(n + 1)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(out[first].view(np.int64)), pa.array(np.diff(np.append(first, len(out))).astype(np.int32))], ["word", "n"])
+            columns = np.diff(offsets), np.bincount(row, inside, n).astype(np.int64), base
+            parts.append((*(c.take(np.arange(rows.start, rows.stop)) for c in ids), *map(pa.array, columns), pa.ListArray.from_arrays(pa.array(cuts), pairs)))
+            gathered += len(words)
+            if gathered >= s.stream:
+                yield settled()
+                gathered = 0
+    if parts:
+        yield settled()
+
+
 def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """A row for each row of `docs` (doc_id, text) with counts and log10 scores under counts and network.
 
@@ -456,29 +552,7 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     rest_over = math.log10(max(0, v.rest[0]) + max(0, v.rest[1]) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(v).put(weights)
-        log_count = np.append(np.log10(v.counts + 1.0) - over, 0.0)
-        n_head = len(v.words)
-        for batch in batches:
-            parts, held = [], []
-            for _, words, offsets in tokens(batch.column("text")):
-                rank, n = v.find(words), len(offsets) - 1
-                row = np.repeat(np.arange(n), np.diff(offsets))
-                inside = rank < n_head
-                base = np.bincount(row, log_count[rank], n)
-                held.append((rank.astype(np.int32), np.diff(offsets)))
-                out, at = words[~inside], row[~inside]
-                by = np.lexsort((out, at))
-                out, at = out[by], at[by]
-                first = np.flatnonzero(np.append(True, (out[1:] != out[:-1]) | (at[1:] != at[:-1]))) if len(out) else np.zeros(0, np.int64)
-                cuts = np.searchsorted(at[first], np.arange(n + 1)).astype(np.int32)
-                pairs = pa.StructArray.from_arrays([pa.array(out[first].view(np.int64)), pa.array(np.diff(np.append(first, len(out))).astype(np.int32))], ["word", "n"])
-                parts.append((np.diff(offsets), np.bincount(row, inside, n).astype(np.int64), base, pa.ListArray.from_arrays(pa.array(cuts), pairs)))
-            if parts:  # long texts of a batch are read side by side
-                *columns, tails = zip(*parts)
-                found = own.score(*joined(held)) / math.log(10)
-                columns = [pa.array(np.concatenate(c)) for c in columns]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "held_out")), *columns, pa.array(found), pa.concat_arrays(tails)], ["rid", "doc_id", "held_out", "n_tokens", "head_tokens", "base", "score", "tail"])
+        yield from scored_batches(batches, Network(v).put(weights), over)
 
     scored = materialize(docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, SCORED), "lm-scored")
     # words outside the head meet their counts; none of them is frequent
